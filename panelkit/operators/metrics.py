@@ -14,7 +14,7 @@ def average_rank(x: str) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
-def rank_ic(rows: DataFrame, pred: str = "pred", true: str = "true") -> DataFrame:
+def rank_ic(rows: DataFrame, pred: str = "pred", true: str = "actual") -> DataFrame:
     """(n_dates, ic_mean, ic_std, icir) of the Spearman correlation of each date with three rows or more."""
     good = rows.dropna(subset=[pred, true]).withColumn("__a", average_rank(pred)).withColumn("__b", average_rank(true))
     ic = F.try_divide(F.covar_samp("__a", "__b"), F.stddev_samp("__a") * F.stddev_samp("__b"))

@@ -30,29 +30,32 @@ def _column(seq: Column, k: int) -> Column:
     return F.transform(seq, lambda r: F.get(r, F.lit(k)))
 
 
-def zscore(values: Column, limit: float = 5.0) -> Column:
-    """Values less their mean over their population deviation, clipped; 0 where that is at most 1e-8."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    std = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
-    return F.transform(values, lambda v: F.when(std > 1e-8, F.greatest(F.least((v - mean) / std, F.lit(limit)), F.lit(-limit))).otherwise(F.lit(0.0)))
+def normalize(seqs: DataFrame, names: list[str], ratios: list[str], volume: str | None, volume_stats: tuple[float, float] | None = None, others: bool = True, limit: float = 5.0) -> DataFrame:
+    """Columns of ``seq`` as arrays: ratios to the last close less 1, log volume, z-scores of the rest.
 
-
-def normalize(seqs: DataFrame, names: list[str], ratios: list[str], volume: str | None, volume_stats: tuple[float, float] | None = None, others: bool = True) -> DataFrame:
-    """Columns of ``seq`` as arrays: ratios to the last close less 1, log volume, z-scores of the rest."""
+    A z-score is by the sequence's own mean and population deviation, clipped, and 0 where the
+    deviation is at most 1e-8.  Means and deviations are columns of their own, so that no
+    element computes them again.
+    """
     close = names.index("close")
     last = F.get(F.get(F.col("seq"), F.size("seq") - 1), F.lit(close))
-    out = seqs.withColumn("__last", F.when(last > 0, last).otherwise(F.lit(1.0)))
+    out = seqs.select("entity", "trade_date", F.when(last > 0, last).otherwise(F.lit(1.0)).alias("__last"), *[_column(F.col("seq"), k).alias(f"__a{k}") for k in range(len(names))])
+    scored = [k for k, n in enumerate(names) if others and n not in ratios and n != volume]
+    fold = lambda c, f: F.aggregate(c, F.lit(0.0), f) / F.size(c)
+    out = out.select("*", *[fold(F.col(f"__a{k}"), lambda a, v: a + v).alias(f"__m{k}") for k in scored])
+    out = out.select("*", *[F.sqrt(fold(F.col(f"__a{k}"), lambda a, v, k=k: a + (v - F.col(f"__m{k}")) * (v - F.col(f"__m{k}")))).alias(f"__s{k}") for k in scored])
     made = []
     for k, name in enumerate(names):
-        values = _column(F.col("seq"), k)
+        values = F.col(f"__a{k}")
         if name in ratios:
-            made.append(F.transform(values, lambda v: v / F.col("__last") - 1).alias(name))
+            values = F.transform(values, lambda v: v / F.col("__last") - 1)
         elif name == volume:
             mean, std = volume_stats or (0.0, 1.0)
-            made.append(F.transform(values, lambda v: (F.log1p(F.greatest(v, F.lit(0.0))) - mean) / std).alias(name))
-        else:
-            made.append((zscore(values) if others else values).alias(name))
+            values = F.transform(values, lambda v: (F.log1p(F.greatest(v, F.lit(0.0))) - mean) / std)
+        elif k in scored:
+            z = lambda v, k=k: (v - F.col(f"__m{k}")) / F.col(f"__s{k}")
+            values = F.when(F.col(f"__s{k}") > 1e-8, F.transform(values, lambda v: F.greatest(F.least(z(v), F.lit(limit)), F.lit(-limit)))).otherwise(F.transform(values, lambda v: F.lit(0.0)))
+        made.append(values.alias(name))
     return out.select("entity", "trade_date", *made)
 
 

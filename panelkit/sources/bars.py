@@ -62,7 +62,7 @@ def calendar(panel: DataFrame) -> DataFrame:
 
 
 def predictions(panel: DataFrame) -> DataFrame:
-    """(entity, trade_date, pred, true, close): a deterministic stand-in for a model's scores."""
+    """(entity, trade_date, pred, actual, close): a deterministic stand-in for a model's scores."""
     from panelkit.functions import ts
 
-    return panel.select("entity", "trade_date", "close", (-(ts.div("close", ts.mean("close", 5)) - 1)).alias("pred"), ts.forward_return("close", 5).alias("true"))
+    return panel.select("entity", "trade_date", "close", (-(ts.div("close", ts.mean("close", 5)) - 1)).alias("pred"), ts.forward_return("close", 5).alias("actual"))
