@@ -11,11 +11,13 @@ Documents with equal sets are one class, and only classes take part.  Each bucke
 member that shares the most buckets.  Edges are checked on the full sets, and checked
 links grow components.  Buckets whose members are not yet in one component go on with
 further centres, eight times as many in each round, and edges only go to members of other
-components.  So in the end every two members of a bucket are connected or were compared.
+components; members that can have no link, as too few of their shingles occur in any other
+open set, are left out.  So in the end every two members of a bucket are connected, were
+compared, or can't be linked.
 
 Edge cases: a null text, or one without words, has the empty set, which is linked with
 nothing; a text with fewer words than a shingle has one shingle, the whole sequence; null
-ids form no component (their row has component null and is kept); rows that repeat an id
+ids take the component of their text's class if it has one and are kept; rows that repeat an id
 are classes of that id; other columns are ignored.
 """
 
@@ -189,9 +191,9 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
         found = open_members if labels is None else open_members.join(labels, "node", "left")
         found = found.withColumn("component", F.coalesce("component", "node") if labels is not None else F.col("node"))
         if labels is not None:
-            state = found.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-            state = state.where(f"lo < hi and size > {first}").select("bucket")
-            found = materialize(found.join(state, "bucket"), "open")
+            found = materialize(_unsettled(found, first), "open")
+            if first == 1:
+                found = materialize(_unsettled(_hopeful(found, sets, percent), first), "open")
             if found.isEmpty():
                 break
             open_members = found.select("bucket", "node", "central")
@@ -209,6 +211,35 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _unsettled(members: DataFrame, first: int) -> DataFrame:
+    """Members of buckets that hold more than one component and more members than centres so far."""
+    state = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    return members.join(state.where(f"lo < hi and size > {first}").select("bucket"), "bucket")
+
+
+def _tokens(batches):
+    for batch in batches:
+        sets = [np.frombuffer(h, np.int64) for h in batch["hashes"].to_pylist()]
+        nodes = np.repeat(batch["node"].to_numpy(), [len(h) for h in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["node", "token"])
+
+
+def _hopeful(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that can still have a link.
+
+    A link needs ``percent`` of a set in the intersection, so a node is out if too few of
+    its shingles are in any other set of an open bucket.  That is exact, and it spares the
+    many comparisons of copies that have drifted away from their group.
+    """
+    open_sets = sets.join(members.select("node").distinct(), "node")
+    tokens = materialize(open_sets.mapInArrow(_tokens, "node long, token long"), "tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    hits = tokens.join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    size = F.length("hashes") / 8
+    good = open_sets.select("node", size.alias("size")).join(hits, "node").where(F.col("shared") * 100 >= F.col("size") * percent)
+    return members.join(good.select("node").distinct(), "node", "left_semi")
+
+
 def _stars(members: DataFrame, first: int, centres: int) -> DataFrame:
     """Edges (a, b) from each bucket's centres number first .. first + centres to its other members.
 
