@@ -30,6 +30,14 @@ def _column(seq: Column, k: int) -> Column:
     return F.transform(seq, lambda r: F.get(r, F.lit(k)))
 
 
+def _square(mean: Column):
+    return lambda a, v: a + (v - mean) * (v - mean)
+
+
+def _standard(mean: Column, std: Column):
+    return lambda v: (v - mean) / std
+
+
 def normalize(seqs: DataFrame, names: list[str], ratios: list[str], volume: str | None, volume_stats: tuple[float, float] | None = None, others: bool = True, limit: float = 5.0) -> DataFrame:
     """Columns of ``seq`` as arrays: ratios to the last close less 1, log volume, z-scores of the rest.
 
@@ -43,7 +51,7 @@ def normalize(seqs: DataFrame, names: list[str], ratios: list[str], volume: str
     scored = [k for k, n in enumerate(names) if others and n not in ratios and n != volume]
     fold = lambda c, f: F.aggregate(c, F.lit(0.0), f) / F.size(c)
     out = out.select("*", *[fold(F.col(f"__a{k}"), lambda a, v: a + v).alias(f"__m{k}") for k in scored])
-    out = out.select("*", *[F.sqrt(fold(F.col(f"__a{k}"), lambda a, v, k=k: a + (v - F.col(f"__m{k}")) * (v - F.col(f"__m{k}")))).alias(f"__s{k}") for k in scored])
+    out = out.select("*", *[F.sqrt(fold(F.col(f"__a{k}"), _square(F.col(f"__m{k}")))).alias(f"__s{k}") for k in scored])
     made = []
     for k, name in enumerate(names):
         values = F.col(f"__a{k}")
@@ -53,7 +61,7 @@ def normalize(seqs: DataFrame, names: list[str], ratios: list[str], volume: str
             mean, std = volume_stats or (0.0, 1.0)
             values = F.transform(values, lambda v: (F.log1p(F.greatest(v, F.lit(0.0))) - mean) / std)
         elif k in scored:
-            z = lambda v, k=k: (v - F.col(f"__m{k}")) / F.col(f"__s{k}")
+            z = _standard(F.col(f"__m{k}"), F.col(f"__s{k}"))
             values = F.when(F.col(f"__s{k}") > 1e-8, F.transform(values, lambda v: F.greatest(F.least(z(v), F.lit(limit)), F.lit(-limit)))).otherwise(F.transform(values, lambda v: F.lit(0.0)))
         made.append(values.alias(name))
     return out.select("entity", "trade_date", *made)

@@ -58,14 +58,14 @@ def with_views(body: str, *views: str, **more: str) -> str:
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    """Rounding that both engines compute alike."""
+    """Rounding that both engines compute alike; halves lie off the border, so noise can't part them."""
     scale = float(10**digits)
-    return F.floor(c * scale + 0.5) / scale
+    return F.floor(c * scale + 0.50001) / scale
 
 
 def rounded_sql(e: str, digits: int = 6) -> str:
     scale = f"1e{digits}"
-    return f"floor(({e}) * {scale} + 0.5) / {scale}"
+    return f"floor(({e}) * {scale} + 0.50001) / {scale}"
 
 
 def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:

@@ -58,7 +58,7 @@ def _features(b):
     return spark, path
 
 
-FEAT = "SELECT entity, trade_date, floor(close * 1e6 + 0.5) / 1e6 AS close FROM bars WHERE trade_date < DATE '1995-07-01'"
+FEAT = "SELECT entity, trade_date, floor(close * 1e6 + 0.50001) / 1e6 AS close FROM bars WHERE trade_date < DATE '1995-07-01'"
 
 
 def _write_partition(b):
