@@ -39,14 +39,23 @@ def _key() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line")
 
 
-def line_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_hash, line, n, tokens): sorted distinct token hashes of each line with a word."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    d = d.withColumn("w", F.array_remove(F.split(F.lower("t"), f"[{SPACE}]+"), "")).drop("t").where("size(w) > 0")
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line, t): every line of every text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+
+
+def _with_tokens(lines: DataFrame, width: int, *keep: str) -> DataFrame:
+    """Columns ``keep`` with n and tokens: sorted distinct token hashes of each line with a word."""
+    d = lines.withColumn("w", F.array_remove(F.split(F.lower("t"), f"[{SPACE}]+"), "")).drop("t").where("size(w) > 0")
     starts = F.slice(F.col("w"), 1, F.greatest(F.size("w") - (width - 1), F.lit(1)))
     shingles = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get("w", i + k) for k in range(1, width)]))
     d = d.withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("w")
-    return d.select("doc_id", "text_hash", "line", F.size("tokens").alias("n"), "tokens")
+    return d.select(*keep, F.size("tokens").alias("n"), "tokens")
+
+
+def line_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text_hash, line, n, tokens) of each line with a word."""
+    return _with_tokens(_lines(docs), width, "doc_id", "text_hash", "line")
 
 
 def _prefix_length(least: float) -> Column:
@@ -70,10 +79,13 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(a, b, n, tokens) of the given classes, built again from the text of their first lines."""
     at = classes.select("a", "b", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.line").alias("line"))
     at = materialize(at, "first-lines")
-    built = line_sets(_near(docs.select("doc_id", "text"), at), width)
-    same = built["doc_id"].eqNullSafe(at["doc_id"]) & (built["text_hash"] == at["text_hash"]) & (built["line"] == at["line"])
-    found = built.join(at, same).select("a", "b", "n", "tokens")
-    return found.dropDuplicates(["a", "b"])
+    lines = _lines(_near(docs.select("doc_id", "text"), at))
+    wanted = at.select("a", "b", F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), F.col("line").alias("at_line"))
+    if at.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    same = lines["doc_id"].eqNullSafe(F.col("at_id")) & (lines["text_hash"] == F.col("at_hash")) & (lines["line"] == F.col("at_line"))
+    # only wanted lines get tokens
+    return _with_tokens(lines.join(wanted, same).select("a", "b", "t"), width, "a", "b").dropDuplicates(["a", "b"])
 
 
 def linked_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,7 +106,7 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     usual = classes.select("a", "b", "n", "prefix")
     if common:
         is_common = lambda t: _cell(t).isin(common)
-        marked = materialize(classes.withColumn("common", F.exists("prefix", is_common)), "marked")
+        marked = classes.withColumn("common", F.exists("prefix", is_common))
         rare_first = F.concat(F.filter("tokens", lambda t: ~is_common(t)), F.filter("tokens", is_common))
         again = _sets(docs, marked.where("common"), width).select("a", "b", "n", F.slice(rare_first, 1, _prefix_length(least)).alias("prefix"))
         usual = marked.where("not common").select("a", "b", "n", "prefix").unionByName(again)
