@@ -110,7 +110,8 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
         rare_first = F.concat(F.filter("tokens", lambda t: ~is_common(t)), F.filter("tokens", is_common))
         again = _sets(docs, marked.where("common"), width).select("a", "b", "n", F.slice(rare_first, 1, _prefix_length(least)).alias("prefix"))
         usual = marked.where("not common").select("a", "b", "n", "prefix").unionByName(again)
-    rows = usual.select("a", "b", "n", F.posexplode("prefix").alias("place", "token"))
+    rows = usual.select("a", "b", "n", F.posexplode("prefix").alias("place", "token")).repartition("token")
+    # dealt by token once: both sides of the join read the same shuffle
     left = rows.select("token", F.col("a"), F.col("b"), F.col("n"), F.col("place"))
     right = rows.select("token", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
     order = (F.col("a") < F.col("a2")) | (F.col("a") == F.col("a2")) & (F.col("b") < F.col("b2"))
