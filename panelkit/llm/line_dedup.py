@@ -12,7 +12,8 @@ Any one order of tokens gives the exact result; rarity only bounds the work.  Or
 hash, except that tokens common among prefixes come last, the most common last of all.
 Common ones are found by counting prefix tokens in ``CELLS`` hashed cells, over all lines.
 Full sets are built a second time for lines that need them (those with common tokens, and
-those in candidate pairs), so no stage moves the sets of all lines.
+those in candidate pairs), so no stage moves the sets of all lines.  Candidate pairs name a
+class by the first of its two hashes; classes that share it are all verified.
 
 Edge cases: null text has no lines and stays null; blank lines stay; null ids come last;
 rows that repeat both id and text get the same result and don't match one another; a
@@ -21,10 +22,10 @@ document that loses all its lines has the empty text; other columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import SPACE, materialize
+from panelkit.llm.common import SPACE, discard, materialize
 
 WIDTH = 5
 LEAST = 0.8
@@ -96,9 +97,12 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     """
     prefix = F.slice(F.col("tokens"), 1, _prefix_length(least))
     lines = line_sets(docs, width).select("doc_id", "text_hash", "line", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), "n", prefix.alias("prefix"))
-    lines = materialize(lines, "lines")
-    classes = lines.groupBy("a", "b").agg(F.min(_key()).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    wide = materialize(lines, "lines-with-prefixes")
+    classes = wide.groupBy("a", "b").agg(F.min(_key()).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = materialize(classes, "line-classes")
+    # from here on each class has its prefix, so lines go on without
+    lines = materialize(wide.select("doc_id", "text_hash", "line", "a", "b"), "lines")
+    discard(wide)
     cells = classes.select(F.explode("prefix").alias("token")).groupBy(_cell(F.col("token")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     mean = cells.agg(F.sum("n") / CELLS).first()[0] or 0
     # at most CELLS / COMMON_TIMES cells
@@ -110,26 +114,26 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
         rare_first = F.concat(F.filter("tokens", lambda t: ~is_common(t)), F.filter("tokens", is_common))
         again = _sets(docs, marked.where("common"), width).select("a", "b", "n", F.slice(rare_first, 1, _prefix_length(least)).alias("prefix"))
         usual = marked.where("not common").select("a", "b", "n", "prefix").unionByName(again)
-    rows = usual.select("a", "b", "n", F.posexplode("prefix").alias("place", "token")).repartition("token")
-    # dealt by token once: both sides of the join read the same shuffle
-    left = rows.select("token", F.col("a"), F.col("b"), F.col("n"), F.col("place"))
-    right = rows.select("token", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
-    order = (F.col("a") < F.col("a2")) | (F.col("a") == F.col("a2")) & (F.col("b") < F.col("b2"))
+    rows = usual.select("a", "n", F.posexplode("prefix").alias("place", "token"))
+    # most prefix tokens are in one class only and end here, so the join moves few rows
+    rows = rows.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("holders > 1").drop("holders")
+    rows = materialize(rows, "shared-prefixes")
+    right = rows.select("token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
     lengths = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least)
     most_common = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     positions = most_common >= F.ceil((F.col("n") + F.col("n2")) * F.lit(least / (1 + least)) - 1e-9)
-    pairs = left.join(right, (left["token"] == right["token"]) & order & lengths & positions).select("a", "b", "a2", "b2").distinct()
+    pairs = rows.join(right, (rows["token"] == right["token"]) & (F.col("a") < F.col("a2")) & lengths & positions).select("a", "a2").distinct()
     pairs = materialize(pairs, "line-pairs")
-    wanted = pairs.select("a", "b").unionByName(pairs.select(F.col("a2").alias("a"), F.col("b2").alias("b"))).distinct()
-    sets = _sets(docs, classes.join(wanted, ["a", "b"], "left_semi"), width)
+    wanted = pairs.select("a").unionByName(pairs.select(F.col("a2").alias("a"))).distinct()
+    sets = _sets(docs, classes.join(wanted, "a", "left_semi"), width)
     sets = materialize(sets, "line-sets", "none")
     other = sets.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
-    both = pairs.join(sets, ["a", "b"]).join(other, ["a2", "b2"])
+    both = pairs.join(sets, "a").join(other, "a2")
     shared = F.size(F.array_intersect("tokens", "tokens2"))
     enough = shared >= (F.col("n") + F.col("n2") - shared) * F.lit(least)
     one_way = materialize(both.where(enough).select("a", "b", "a2", "b2"), "line-links")
     links = one_way.unionByName(one_way.select(F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("a").alias("a2"), F.col("b").alias("b2")))
-    return lines.select("doc_id", "text_hash", "line", "a", "b"), classes.select("a", "b", "n", "first"), links
+    return lines, classes.select("a", "b", "n", "first"), links
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
