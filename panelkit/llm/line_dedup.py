@@ -67,26 +67,24 @@ def _cell(token: Column) -> Column:
     return F.pmod(token, F.lit(CELLS)).cast("int")
 
 
-def _near(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text_hash) is in ``keys``; null ids match null."""
-    keys = materialize(keys.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct(), "keys")
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    hit = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
-    return docs.join(keys, hit, "left_semi")
+def _names(tokens: str = "tokens") -> list[Column]:
+    """The two hashes that name a class."""
+    return [F.xxhash64(tokens).alias("a"), F.xxhash64(F.lit(7), tokens).alias("b")]
 
 
 def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(a, b, n, tokens) of the given classes, built again from the text of their first lines."""
-    at = classes.select("a", "b", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.line").alias("line"))
-    at = materialize(at, "first-lines")
-    lines = _lines(_near(docs.select("doc_id", "text"), at))
-    wanted = at.select("a", "b", F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), F.col("line").alias("at_line"))
-    if at.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    same = lines["doc_id"].eqNullSafe(F.col("at_id")) & (lines["text_hash"] == F.col("at_hash")) & (lines["line"] == F.col("at_line"))
-    # only wanted lines get tokens
-    return _with_tokens(lines.join(wanted, same).select("a", "b", "t"), width, "a", "b").dropDuplicates(["a", "b"])
+    """(a, b, n, tokens) of the given classes, built again from the text of their first lines.
+
+    A document gets the places of its wanted lines, so no other line leaves its scan.
+    """
+    at = classes.select(F.col("first.doc_id").alias("k_id"), F.col("first.text_hash").alias("k_hash"), F.col("first.line").alias("place"))
+    keys = materialize(at.groupBy("k_id", "k_hash").agg(F.collect_set("place").alias("places")), "wanted-lines")
+    if keys.agg(F.coalesce(F.sum(F.size("places") + 4), F.lit(0))).first()[0] <= 5 * BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    hit = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
+    found = docs.select("doc_id", "text").join(keys, hit).select(F.split("text", "\n").alias("all"), "places")
+    lines = found.select(F.explode(F.transform("places", lambda k: F.get("all", k))).alias("t"))
+    return _with_tokens(lines, width).select(*_names(), "n", "tokens").dropDuplicates(["a", "b"])
 
 
 def linked_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,7 +94,7 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     hashes that name a class and first its first line; links: (a, b, a2, b2), both ways.
     """
     prefix = F.slice(F.col("tokens"), 1, _prefix_length(least))
-    lines = line_sets(docs, width).select("doc_id", "text_hash", "line", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), "n", prefix.alias("prefix"))
+    lines = line_sets(docs, width).select("doc_id", "text_hash", "line", *_names(), "n", prefix.alias("prefix"))
     wide = materialize(lines, "lines-with-prefixes")
     classes = wide.groupBy("a", "b").agg(F.min(_key()).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = materialize(classes, "line-classes")
