@@ -47,7 +47,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _with_tokens(lines: DataFrame, width: int, *keep: str) -> DataFrame:
     """Columns ``keep`` with n and tokens: sorted distinct token hashes of each line with a word."""
-    d = lines.withColumn("w", F.array_remove(F.split(F.lower("t"), f"[{SPACE}]+"), "")).drop("t").where("size(w) > 0")
+    # a test of the line itself, as one of its words would split it a second time
+    d = lines.where(F.col("t").rlike(f"[^{SPACE}]")).withColumn("w", F.array_remove(F.split(F.lower("t"), f"[{SPACE}]+"), "")).drop("t")
     starts = F.slice(F.col("w"), 1, F.greatest(F.size("w") - (width - 1), F.lit(1)))
     shingles = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get("w", i + k) for k in range(1, width)]))
     d = d.withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("w")
