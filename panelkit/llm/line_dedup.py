@@ -15,6 +15,9 @@ Full sets are built a second time for lines that need them (those with common to
 those in candidate pairs), so no stage moves the sets of all lines.  Candidate pairs name a
 class by the first of its two hashes; classes that share it are all verified.
 
+Before full sets move, pairs are tested on the parity bits of their sets: each token flips
+one of 256 bits, so two sets differ in at least as many tokens as their bits differ in.
+
 Edge cases: null text has no lines and stays null; blank lines stay; null ids come last;
 rows that repeat both id and text get the same result and don't match one another; a
 document that loses all its lines has the empty text; other columns are kept.
@@ -60,6 +63,16 @@ def line_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return _with_tokens(_lines(docs), width, "doc_id", "text_hash", "line")
 
 
+def _parity() -> Column:
+    """The parity bits of ``tokens``, as four numbers of 64 bits."""
+    return F.expr("transform(sequence(0, 3), q -> aggregate(tokens, 0L, (s, x) -> s ^ if((shiftright(x, 6) & 3) = q, shiftleft(1L, int(x & 63)), 0L)))")
+
+
+def _second(df: DataFrame) -> DataFrame:
+    """``df`` with the names of the second class of a pair."""
+    return df.select(*[F.col(c).alias(c + "2") for c in df.columns])
+
+
 def _prefix_length(least: float) -> Column:
     return (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int")
 
@@ -124,10 +137,18 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     pairs = rows.join(right, (rows["token"] == right["token"]) & (F.col("a") < F.col("a2")) & lengths & positions).select("a", "a2").distinct()
     pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select("a").unionByName(pairs.select(F.col("a2").alias("a"))).distinct()
-    sets = _sets(docs, classes.join(wanted, "a", "left_semi"), width)
+    sets = _sets(docs, classes.join(wanted, "a", "left_semi"), width).withColumn("bits", _parity())
     sets = materialize(sets, "line-sets", "none")
-    other = sets.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
-    both = pairs.join(sets, "a").join(other, "a2")
+    bits = sets.select("a", "b", "n", "bits")
+    differ = F.expr(" + ".join(f"bit_count(bits[{q}] ^ bits2[{q}])" for q in range(4)))
+    may_share = (F.col("n") + F.col("n2") - differ) / 2 >= (F.col("n") + F.col("n2")) * F.lit(least / (1 + least)) - 1e-9
+    near = pairs.join(bits, "a").join(_second(bits), "a2").where(may_share).select("a", "b", "a2", "b2")
+    near = materialize(near, "near-line-pairs")
+    wanted = near.select("a", "b").unionByName(near.select(F.col("a2").alias("a"), F.col("b2").alias("b"))).distinct()
+    if near.count() <= BROADCAST_ROWS // 2:
+        wanted = F.broadcast(wanted)
+    sets = sets.select("a", "b", "n", "tokens").join(wanted, ["a", "b"], "left_semi")
+    both = near.join(sets, ["a", "b"]).join(_second(sets), ["a2", "b2"])
     shared = F.size(F.array_intersect("tokens", "tokens2"))
     enough = shared >= (F.col("n") + F.col("n2") - shared) * F.lit(least)
     one_way = materialize(both.where(enough).select("a", "b", "a2", "b2"), "line-links")
