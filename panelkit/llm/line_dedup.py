@@ -12,11 +12,11 @@ Any one order of tokens gives the exact result; rarity only bounds the work.  Or
 hash, except that tokens common among prefixes come last, the most common last of all.
 Common ones are found by counting prefix tokens in ``CELLS`` hashed cells, over all lines.
 Full sets are built a second time for lines that need them (those with common tokens, and
-those in candidate pairs), so no stage moves the sets of all lines.  Candidate pairs name a
-class by the first of its two hashes; classes that share it are all verified.
+that share a prefix token with another class), so no stage moves the sets of all lines.
 
-Before full sets move, pairs are tested on the parity bits of their sets: each token flips
-one of 256 bits, so two sets differ in at least as many tokens as their bits differ in.
+The join also tests the parity bits of the sets: each token flips one of 256 bits, so two
+sets differ in at least as many tokens as their bits differ in.  Full sets move only for
+the pairs that pass.
 
 Edge cases: null text has no lines and stays null; blank lines stay; null ids come last;
 rows that repeat both id and text get the same result and don't match one another; a
@@ -130,19 +130,16 @@ def linked_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     # most prefix tokens are in one class only and end here, so the join moves few rows
     rows = rows.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("holders > 1").drop("holders")
     rows = materialize(rows, "shared-prefixes")
-    right = rows.select("token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    sets = _sets(docs, classes.join(rows.select("a").distinct(), "a", "left_semi"), width).withColumn("bits", _parity())
+    sets = materialize(sets, "line-sets", "none")
+    left = rows.join(sets.select("a", "b", "bits"), "a").select("token", "a", "b", "n", "place", "bits")
+    right = _second(left)
     lengths = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least)
     most_common = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     positions = most_common >= F.ceil((F.col("n") + F.col("n2")) * F.lit(least / (1 + least)) - 1e-9)
-    pairs = rows.join(right, (rows["token"] == right["token"]) & (F.col("a") < F.col("a2")) & lengths & positions).select("a", "a2").distinct()
-    pairs = materialize(pairs, "line-pairs")
-    wanted = pairs.select("a").unionByName(pairs.select(F.col("a2").alias("a"))).distinct()
-    sets = _sets(docs, classes.join(wanted, "a", "left_semi"), width).withColumn("bits", _parity())
-    sets = materialize(sets, "line-sets", "none")
-    bits = sets.select("a", "b", "n", "bits")
     differ = F.expr(" + ".join(f"bit_count(bits[{q}] ^ bits2[{q}])" for q in range(4)))
     may_share = (F.col("n") + F.col("n2") - differ) / 2 >= (F.col("n") + F.col("n2")) * F.lit(least / (1 + least)) - 1e-9
-    near = pairs.join(bits, "a").join(_second(bits), "a2").where(may_share).select("a", "b", "a2", "b2")
+    near = left.join(right, (F.col("token") == F.col("token2")) & (F.col("a") < F.col("a2")) & lengths & positions & may_share).select("a", "b", "a2", "b2").distinct()
     near = materialize(near, "near-line-pairs")
     wanted = near.select("a", "b").unionByName(near.select(F.col("a2").alias("a"), F.col("b2").alias("b"))).distinct()
     if near.count() <= BROADCAST_ROWS // 2:
