@@ -12,6 +12,12 @@ def by_date(*more: str):
     return Window.partitionBy(DATE, *more)
 
 
+def steady(x, digits: int) -> Column:
+    """Rounding before a rank: values that differ in the last bits of a sum tie; halves lie off the border."""
+    scale = float(10**digits)
+    return F.floor(col(x) * scale + 0.50001) / scale
+
+
 def rank(x, *more: str) -> Column:
     return F.rank().over(by_date(*more).orderBy(col(x).asc_nulls_last()))
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from panelkit.functions import ts, xs
 
 WINDOWS = (5, 10, 20, 30, 60)
+#: Means, deviations and correlations are rounded to so many digits before they are ranked.
+RANK_DIGITS = 6
 
 
 @dataclass(frozen=True)
@@ -24,6 +26,7 @@ class Factor:
     lookback: int
     build: Callable[[], Column]
     base: str | None = None  # stage 3: the staged column that is ranked
+    digits: int | None = None  # stage 3: digits the base is rounded to, if its last bits are noise
 
 
 class FactorCatalog:
@@ -63,7 +66,11 @@ class FactorCatalog:
         out = out.select(*inputs, *[f.build().alias(f.name) for f in stage[1]], *[b().alias(n) for n, b in hidden.items()])
         if stage[2]:
             out = out.select("*", *[f.build().alias(f.name) for f in stage[2]])
-        ranked = [(f, (xs.rank(f.base) if f.name.startswith("RANK") or f.name.endswith("_RANK") else xs.ntile(f.base, 5)).alias(f.name)) for f in stage[3]]
+        noisy = {f.base: f.digits for f in stage[3] if f.digits is not None}
+        if noisy:
+            out = out.select("*", *[xs.steady(b, d).alias(f"__r_{b}") for b, d in noisy.items()])
+        by = lambda f: f"__r_{f.base}" if f.base in noisy else f.base
+        ranked = [(f, (xs.rank(by(f)) if f.name.startswith("RANK") or f.name.endswith("_RANK") else xs.ntile(by(f), 5)).alias(f.name)) for f in stage[3]]
         if ranked:
             out = out.select("*", *[c for _, c in ranked])
         return out.select(*keys, *self.names)
@@ -94,7 +101,7 @@ def price_volume() -> FactorCatalog:
     based = ["REF_close_1", *(f"MEAN_close_{n}" for n in WINDOWS), *(f"STD_close_{n}" for n in WINDOWS), *(f"CORR_volume_{n}" for n in WINDOWS)]
     known = {f.name: f for f in out}
     for kind in ("RANK", "QUANTILE"):
-        out += [Factor(f"{kind}_{b}", 3, known[b].lookback, known[b].build, b) for b in based]
+        out += [Factor(f"{kind}_{b}", 3, known[b].lookback, known[b].build, b, None if b == "REF_close_1" else RANK_DIGITS) for b in based]
     for x in ("close", "volume", "amount"):
         out += [Factor(f"DELTA_{x}_{n}", 1, n + 1, lambda n=n, x=x: ts.delta(x, n)) for n in WINDOWS]
     out += [Factor(f"SUM_close_{n}", 1, n, lambda n=n: ts.total("close", n)) for n in WINDOWS]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelkit.functions import scalar, ts, xs
@@ -233,3 +235,39 @@ add("feat_extended", _feature_query(catalog.extended), feature_sql(EXT_SQL, {}))
 FUND_STAGED = {n: e for n, e in FUND_SQL.items() if n != "TURN_RANK"}
 add("feat_fundamental", _feature_query(catalog.fundamental), feature_sql(FUND_STAGED, {"TURN_RANK": FUND_SQL["TURN_RANK"]}))
 add("feat_combined", _feature_query(catalog.combined, [*PV_STAGED, *PV_EXACT, *EXT_SQL, *FUND_SQL]), feature_sql(PV_STAGED | EXT_SQL | FUND_STAGED, PV_EXACT | {"TURN_RANK": FUND_SQL["TURN_RANK"]}))
+
+
+# the same factors as rows, with all ranks
+COARSE = {"STD_amount": 3, "EMA12C": 4, "EMA26C": 4, "MACD": 4, "RSI14": 4, "SLOPE5": 5, "SLOPE20": 5}
+
+
+def _digits(name):
+    """Digits at which both engines agree: amounts and recursive sums carry more noise."""
+    return next((d for k, d in COARSE.items() if name.startswith(k)), 6)
+
+
+def _row_query(make):
+    def query(spark, sf_dir):
+        cat = make()
+        return cat.compute(_panel(spark, sf_dir)).select("entity", "trade_date", *[rounded(F.col(n).cast("double"), _digits(n)).alias(n) for n in cat.names])
+
+    return query
+
+
+def row_sql(staged: dict[str, str], ranked: dict[str, str], names: list[str]) -> str:
+    """One row for each bar with a column for each name; means, deviations and correlations are rounded before they are ranked."""
+    noisy = sorted({n.partition("_")[2] for n in ranked if n in PV_RANKED and not n.endswith("REF_close_1")})
+    steady = {n: re.sub(r"ORDER BY (\w+)", lambda m: f"ORDER BY r_{m[1]}" if m[1] in noisy else m[0], e) for n, e in ranked.items()}
+    return with_views(
+        "SELECT entity, trade_date, " + ", ".join(f"{rounded_sql(f'CAST({n} AS DOUBLE)', _digits(n))} AS {n}" for n in names) + " FROM f4",
+        "bars", "fund",
+        f0="SELECT bars.* EXCLUDE (pe_ttm, pb, circ_mv), fund.* EXCLUDE (entity, trade_date) FROM bars LEFT JOIN fund USING (entity, trade_date)",
+        f1="SELECT *, row_number() OVER w AS rn, close - lag(close) OVER w AS diff, pb / NULLIF(pe_ttm, 0) AS roe0, least(row_number() OVER w - 1, 11) AS p12, least(row_number() OVER w - 1, 25) AS p26 FROM f0 WINDOW w AS (PARTITION BY entity ORDER BY trade_date)",
+        f2="SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in staged.items()) + " FROM f1 WINDOW w AS (PARTITION BY entity ORDER BY trade_date)",
+        f3="SELECT *" + "".join(f", {rounded_sql(n, catalog.RANK_DIGITS)} AS r_{n}" for n in noisy) + " FROM f2",
+        f4="SELECT *" + "".join(f", {e} AS {n}" for n, e in steady.items()) + " FROM f3",
+    )
+
+
+add("feat_price_volume_rows", _row_query(catalog.price_volume), row_sql(PV_STAGED, PV_RANKED, catalog.price_volume().names))
+add("feat_combined_rows", _row_query(catalog.combined), row_sql(PV_STAGED | EXT_SQL | FUND_STAGED, PV_RANKED | {"TURN_RANK": FUND_SQL["TURN_RANK"]}, catalog.combined().names))
