@@ -30,13 +30,15 @@ def importance(model: PipelineModel, features: list[str]) -> list[tuple[str, flo
     return sorted(zip(features, map(float, weights)), key=lambda x: (-x[1], x[0]))
 
 
-def tune_timesplit(rows: DataFrame, features: list[str], label: str, depths: list[int], folds: int) -> DataFrame:
+def tune_timesplit(rows: DataFrame, features: list[str], label: str, depths: list[int], folds: int | None = None) -> DataFrame:
     """(depth, fold, mse): every setting fitted on dates before each of the later folds.
 
-    ``rows`` has a fold number in date order; the loop is over a few settings, Spark does
-    the fitting.
+    ``rows`` has a fold number in date order; without ``folds`` all of them count.  The loop
+    is over a few settings, Spark does the fitting.
     """
     spark, out = rows.sparkSession, []
+    if folds is None:
+        folds = (rows.agg(F.max("fold")).first()[0] or 0) + 1
     for depth in depths:
         for fold in range(1, folds):
             model = fit_regression(rows.where(F.col("fold") < fold), features, label, depth, 5)

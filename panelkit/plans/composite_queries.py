@@ -221,27 +221,37 @@ add("stop_level", on_bars(lambda b: b.where(portfolio.level_stop("close", F.col(
 
 
 # models: fitted in Spark, so rows only
-FEATURES = ["m5", "v5"]
+FEATURES = catalog.combined().names
+HORIZON_LABELS = ["y5", "y20", "y60"]
 
 
 def _ranked(b):
-    base = b.select(*KEYS, ts.div("close", ts.mean("close", 5)).alias("m5"), ts.div("volume", ts.mean("volume", 5)).alias("v5"), *[ts.forward_return("close", h).alias(f"y{h}") for h in (5, 20, 60)])
-    return base.select(*KEYS, *[xs.pct_rank(c).alias(c) for c in FEATURES], "y5", "y20", "y60")
+    """Percentile ranks of all catalog features with forward returns, stored once as every fit and fold reads them."""
+    from panelkit.plans.relational_queries import _stored
+
+    features = catalog.combined().compute(full(b)).select(*KEYS, *[F.col(n).cast("double").alias(n) for n in FEATURES])
+    labels = b.select(*KEYS, *[ts.forward_return("close", int(y[1:])).alias(y) for y in HORIZON_LABELS])
+    spark, path = _stored(b, "ranked")
+    io.write_snapshot(xs.pct_rank_long(features, FEATURES).join(labels, KEYS), path)
+    return spark.read.parquet(path)
 
 
 def _scored(b):
     rows = _ranked(b)
-    models = [ml.fit_regression(rows.where(F.col("trade_date") < F.lit(B)), FEATURES, y) for y in ("y5", "y20", "y60")]
+    models = [ml.fit_regression(rows.where(F.col("trade_date") < F.lit(B)), FEATURES, y) for y in HORIZON_LABELS]
     return ml.score_panel(rows.where(F.col("trade_date") >= F.lit(B)), FEATURES, models)
 
 
 def _folds(b):
-    rows = _ranked(b).where("y5 is not null")
-    return rows.withColumn("fold", F.year("trade_date") - 1995)
+    """Rows with a label; a fold is a year that has any, numbered in order."""
+    rows = _ranked(b).where("y5 is not null").withColumn("year", F.year("trade_date"))
+    # one row for each year
+    years = rows.select("year").distinct().withColumn("fold", F.row_number().over(Window.orderBy("year")) - 1)
+    return rows.join(F.broadcast(years), "year").drop("year")
 
 
 add("ml_fit_regression", on_bars(lambda b: _scored(b).agg(*[F.avg(F.pow(F.col(y) - F.col(f"pred_{y}"), 2.0)).alias(f"mse_{y}") for y in ("y5", "y20", "y60")])))
 add("ml_score_panel", on_bars(lambda b: _scored(b).select(*KEYS, "pred_y5", "pred_y20", "pred_y60")))
-add("ml_tune_timesplit", on_bars(lambda b: ml.tune_timesplit(_folds(b), FEATURES, "y5", [2, 3], 3)))
+add("ml_tune_timesplit", on_bars(lambda b: ml.tune_timesplit(_folds(b), FEATURES, "y5", [2, 3])))
 add("ml_importance", on_bars(lambda b: b.sparkSession.createDataFrame(ml.importance(ml.fit_regression(_ranked(b), FEATURES, "y5"), FEATURES), "feature string, importance double")))
-add("ml_walkforward", on_bars(lambda b: ml.walkforward(dataset.assign_folds(_ranked(b), windows(b).where("fold < 2")), FEATURES, "y5")))
+add("ml_walkforward", on_bars(lambda b: ml.walkforward(dataset.assign_folds(_ranked(b), windows(b)), FEATURES, "y5")))

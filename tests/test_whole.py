@@ -32,3 +32,49 @@ def test_ranks_of_means_tie_in_spite_of_the_last_bit(spark):
                 for e in base:
                     less = [x for k, x in base.items() if base[e] is None and x is not None or None not in (x, base[e]) and x < base[e] - 1e-9]
                     assert out[e, day][n] == 1 + len(less), (n, day, base)
+
+
+def narrow(b):
+    """Two features and the labels, in place of all features."""
+    from panelkit.functions import ts
+
+    return b.select("entity", "trade_date", ts.ref("close", 1).alias("x"), ts.ref("volume", 1).alias("z"), *[ts.forward_return("close", h).alias(f"y{h}") for h in (5, 20, 60)])
+
+
+def labelled_dates(rows):
+    """Rows with a label by date."""
+    n = {}
+    for r in rows.where("y5 is not null").select("trade_date").collect():
+        n[r[0]] = n.get(r[0], 0) + 1
+    return n
+
+
+def test_walkforward_runs_every_window(spark, small, monkeypatch):
+    from panelkit.plans import composite_queries
+    from panelkit.sources import bars as source
+
+    monkeypatch.setattr(composite_queries, "_ranked", narrow)
+    monkeypatch.setattr(composite_queries, "FEATURES", ["x", "z"])
+    n = labelled_dates(narrow(source.bars(spark, small)))
+    want = {r["fold"]: sum(n.get(d, 0) >= 3 for d in n if r["test_start"] <= d <= r["test_end"]) for r in registry.queries()["ds_walkforward_windows"](spark, small).collect()}
+    got = {r["fold"]: r["n_dates"] for r in registry.queries()["ml_walkforward"](spark, small).collect()}
+    assert len(want) > 2 and set(got) == set(want)
+    assert all(0 < got[k] <= want[k] and got[k] >= 0.9 * want[k] for k in want)
+
+
+def test_tuning_scores_every_year_after_the_first(spark, small, monkeypatch):
+    from panelkit.plans import composite_queries
+    from panelkit.sources import bars as source
+
+    monkeypatch.setattr(composite_queries, "_ranked", narrow)
+    monkeypatch.setattr(composite_queries, "FEATURES", ["x", "z"])
+    years = {d.year for d in labelled_dates(narrow(source.bars(spark, small)))}
+    got = registry.queries()["ml_tune_timesplit"](spark, small).collect()
+    assert len(years) > 3
+    assert sorted((r["depth"], r["fold"]) for r in got) == [(d, k) for d in (2, 3) for k in range(1, len(years))]
+    assert all(r["mse"] > 0 for r in got)
+
+
+def test_models_read_all_ranked_features(spark, small):
+    rows = registry.queries()["ml_importance"](spark, small).collect()
+    assert sorted(r["feature"] for r in rows) == sorted(catalog.combined().names)
