@@ -46,7 +46,7 @@ def _scan_levels(b):
     from panelkit.plans.relational_queries import _stored
 
     _, path = _stored(b, "levels")
-    io.write_partition(_levels(b).where(F.col("trade_date").between(F.lit(A), F.lit(date(1995, 3, 1)))), path)
+    io.write_partition(_levels(b), path)
     return io.scan_dated(spark, path, date(1995, 1, 9), date(1995, 2, 20)).select(*KEYS, "keltner_pos", "resistance_mid")
 
 
@@ -204,9 +204,10 @@ add("wt_inverse_variance", on_bars(lambda b: portfolio.inverse_variance(b.select
 add("wt_constrain", on_bars(lambda b: portfolio.constrain(b.select(*KEYS, F.col("volume").cast("double").alias("weight")), b.where("flag_share < 0.5").select(*KEYS)).select(*KEYS, rounded(F.col("weight")).alias("weight"))), with_views(f"SELECT entity, trade_date, {rounded_sql('volume / sum(volume) OVER (PARTITION BY trade_date)')} AS weight FROM bars WHERE flag_share < 0.5", "bars"))
 add("order_lots", on_bars(lambda b: b.select(*KEYS, portfolio.order_shares(F.col("volume") / 1000, 1e8, "close").cast("long").alias("shares"))), on_w("CAST(floor(volume / 1000 * 1e8 / close / 100) * 100 AS BIGINT) AS shares"))
 add("order_cost", on_bars(lambda b: b.select(*KEYS, r4(portfolio.order_cost("amount")).alias("cost"))), on_w(R4("greatest(amount * 0.0003, 5.0)") + " AS cost"))
-sig = lambda b: b.where("entity % 2 = 0").select(*KEYS, F.when(F.col("close") > F.col("open"), "sell").otherwise("buy").alias("action"), (F.col("close") * 1.01).alias("target_price"))
+sig = lambda b: b.select(*KEYS, F.when(F.col("close") > F.col("open"), "sell").otherwise("buy").alias("action"), (F.col("close") * 1.01).alias("target_price"))
 FILL = f"SELECT entity, trade_date, CASE WHEN close > open THEN 'sell' ELSE 'buy' END AS action, close * 1.01 AS t, lead(trade_date) OVER {W} AS fill_date, lead(low) OVER {W} AS lo, lead(high) OVER {W} AS hi FROM bars"
-add("fill_price_triggered", on_bars(lambda b: portfolio.fill_triggered(sig(b), b).select(*KEYS, "action", "fill_date", r4("fill_price").alias("fill_price"))), with_views(f"SELECT entity, trade_date, action, fill_date, {R4('CASE WHEN action = ' + chr(39) + 'buy' + chr(39) + ' THEN CASE WHEN lo <= t THEN greatest(t, lo * 1.002) END ELSE CASE WHEN hi >= t THEN least(t, hi * 0.98) END END')} AS fill_price FROM f WHERE entity % 2 = 0", "bars", f=FILL))
+add("fill_price_triggered", on_bars(lambda b: portfolio.fill_triggered(sig(b.where("entity % 2 = 0")), b).select(*KEYS, "action", "fill_date", r4("fill_price").alias("fill_price"))), with_views(f"SELECT entity, trade_date, action, fill_date, {R4('CASE WHEN action = ' + chr(39) + 'buy' + chr(39) + ' THEN CASE WHEN lo <= t THEN greatest(t, lo * 1.002) END ELSE CASE WHEN hi >= t THEN least(t, hi * 0.98) END END')} AS fill_price FROM f WHERE entity % 2 = 0", "bars", f=FILL))
+add("fill_price_triggered_all", on_bars(lambda b: portfolio.fill_triggered(sig(b), b).select(*KEYS, "action", "fill_date", r4("fill_price").alias("fill_price"))), with_views(f"SELECT entity, trade_date, action, fill_date, {R4('CASE WHEN action = ' + chr(39) + 'buy' + chr(39) + ' THEN CASE WHEN lo <= t THEN greatest(t, lo * 1.002) END ELSE CASE WHEN hi >= t THEN least(t, hi * 0.98) END END')} AS fill_price FROM f", "bars", f=FILL))
 
 # ledgers: a buy every fourth row of an entity, and a sale of all of it two rows later
 trades = lambda b: b.withColumn("rn", ts.row_number()).where("(rn % 4) in (1, 3)").select(*KEYS, F.lit(0).alias("seq"), F.when(F.col("rn") % 4 == 1, "buy").otherwise("sell").alias("action"), F.lit(100).alias("shares"), "close", F.col("close").alias("price"), F.lit(5.0).alias("cost"))

@@ -52,9 +52,9 @@ def _stored(df, name):
 
 
 def _features(b):
-    """A narrow feature panel, written by date and read back."""
+    """A narrow feature panel of all sessions, written by date."""
     spark, path = _stored(b, "features")
-    io.write_partition(b.where(F.col("trade_date") < F.lit(date(1995, 7, 1))).select(*KEYS, rounded(F.col("close")).alias("close")), path)
+    io.write_partition(b.select(*KEYS, rounded(F.col("close")).alias("close")), path)
     return spark, path
 
 
@@ -62,6 +62,11 @@ FEAT = "SELECT entity, trade_date, floor(close * 1e6 + 0.50001) / 1e6 AS close F
 
 
 def _write_partition(b):
+    spark, path = _features(b)
+    return io.scan_dated(spark, path).where(F.col("trade_date") < F.lit(date(1995, 7, 1))).select(*KEYS, "close")
+
+
+def _write_all(b):
     spark, path = _features(b)
     return io.scan_dated(spark, path).select(*KEYS, "close")
 
@@ -83,7 +88,15 @@ def _export(b):
     return spark.read.parquet(path)
 
 
+def _export_all(b):
+    spark, path = _stored(b, "export")
+    io.export(b.select(*KEYS, "volume"), path)
+    return spark.read.parquet(path)
+
+
 add("write_partition", on_bars(_write_partition), with_views(f"SELECT * FROM ({FEAT})", "bars"))
+add("write_partition_all", on_bars(_write_all), with_views(f"SELECT entity, trade_date, {rounded_sql('close')} AS close FROM bars", "bars"))
+add("export_dataset_all", on_bars(_export_all), with_views("SELECT entity, trade_date, volume FROM bars", "bars"))
 add("scan_features", on_bars(_scan_features), with_views(f"SELECT * FROM ({FEAT}) WHERE trade_date BETWEEN DATE '1995-02-01' AND DATE '1995-05-01'", "bars"))
 add("write_snapshot", on_bars(_snapshot), with_views("SELECT entity, count(*) AS n FROM bars GROUP BY entity", "bars"))
 add("export_dataset", on_bars(_export), with_views("SELECT entity, trade_date, volume FROM bars WHERE flag_share > 0.9", "bars"))
@@ -106,6 +119,7 @@ add("registry_last_date", lambda s, d: io.registry_last_date(_log(s, d)), f"SELE
 add("registry_delete_since", lambda s, d: io.registry_current(io.registry_delete_since(_log(s, d), "1-URGENT", date(1995, 1, 1), "2030-01-01 00:00:00")).select("api_name", "trade_date", "row_count"), f"SELECT * FROM ({REG}) WHERE NOT (api_name = '1-URGENT' AND trade_date >= DATE '1995-01-01')")
 add("registry_summary", lambda s, d: io.registry_summary(_log(s, d)), f"SELECT api_name, count(*) AS n, max(trade_date) AS last_date FROM ({REG}) GROUP BY api_name")
 add("pending_dates", on_bars(lambda b: io.pending_dates(source.calendar(b), b.where("entity % 7 = 0 and flag_share > 0.8").select("trade_date").distinct(), date(1992, 1, 1), date(1996, 1, 1), 20)), with_views("SELECT trade_date FROM nth WHERE nth > 20 AND trade_date BETWEEN DATE '1992-01-01' AND DATE '1996-01-01' AND trade_date NOT IN (SELECT trade_date FROM bars WHERE entity % 7 = 0 AND flag_share > 0.8)", "bars", "nth"))
+add("pending_dates_all", on_bars(lambda b: io.pending_dates(source.calendar(b), b.where("flag_share > 0.95").select("trade_date").distinct(), date(1992, 1, 1), date(2001, 12, 31), 20)), with_views("SELECT trade_date FROM nth WHERE nth > 20 AND trade_date BETWEEN DATE '1992-01-01' AND DATE '2001-12-31' AND trade_date NOT IN (SELECT trade_date FROM bars WHERE flag_share > 0.95)", "bars", "nth"))
 add("dedupe_keep_last", lambda s, d: io.dedupe_last(source.table(s, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderkey"), ["o_custkey", "day"], [F.desc("o_orderkey")]), "SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL")
 
 # filters and universes
@@ -153,6 +167,7 @@ def _ranking(b):
 
 
 add("join_holdings_rank", on_both(lambda b, s: s.where("entity % 3 = 0").select("entity", "name").join(_ranking(b), "entity", "left").select("entity", "name", F.coalesce(F.col("nth").cast("string"), F.lit("not in scope")).alias("place"))), with_views(f"SELECT entity, name, coalesce(CAST(nth AS VARCHAR), 'not in scope') AS place FROM sec LEFT JOIN ({TOP}) t USING (entity) WHERE entity % 3 = 0", "pred", "sec"))
+add("join_holdings_rank_all", on_both(lambda b, s: s.select("entity", "name").join(_ranking(b), "entity", "left").select("entity", "name", F.coalesce(F.col("nth").cast("string"), F.lit("not in scope")).alias("place"))), with_views(f"SELECT entity, name, coalesce(CAST(nth AS VARCHAR), 'not in scope') AS place FROM sec LEFT JOIN ({TOP}) t USING (entity)", "pred", "sec"))
 prev = f"SELECT *, lag(above) OVER {W} AS was, lag(nth) OVER {W} AS before FROM (SELECT entity, trade_date, coalesce(s > l, false) AS above, nth FROM (SELECT *, avg(close) OVER (PARTITION BY entity ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s, avg(close) OVER (PARTITION BY entity ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM bars) JOIN nth USING (trade_date))"
 
 
@@ -176,6 +191,7 @@ IC = f"SELECT count(ic) AS n_dates, {rounded_sql('avg(ic)')} AS ic_mean, {rounde
 rank_ic = on_bars(lambda b: metrics.rank_ic(preds(b)).select("n_dates", *[rounded(F.col(c)).alias(c) for c in ("ic_mean", "ic_std", "icir")]))
 add("agg_rank_ic", rank_ic, with_views(IC, "pred", p=PREDS))
 add("agg_rank_corr_argsort", on_bars(lambda b: metrics.rank_ic(preds(b).where("entity % 2 = 0")).select("n_dates", rounded(F.col("ic_mean")).alias("ic_mean"))), with_views(f"SELECT count(ic) AS n_dates, {rounded_sql('avg(ic)')} AS ic_mean FROM ({SPEAR})", "pred", p=PREDS + " WHERE entity % 2 = 0"))
+add("agg_rank_corr_argsort_all", on_bars(lambda b: metrics.rank_ic(preds(b)).select("n_dates", rounded(F.col("ic_mean")).alias("ic_mean"))), with_views(f"SELECT count(ic) AS n_dates, {rounded_sql('avg(ic)')} AS ic_mean FROM ({SPEAR})", "pred", p=PREDS))
 add("agg_mse_mae", on_bars(lambda b: preds(b).dropna().agg(rounded(F.avg(F.pow(F.col("actual") - F.col("pred"), 2.0))).alias("mse"), rounded(F.avg(F.abs(F.col("actual") - F.col("pred")))).alias("mae"))), with_views(f"SELECT {rounded_sql('avg(pow(actual - pred, 2.0))')} AS mse, {rounded_sql('avg(abs(actual - pred))')} AS mae FROM p WHERE actual IS NOT NULL AND pred IS NOT NULL", "pred", p=PREDS))
 add("agg_pinball", on_bars(lambda b: preds(b).dropna().agg(*[rounded(metrics.pinball("actual", "pred", a)).alias(f"loss_{int(a * 100)}") for a in (0.1, 0.5, 0.9)])), with_views("SELECT " + ", ".join(f"{rounded_sql(f'avg(greatest({a} * (actual - pred), ({a} - 1) * (actual - pred)))')} AS loss_{int(a * 100)}" for a in (0.1, 0.5, 0.9)) + " FROM p WHERE actual IS NOT NULL AND pred IS NOT NULL", "pred", p=PREDS))
 bins = lambda b: preds(b).dropna().select(*KEYS, *[F.when(F.col(c) < -0.2, 0).when(F.col(c) < -0.05, 1).when(F.col(c) < 0.05, 2).when(F.col(c) < 0.2, 3).otherwise(4).alias(n) for c, n in (("actual", "t"), ("pred", "p"))])

@@ -78,3 +78,26 @@ def test_tuning_scores_every_year_after_the_first(spark, small, monkeypatch):
 def test_models_read_all_ranked_features(spark, small):
     rows = registry.queries()["ml_importance"](spark, small).collect()
     assert sorted(r["feature"] for r in rows) == sorted(catalog.combined().names)
+
+
+def test_no_entity_or_session_is_left_out(spark, small):
+    from pyspark.sql import functions as F
+
+    run = lambda name: registry.queries()[name](spark, small)
+    bars = run("scan_bars")
+    rows, entities = bars.count(), bars.select("entity").distinct().count()
+    assert run("write_partition_all").count() == run("export_dataset_all").count() == run("fill_price_triggered_all").count() == rows
+    assert run("join_holdings_rank_all").count() == entities
+    assert run("agg_rank_corr_argsort_all").first()["n_dates"] > run("agg_rank_corr_argsort").first()["n_dates"]
+    assert run("pending_dates_all").agg(F.max("trade_date")).first()[0].year > 1996
+
+
+def test_sinks_write_all_sessions(spark, small, monkeypatch):
+    from panelkit.sources import io
+
+    written, write = [], io.write_partition
+    monkeypatch.setattr(io, "write_partition", lambda panel, path: (written.append(panel.select("trade_date").distinct().count()), write(panel, path)))
+    for name in ("write_partition", "scan_features", "scan_levels"):
+        registry.queries()[name](spark, small)
+    sessions = registry.queries()["scan_bars"](spark, small).select("trade_date").distinct().count()
+    assert written == [sessions] * 3
