@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import ts, xs
 from panelkit.operators import catalog, dataset, levels, metrics, ml, portfolio, sequences, signals, universe
-from panelkit.plans.base import add, rounded, rounded_sql, with_views
+from panelkit.plans.base import ORACLES, QUERIES, add, rounded, rounded_sql, with_views
 from panelkit.plans.relational_queries import A, B, B_FUND, KEYS, LAB, NAV, PATHS, PREDS, PROBS, PURGE, VALID, W, _probs, full, nav, on_bars, on_both, paths, preds
 from panelkit.plans.window_queries import EWM, REG, corr_sql, fw, q, tr
 from panelkit.sources import bars as source
@@ -52,6 +52,16 @@ def _scan_levels(b):
 
 add("scan_levels", on_bars(_scan_levels), with_views(f"SELECT entity, trade_date, keltner_pos, resistance_mid FROM ({LEVELS_SQL}) WHERE trade_date BETWEEN DATE '1995-01-09' AND DATE '1995-02-20'", "bars", **LEVELS))
 add("panel_rank_flat", on_both(lambda b, s: universe.exclude_flagged(levels.panel_levels(b).select(*KEYS, "keltner_pos").join(b.select(*KEYS, ts.div("close", ts.mean("close", 5)).alias("m5")), KEYS).join(s.where("market <> 'AFRICA' and industry is not null").select("entity", "industry"), "entity"), source.flags(b)).select(*KEYS, "industry", rounded(F.col("keltner_pos"), 5).alias("keltner_pos"), rounded(F.col("m5")).alias("m5"))), with_views(f"SELECT entity, trade_date, industry, {rounded_sql('keltner_pos', 5)} AS keltner_pos, {rounded_sql('m5')} AS m5 FROM s4 JOIN (SELECT entity, trade_date, {q('close', f'avg(close) OVER {tr(5)}')} AS m5 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)) USING (entity, trade_date) JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA') USING (entity) ANTI JOIN flags USING (entity, trade_date)", "flags", "sec", **LEVELS))
+
+
+def _flat_rows(spark, sf_dir):
+    """All factors, level features and levels, in the universe."""
+    b, s = source.bars(spark, sf_dir), source.securities(spark, sf_dir)
+    rows = QUERIES["feat_combined_rows"](spark, sf_dir).join(QUERIES["panel_levels"](spark, sf_dir), KEYS)
+    return universe.exclude_flagged(rows.join(s.where("market <> 'AFRICA' and industry is not null").select("entity", "industry"), "entity"), source.flags(b))
+
+
+add("panel_rank_flat_rows", _flat_rows, with_views(f"SELECT * FROM ({ORACLES['feat_combined_rows']}) JOIN ({ORACLES['panel_levels']}) USING (entity, trade_date) JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA') USING (entity) ANTI JOIN flags USING (entity, trade_date)", "flags", "sec"))
 add("ds_active_mask", on_bars(lambda b: levels.panel_levels(b).select(*KEYS, ((F.abs("keltner_pos") > 0.5) | (F.least(*[F.coalesce(f"{s}_{n}_dist", F.lit(999)) for s in ("resistance", "support") for n in ("mid", "long")]) <= 10)).alias("active"))), with_views("SELECT entity, trade_date, abs(keltner_pos) > 0.5 OR least(coalesce(rmid.n - rn, 999), coalesce(smid.n - rn, 999), coalesce(rlong.n - rn, 999), coalesce(slong.n - rn, 999)) <= 10 AS active FROM s4", "bars", **LEVELS))
 
 # features by date and increments

@@ -101,3 +101,11 @@ def test_sinks_write_all_sessions(spark, small, monkeypatch):
         registry.queries()[name](spark, small)
     sessions = registry.queries()["scan_bars"](spark, small).select("trade_date").distinct().count()
     assert written == [sessions] * 3
+
+
+def test_flat_panel_has_all_factors_and_levels(spark, small):
+    from panelkit.operators import levels
+
+    got = registry.queries()["panel_rank_flat_rows"](spark, small).columns
+    sides = [f"{s}_{h}{d}" for s in ("resistance", "support") for h in levels.HORIZONS for d in ("", "_dist")]
+    assert sorted(got) == sorted(["entity", "trade_date", "industry", *catalog.combined().names, *levels.FEATURES, *sides])
