@@ -1,26 +1,51 @@
-"""Token ids by the tokenizers library, encoding each distinct word of a task once.
-
-Texts are cut only where the tokenizer's own pre-tokenizer always cuts, distinct cuts are
-encoded many at a time, and a bounded number of them is remembered.  Texts that can't be
-cut safely go to the library whole.
+"""Token ids by the tokenizers library, encoding each distinct run of letters of a group of texts once.
+
+Texts are cut only where the tokenizer's own pre-tokenizer always cuts.  Arrow finds the
+distinct cuts of a group of texts and parts those of plain letters and punctuation in two;
+each part goes through the tokenizer's model as the pre-tokenizer would hand it over.  Any
+other cut goes through the whole tokenizer.  What short parts gave is remembered in two
+generations of ``MEMO_WORDS``, so common ones stay and the memory is bounded.  Texts that
+can't be cut safely go to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from panelkit.llm.token_count import splits_at_spaces
+from panelkit.llm.token_count import byte_letters, splits_at_spaces
+
+#: Bounds of the memo: entries of a generation, and characters of what is remembered.
+MEMO_WORDS, MEMO_CHARS = 150_000, 48
+#: Letters that are stable under normalisation and lower-cased one by one; ASCII punctuation.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+", "[!-/:-@\\[-`{-~]*"
+PLAIN = re.compile(f"({LETTERS})({MARKS})")
+#: Line ends with something on both sides.
+LINE_ENDS = re.compile("(\n+)")
+
+
+class Memo(dict):
+    """Remembers what ``make(key)`` gave; half of it is dropped from time to time, the common keys stay."""
 
-MEMO_WORDS = 800_000
-AT_ONCE = 4_000
-#: Separates words that are encoded together; it is a token of its own between spaces.
-MARK = "\x01"
-#: Control characters that Python, unlike the tokenizer, takes for white space.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 class WordEncoder:
@@ -28,69 +53,87 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.byte_level = self.tokenizer.normalizer is None
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        size = self.tokenizer.get_vocab_size()
-        self.starts = np.zeros(size, bool)
-        if self.byte_level:
-            for token, i in self.tokenizer.get_vocab().items():
-                self.starts[i] = token.startswith("Ġ")
-        else:
-            self.mark = self.whole(MARK)
-        self.memo: dict[str, bytes] = {}
+        self.before = " " if self.byte_level else ""
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.piece = Memo(self._piece)
+        self.run = Memo(lambda run: self._piece(" " + run if self.byte_level else run.lower()))
+        self.other = Memo(lambda cut: self._word(cut, self.before))
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Ids of the words, each after a space; none holds a special string or the mark."""
-        joint = f" {MARK} ".join(words) if not self.byte_level else " " + " ".join(words)
-        ids = np.asarray(self.tokenizer.encode_batch_fast([joint], add_special_tokens=False)[0].ids, "<u4")
-        if self.byte_level:
-            cuts = np.flatnonzero(self.starts[ids])
-            begin, end = cuts, np.append(cuts[1:], len(ids))
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the pre-tokenizer keeps together, already lower-cased if need be."""
+        if piece.isascii():
+            piece = piece.replace(" ", self.letters[32]).replace("\n", self.letters[10])
         else:
-            cuts = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
-            begin, end = np.append(0, cuts + 1), np.append(cuts, len(ids))
-        if len(begin) != len(words):
-            return [self.whole(" " + w if self.byte_level else w) for w in words]
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(begin.tolist(), end.tolist())]
-
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if MARK not in w and not any(s in w for s in self.specials)]
-        for w in words.difference(plain):
-            self.memo[w] = self.whole(" " + w if self.byte_level else w)
-        for k in range(0, len(plain), AT_ONCE):
-            some = plain[k : k + AT_ONCE]
-            self.memo.update(zip(some, self._together(some)))
-
-    def _cut(self, text: str) -> tuple[str, list[str]] | None:
-        """What to encode as it is, and words to encode after a space; None: don't cut."""
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str, before: str) -> bytes:
+        """Ids of a cut that follows ``before``, a space or nothing."""
+        plain = PLAIN.fullmatch(word)
+        if plain:
+            letters, marks = plain.groups()
+            head = self.run[letters] if before == self.before else self.piece[letters]
+            return head + self.piece[marks] if marks else head
+        if self.byte_level and "\n" in word:
+            # the pre-tokenizer takes all line ends but the last as one piece, then the last
+            parts = LINE_ENDS.split(word)
+            if all(map(PLAIN.fullmatch, parts[::2])):
+                out = [self._word(parts[0], before)]
+                for ends, part in zip(parts[1::2], parts[2::2]):
+                    out += [self.piece[ends[1:]] if len(ends) > 1 else b"", self.piece["\n"], self._word(part, "")]
+                return b"".join(out)
+        return self.whole(before + word)
+
+    def _cuts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(offsets of the texts' cuts, two codes for each cut, ids of each code)."""
+        texts = pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(texts, " ") if self.byte_level else pc.ascii_split_whitespace(texts)
+        offsets, values = cut.offsets.to_numpy(), cut.flatten()
+        coded = values.dictionary_encode()
+        cuts, codes = coded.dictionary, coded.indices.to_numpy()
+        ids = [b""]
+        part = np.zeros((len(cuts), 2), np.int64)
+        found = pc.extract_regex(cuts, f"^(?P<run>{LETTERS})(?P<marks>{MARKS})$")
+        plain = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
+        for column, (name, memo) in enumerate((("run", self.run), ("marks", self.piece))):
+            some = found.take(pa.array(plain)).field(name).dictionary_encode()
+            part[plain, column] = some.indices.to_numpy() + len(ids)
+            ids += [memo[x] if x else b"" for x in some.dictionary.to_pylist()]
+        other = np.flatnonzero(pc.is_null(found).to_numpy(zero_copy_only=False))
+        part[other, 0] = np.arange(len(other)) + len(ids)
+        ids += [self.other[x] for x in cuts.take(pa.array(other)).to_pylist()]
+        part = part[codes]
         if self.byte_level:
-            if not splits_at_spaces(text):
-                return None
-            first, *rest = text.split(" ")
-            return first, rest
-        return None if ODD_SPACE.search(text) else ("", text.split())
+            # no space comes before the first cut of a text
+            first = offsets[:-1]
+            coded = values.take(pa.array(first)).dictionary_encode()
+            part[first, 0] = coded.indices.to_numpy() + len(ids)
+            part[first, 1] = 0
+            ids += [self._word(w, "") if w else b"" for w in coded.dictionary.to_pylist()]
+        return offsets, part.ravel(), ids
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        offsets, codes, known = self._cuts(texts)
+        pool = np.frombuffer(b"".join(known), "<u4")
+        size = np.array([len(k) >> 2 for k in known], np.int64)
+        start = np.cumsum(size) - size
+        length = size[codes]
+        end = np.cumsum(length)
+        shift = np.repeat(start[codes] - (end - length), length)
+        shift += np.arange(len(shift))
+        ids = pool[shift].tobytes()
+        bounds = (4 * np.append(0, end)[2 * offsets]).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        wanted: set[str] = set()
-        for c in cut:
-            if c is not None:
-                wanted.update(c[1])
-        self._learn(wanted.difference(self.memo))
-        get = self.memo.__getitem__
-        out = []
-        for text, c in zip(texts, cut):
-            if c is None:
-                out.append(self.whole(text))
-            else:
-                out.append((self.whole(c[0]) if c[0] else b"") + b"".join(map(get, c[1])))
-        return out
+        safe = [not self.byte_level or splits_at_spaces(t) for t in texts]
+        found = iter(self._encode([t for t, ok in zip(texts, safe) if ok]) if any(safe) else [])
+        return [next(found) if ok else self.whole(t) for t, ok in zip(texts, safe)]
 
 
 @functools.lru_cache(4)
