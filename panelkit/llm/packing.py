@@ -39,7 +39,10 @@ from panelkit.llm.encoders import encoder, text_groups
 CAPACITY = 1024
 GROUPS = 192
 LARGE_SHARE = 8
-SALTS = 256
+#: Groups in which the items of a length are ranked: at least this many, and more for more items.
+SALTS, ITEMS_PER_SALT, MOST_SALTS = 256, 1_000_000, 65_536
+#: A plan of more rows, which the number of lengths should not allow, is joined without a broadcast.
+BROADCAST_PLAN = 200_000
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -210,19 +213,22 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUP
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan, _ = plan_packing(counts, capacity, groups)
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # at most capacity x SALTS rows, whatever the number of pieces
+    salts = min(max(SALTS, -(-sum(counts.values()) // ITEMS_PER_SALT)), MOST_SALTS)
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # a row for each length and salt; the join finds the pieces where the window has put them
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     bases = bases.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("__nth", F.row_number().over(within) - 1).join(F.broadcast(bases), ["length", "__salt"])
+    ranked = salted.withColumn("__nth", F.row_number().over(within) - 1).join(bases, ["length", "__salt"])
     ranked = ranked.withColumn("__rank", F.col("__base") + F.col("__nth"))
     # the plan's size is bounded by the number of lengths
-    slots = spark.createDataFrame(plan, "__length int, __first long, __n long, __sequence long, __each long, __offset long") if plan else spark.createDataFrame([], "__length int, __first long, __n long, __sequence long, __each long, __offset long")
+    slots = spark.createDataFrame(plan, "__length int, __first long, __n long, __sequence long, __each long, __offset long")
+    if len(plan) <= BROADCAST_PLAN:
+        slots = F.broadcast(slots)
     hit = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__first") + F.col("__n"))
     k = F.col("__rank") - F.col("__first")
-    placed = ranked.join(F.broadcast(slots), hit)
+    placed = ranked.join(slots, hit)
     return placed.select(
         *pieces.columns,
         (F.col("__sequence") + F.floor(k / F.col("__each"))).cast("long").alias("sequence_id"),
