@@ -69,6 +69,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    name = "__" + name
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def batch_rows(batches: Iterator[pa.RecordBatch], *columns: str):
     """Python lists of the named columns of each Arrow batch."""
     for batch in batches:
