@@ -6,14 +6,25 @@ not empty, found by a probe sequence that depends on the bin and the attempt (op
 densification).  Bands of ROWS bins make buckets; documents that share a bucket are
 candidates.
 
+Sets so small that linked ones differ by one shingle at most also get a bucket for the
+whole set and one for the set without each shingle, so their candidates are exact.
+
 Documents with equal sets are one class, and only classes take part.  Each bucket sends
 *stars*: edges from a centre to the others, never all pairs.  The first centre is the
 member that shares the most buckets.  Edges are checked on the full sets, and checked
 links grow components.  Buckets whose members are not yet in one component go on with
-further centres, eight times as many in each round, and edges only go to members of other
-components; members that can have no link, as too few of their shingles occur in any other
-open set, are left out.  So in the end every two members of a bucket are connected, were
-compared, or can't be linked.
+further centres, eight times as many in each round; edges only go to members of other
+components, and only where a link is not ruled out by what is known of both ends:
+
+- The intersection with the first centre c is known from the first round.  x lacks m of
+  c's shingles and y lacks m', so inside c they differ by ``|m - m'|`` shingles at least.
+- u and u' of their shingles are in no other open set.  Outside c, they have w and w' that
+  are neither in c nor theirs alone.  So x and y differ by
+  ``u + u' + |m - m'| + |w - w'|`` shingles at least, and a link allows
+  ``(n + n') (100 - percent) / (100 + percent)``.
+
+Members with no possible partner left go, so in the end every two members of a bucket are
+connected, were compared, or can't be linked.
 
 Edge cases: a null text, or one without words, has the empty set, which is linked with
 nothing; a text with fewer words than a shingle has one shingle, the whole sequence; null
@@ -26,10 +37,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import materialize
+from panelkit.llm.common import discard, materialize
 
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -97,9 +108,20 @@ def sketch(hashes: np.ndarray, probes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(width: int):
+def _small(percent: int) -> int:
+    """The size up to which two linked sets differ by one element at most."""
+    return ((2 * (100 + percent) - 1) // (100 - percent) + 1) // 2 if percent < 100 else 0
+
+
+def _neighbours(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of a set and of the set without each element; hashes of sets are the XOR of their elements."""
+    whole = np.bitwise_xor.reduce(hashes)
+    return _mix(np.append(whole, whole ^ hashes) * _ODD[3] + _ODD[4])
+
+
+def _sketches(width: int, percent: int):
     def run(batches):
-        shingle, probes = Shingler(width), _probes()
+        shingle, probes, small = Shingler(width), _probes(), _small(percent)
         for batch in batches:
             ids, sizes, keys, bands = [], [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -115,6 +137,8 @@ def _sketches(width: int):
                 code = np.arange(BANDS, dtype=np.uint64)
                 for k in range(ROWS):
                     code = _mix(code * _ODD[2] + s[:, k])
+                if len(h) <= small:
+                    code = np.append(code, _neighbours(h))
                 bands.append(code.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
 
@@ -134,22 +158,21 @@ def _sets(width: int):
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for k, (a, b) in enumerate(zip(batch["hashes_a"].to_pylist(), batch["hashes_b"].to_pylist())):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
+            out = [[], [], [], []]
+            for a, b in zip(batch["hashes_a"], batch["hashes_b"]):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(keep, pa.int32())) for c in ("a", "b")], names=["a", "b"])
+                for column, value in zip(out, (len(x), len(y), both, 100 * both >= percent * (len(x) + len(y) - both))):
+                    column.append(value)
+            columns = [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *columns], names=["a", "b", "size_a", "size_b", "common", "linked"])
 
     return run
 
 
-def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over ``links`` (a, b), for every linked node.
 
     Labels take the least label of their neighbours and then that label's own label, until
@@ -163,8 +186,10 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = materialize(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
         changed = new.where("old <> component").limit(1).count()
+        discard(labels)
         labels = new.select("node", "component")
         if not changed:
+            discard(both)
             return labels
 
 
@@ -174,47 +199,59 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     Rows are linked if ``100 * |intersection| >= percent * |union|`` of their shingle sets.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialize(rows.mapInArrow(_sketches(width), "doc_id long, n_shingles long, set_key binary, bands array<bigint>"), "sketches", "lz4")
+    sketches = materialize(rows.mapInArrow(_sketches(width, percent), "doc_id long, n_shingles long, set_key binary, bands array<bigint>"), "sketches", "lz4")
     classes = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     # a document whose id is not unique may stand for several classes; the id then joins them
-    members = materialize(classes.select("node", F.explode("bands").alias("bucket")), "members")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = members.join(shared, "bucket").select("bucket", "node", "size").distinct()
+    every = materialize(classes.select("node", F.explode("bands").alias("bucket")), "members")
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = every.join(shared, "bucket").select("bucket", "node", "size").distinct()
     central = members.groupBy("node").agg(F.sum("size").alias("central"))
-    open_members = materialize(members.select("bucket", "node").join(central, "node"), "members")
-    wanted = open_members.select("node").distinct()
+    members = materialize(members.select("bucket", "node").join(central, "node"), "members")
+    discard(every)
+    wanted = members.select("node").distinct()
     first_text = rows.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
     sets = materialize(first_text.mapInArrow(_sets(width), "node long, hashes binary"), "sets", "none")
-    links = labels = None
-    first, centres = 0, 1
-    while True:
-        found = open_members if labels is None else open_members.join(labels, "node", "left")
-        found = found.withColumn("component", F.coalesce("component", "node") if labels is not None else F.col("node"))
-        if labels is not None:
-            found = materialize(_unsettled(found, first), "open")
-            if first == 1:
-                found = materialize(_unsettled(_hopeful(found, sets, percent), first), "open")
-            if found.isEmpty():
-                break
-            open_members = found.select("bucket", "node", "central")
-        edges = _stars(found, first, centres)
-        edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
-        checked = materialize(pairs.mapInArrow(_verify(percent), "a long, b long"), "checked")
-        if labels is None or not checked.isEmpty():
-            links = checked if links is None else links.unionByName(checked)
+    order = F.struct((-F.col("central")).alias("central"), F.col("node").alias("node"))
+    centres = members.groupBy("bucket").agg(F.min(order)["node"].alias("centre"))
+    # from here on a bucket is named by its centre, so buckets of one centre are one and a pair meets there once
+    starred = members.select("bucket", "node").join(centres, "bucket").select(F.col("centre").alias("bucket"), "centre", "node").distinct()
+    starred = materialize(starred, "starred")
+    discard(members)
+    checked = _checked(starred.select(F.col("centre").alias("a"), F.col("node").alias("b")).where("a <> b"), sets, percent)
+    links = checked.where("linked").select("a", "b")
+    labels = components(links)
+    live = _live(starred, checked, labels, sets, percent)
+    most = GROWTH
+    while not live.isEmpty():
+        now = live.where(F.col("turn") < most)
+        mine = now.select("bucket", *[F.col(c).alias(c + "_a") for c in ("node", "component", "bound", "lacks", "others")])
+        edges = live.join(mine, "bucket").where((F.col("component") != F.col("component_a")) & _possible(percent, "_a") & (F.abs(F.col("others") - F.col("others_a")) * (100 + percent) + _distance(percent, "_a") <= 0))
+        more = _checked(edges.select(F.col("node_a").alias("a"), F.col("node").alias("b")), sets, percent)
+        links = links.unionByName(more.where("linked").select("a", "b"))
+        if not more.where("linked").isEmpty():
+            discard(labels)
             labels = components(links)
-        first, centres = first + centres, centres * GROWTH
+        rest = live.where(F.col("turn") >= most).drop("component")
+        most *= GROWTH
+        after = materialize(_with_partner(_labelled(rest, labels), percent), "live")
+        discard(live)
+        live = after
     leader = classes.select("set_key", "node")
     placed = sketches.drop("bands").join(leader, "set_key", "left").join(labels, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _unsettled(members: DataFrame, first: int) -> DataFrame:
-    """Members of buckets that hold more than one component and more members than centres so far."""
-    state = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-    return members.join(state.where(f"lo < hi and size > {first}").select("bucket"), "bucket")
+def _checked(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, size_a, size_b, common, linked) of each distinct edge, a < b, from the full sets."""
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+    return materialize(pairs.mapInArrow(_verify(percent), "a long, b long, size_a int, size_b int, common int, linked boolean"), "checked")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with the component of their node."""
+    return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _tokens(batches):
@@ -224,33 +261,54 @@ def _tokens(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["node", "token"])
 
 
-def _hopeful(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members that can still have a link.
+def _distance(percent: int, suffix: str) -> Column:
+    """At most 0 unless the sizes, own shingles and missing shingles of two members rule a link out."""
+    return F.col("bound") + F.col("bound" + suffix) + (100 + percent) * F.abs(F.col("lacks") - F.col("lacks" + suffix))
+
+
+def _possible(percent: int, suffix: str) -> Column:
+    return _distance(percent, suffix) <= 0
+
 
-    A link needs ``percent`` of a set in the intersection, so a node is out if too few of
-    its shingles are in any other set of an open bucket.  That is exact, and it spares the
-    many comparisons of copies that have drifted away from their group.
+def _live(starred: DataFrame, checked: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that can still have a link, with what bounds their links.
+
+    bucket, node, component; bound: (100 + percent) u - (100 - percent) n; lacks: m;
+    others: w; turn: the expected number of members of the bucket whose turn as a centre
+    comes before.
     """
-    open_sets = sets.join(members.select("node").distinct(), "node")
+    found = _labelled(starred, labels)
+    state = found.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    found = materialize(found.join(state.where("lo < hi").select("bucket", "size"), "bucket"), "unsettled")
+    # centres belong to it, so that no shingle of a centre counts as another's own
+    open_sets = sets.join(found.select("node").distinct(), "node")
     tokens = materialize(open_sets.mapInArrow(_tokens, "node long, token long"), "tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
     hits = tokens.join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    size = F.length("hashes") / 8
-    good = open_sets.select("node", size.alias("size")).join(hits, "node").where(F.col("shared") * 100 >= F.col("size") * percent)
-    return members.join(good.select("node").distinct(), "node", "left_semi")
-
+    size = (F.length("hashes") / 8).cast("long")
+    good = materialize(open_sets.select("node", size.alias("n")).join(hits, "node").where(F.col("shared") * 100 >= F.col("n") * percent), "hopeful")
+    discard(tokens)
+    pair = checked.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "size_a", "size_b", "common")
+    found = found.where("node <> centre").join(good, "node")
+    found = found.withColumn("lo", F.least("node", "centre")).withColumn("hi", F.greatest("node", "centre")).join(pair, ["lo", "hi"])
+    centre_size = F.when(F.col("centre") == F.col("lo"), F.col("size_a")).otherwise(F.col("size_b"))
+    own = F.col("n") - F.col("shared")
+    live = found.select(
+        "bucket", "node", "component",
+        ((100 + percent) * own - (100 - percent) * F.col("n")).alias("bound"),
+        (centre_size - F.col("common")).cast("long").alias("lacks"),
+        (F.col("shared") - F.col("common")).cast("long").alias("others"),
+        (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("size") / (1 << 30)).alias("turn"),
+    )
+    live = materialize(live, "live")
+    out = materialize(_with_partner(live, percent), "live")
+    discard(live)
+    return out
 
-def _stars(members: DataFrame, first: int, centres: int) -> DataFrame:
-    """Edges (a, b) from each bucket's centres number first .. first + centres to its other members.
 
-    Only members of other components than the centre's get an edge.  Centres are found by
-    an aggregate that keeps as many rows of a bucket as there are centres.
-    """
-    order = F.struct((-F.col("central")).alias("central"), F.col("node").alias("node"), F.col("component").alias("component"))
-    if first == 0:
-        chosen = members.groupBy("bucket").agg(F.min(order).alias("centre")).select("bucket", "centre.node", "centre.component")
-    else:
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy((-F.col("central")), "node"))
-        chosen = members.withColumn("nth", nth).where((F.col("nth") > first) & (F.col("nth") <= first + centres)).select("bucket", "node", "component")
-    chosen = chosen.select("bucket", F.col("node").alias("a"), F.col("component").alias("component_a"))
-    return members.select("bucket", F.col("node").alias("b"), "component").join(chosen, "bucket").where("component <> component_a and a <> b").select("a", "b")
+def _with_partner(live: DataFrame, percent: int) -> DataFrame:
+    """``live`` members that have a possible partner in another component of their bucket."""
+    cells = live.groupBy("bucket", "component", "lacks").agg(F.min("bound").alias("bound"))
+    cells = cells.select("bucket", *[F.col(c).alias(c + "_c") for c in ("component", "bound", "lacks")])
+    hit = (live["bucket"] == cells["bucket"]) & (F.col("component") != F.col("component_c")) & _possible(percent, "_c")
+    return live.join(cells, hit, "left_semi")
