@@ -18,6 +18,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -108,23 +110,25 @@ def fit(docs: DataFrame) -> LanguageModel:
     return LanguageModel(languages, counts)
 
 
-def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred and score; ``text`` is all a prediction sees."""
+def with_prediction(docs: DataFrame, model: LanguageModel, out: str) -> DataFrame:
+    """``docs`` with a struct column ``out`` of lang_pred and score.
+
+    Only the texts go to Python; all other columns stay where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            found = [shared.value.predict(t) for t in batch["__text"].to_pylist()]
-            columns = [batch[c] for c in keep] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            found = [shared.value.predict(t.as_py()) for t in some]
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
 
-    chosen = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__text")
-    return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    # taken for not deterministic, so that a filter on it doesn't run it a second time
+    told = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
+    return docs.withColumn(out, told(F.col("text")))
 
 
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); learns from rows where ``held_out`` is false."""
     flagged = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(True)).alias("held_out"))
     model = fit(flagged.where(~F.col("held_out")))
-    return predict(flagged, model, "doc_id", "held_out")
+    return with_prediction(flagged, model, "told").select("doc_id", "held_out", "told.lang_pred", "told.score")

@@ -525,9 +525,8 @@ def test_line_dedup(spark, medium):
         assert r["text"] == "\n".join(x for k, x in enumerate(text[r["doc_id"]].split("\n")) if k not in set(removed[r["doc_id"]]))
 
 
-def test_line_dedup_with_common_passages(spark, monkeypatch):
-    """Lines that share a very common passage, with the count that makes tokens common lowered."""
-    monkeypatch.setattr(line_dedup, "COMMON_LEAST", 4)
+def test_line_dedup_with_common_passages(spark):
+    """Lines that share a very common passage."""
     rng = np.random.default_rng(2)
     passage = " ".join(f"p{k}" for k in range(60))
     rows = []
@@ -594,3 +593,122 @@ def test_pipeline_stages(spark, small, tmp_path):
 def test_queries_are_registered():
     names = list(queries())
     assert [n.split("_")[0] for n in names[:-1]] == [f"op{k}" for k in range(1, 11)] and names[-1] == "pipeline"
+
+
+# -- further cases of token-id files ----------------------------------------------------
+
+
+def test_id_files_ascend_bytewise(spark, tmp_path):
+    """The files in the order of their names, decoded with numpy alone, are the ids in order of doc_id."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    library = Tokenizer.from_file(WORD)
+    rows = [(i, f"text {i} of some words", "en", "s") for i in (*range(50), 2**62, 2**53 + 1, 2**53, 2**53 + 2, -(2**62))]
+    rows += [(7, f"repeated id {k % 5}", "en", "s") for k in range(60)] + [(None, f"null id {k % 3}", "en", "s") for k in range(40)]
+    rows.append((90, "x" * 30_000 + " long", "en", "s"))
+    id_files.write_ids(frame(spark, rows), f"file://{tmp_path}/f", WORD, 1, rows_per_shard=10, block_ids=100)
+    rank = {r["rank"]: r["id"] for r in pq.read_table(f"{tmp_path}/f/ranking").to_pylist()}
+    got, files = [], sorted(glob.glob(f"{tmp_path}/f/blocks/part-*.parquet"))
+    for f in files:
+        for block in pq.read_table(f).to_pylist():
+            ids = [rank[x] for x in id_files.unpack(block["control"], block["data"], sum(block["lengths"])).tolist()]
+            at = 0
+            for i, n in zip(block["doc_ids"], block["lengths"]):
+                got.append((i, tuple(ids[at : at + n])))
+                at += n
+    assert len(files) > 8
+    assert [g[0] for g in got] == sorted((r[0] for r in rows), key=lambda i: (i is None, i or 0))
+    assert Counter(got) == Counter((i, (*library.encode(t, add_special_tokens=False).ids, 1)) for i, t, *_ in rows)
+    start, want = 0, []
+    for i, ids in got:
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, id_files.stored_digest(spark, f"file://{tmp_path}/f").collect()), key=lambda r: r[1]) == want
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_word_encoder_equals_the_library(path):
+    from panelkit.llm.encoders import WordEncoder
+
+    bits = [*"ab cdeS'\n\t .!?0 9é日  Ǆİ×ßΣ́ſ\x1c\x85\xa0 \v\f\r", "ing", "the", " and", "<|endoftext|>", "\n\n", "don't", "Straße", "éa", "é", "ΑΣ", " x\n\n\ny ", "ﬁ"]
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(bits, rng.integers(0, 40))) for _ in range(3000)] + ["", "x" * 5000, "A.\nB c\n\n\nd"]
+    coder = WordEncoder(path)
+    assert coder.encode(texts) == [coder.whole(t) for t in texts]
+
+
+# -- further cases of line dedup --------------------------------------------------------
+
+
+def test_line_dedup_of_many_near_copies(spark):
+    """Groups of lines at all distances around the bound, short ones too, and clashing column names."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in rng.integers(0, 500, int(rng.integers(1, 70)))]
+        for i in range(25):
+            w = list(base)
+            for k in rng.integers(0, len(w), rng.integers(0, 4)):
+                w[k] = f"e{rng.integers(0, 6)}"
+            cut = int(rng.integers(0, 4))
+            rows.append((int(rng.integers(0, 60)) + 100 * i, " ".join(w[cut:]) + "\tx\n" + " ".join(base[: len(base) // 2]), "en", "s"))
+    rows = list({r[0]: r for r in rows}.values())
+    removed, links = brute_lines([(r[0], r[1]) for r in rows])
+    docs = frame(spark, rows).withColumn("__id", F.lit(5)).withColumn("__hash", F.lit("x")).withColumn("__removed", F.lit(1)).withColumn("n_links", F.lit(None).cast("string"))
+    got = line_dedup.dedup_lines(docs).collect()
+    assert {r["doc_id"]: (r["removed_lines"], r["n_links"]) for r in got} == {r[0]: (removed[r[0]], links[r[0]]) for r in rows}
+    assert all((r["__id"], r["__hash"], r["__removed"]) == (5, "x", 1) for r in got)
+    assert sum(map(len, removed.values())) > 50 and sum(links.values()) > 50
+
+
+# -- further cases of near duplicates ---------------------------------------------------
+
+
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_near_duplicates_of_small_and_hot_groups(spark, width, percent):
+    """Small sets, and a large group of copies at all distances around the bound."""
+    rng = np.random.default_rng(7)
+    rows, base = [], [f"b{k}" for k in range(120)]
+    for i in range(400):
+        w = list(base)
+        for j, k in enumerate(rng.integers(0, 120, rng.integers(0, 8))):
+            w[k] = f"e{i}-{j}" if rng.random() < 0.8 else "shared"
+        rows.append((1000 + i, " ".join(w), "en", "s"))
+    for i in range(300):
+        n = int(rng.integers(1, 18))
+        start = int(rng.integers(0, 3))
+        rows.append((5000 + i, " ".join(f"s{i % 40}-{k}" for k in range(start, start + n)), "en", "s"))
+    want = {i: c for i, (_, c) in brute_groups([(r[0], r[1]) for r in rows], width, percent).items()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, rows), width, percent).collect()}
+    assert got == want
+    assert 100 < len(set(want.values())) < 600
+
+
+# -- further cases of the pipeline ------------------------------------------------------
+
+
+def test_pipeline_of_odd_rows(spark, small, tmp_path):
+    """Nulls, repeated rows, clashing column names and empty tables through every stage."""
+    import corpus_pipeline
+
+    base = documents(spark, small).limit(40).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    first = base.first()
+    more = spark.createDataFrame([(first["doc_id"], first["text"], "en", "s", 1), (None, "a null id has many words of its own here", "en", None, 1), (10**12, None, None, None, None), (10**12 + 1, "12 34", "en", "s", 5), (10**12 + 2, " ", "en", "s", 1)], base.schema)
+    names = ["lang_pred", "score", "__text", "__id", "__hash", "__removed", "n_links", "key", "size", "row", "bucket", "length", "piece"]
+    docs = base.unionByName(more).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for start in (docs, docs.limit(0)):
+        before = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{tmp_path}/{start is docs}-{k}"
+            stage(spark, before, small).write.parquet(path)
+            before = spark.read.parquet(path)
+            if k < 4:
+                assert before.columns == docs.columns
+                assert all(r[c] == n for r in before.collect() for n, c in enumerate(names))
+            if name == "near_duplicates":
+                ids = [r["doc_id"] for r in before.collect()]
+                assert len(ids) == len(set(ids)) and (None in ids) == (start is docs)
+                assert not {10**12, 10**12 + 1, 10**12 + 2} & set(ids)
+        assert (before.count() > 0) == (start is docs)
