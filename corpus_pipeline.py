@@ -2,6 +2,11 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet
 and read again as the next stage's ``docs``.
+
+Edge cases: documents without text, letters or words go in the first two stages; null ids are
+rows of their own and stay; rows that repeat id and text are reduced to one with the near
+duplicates; columns besides those of documents are kept as they are, whatever their names;
+an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -15,26 +20,34 @@ from panelkit.llm.common import crc_mod, documents, new_path
 
 #: A document whose main language has less than this share is rejected.
 LEAST_SHARE = 0.5
+#: A column of the language stage alone.
+TOLD = "__language_stage"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known main language; others go.  A missing language is filled in."""
     model = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
-    told = language_id.predict(docs, model, *docs.columns)
-    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
-    return told.where(sure).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = language_id.with_prediction(docs, model, TOLD)
+    sure = (F.col(f"{TOLD}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{TOLD}.score") >= LEAST_SHARE)
+    return told.where(sure).withColumn("lang", F.coalesce("lang", f"{TOLD}.lang_pred")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that came before; those left without a word go."""
-    out = line_dedup.dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.dedup_lines(docs, counts=False).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five words a shingle, similarity 0.8."""
     found = near_dup.near_duplicates(docs, 5, 80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(found, "doc_id", "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").select("doc_id").distinct()
+    if not repeated.isEmpty():
+        # only the texts of repeated ids are compared as a whole
+        once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
