@@ -144,15 +144,3 @@ def fundamental() -> FactorCatalog:
 
 def combined() -> FactorCatalog:
     return price_volume() + extended() + fundamental()
-
-
-def classic_names() -> dict[str, str]:
-    """Short serial names of the price/volume factors, in catalog order, to their names here.
-
-    They alternate KMIDk and KLENk, k from 1 (not written) on; for the factors of ``close``
-    KLENk comes first.
-    """
-    names = price_volume().names
-    close = range(names.index("REF_close_1"), names.index("REF_volume_1"))
-    serial = lambda i: ("KMID" if (i % 2 == 0) != (i in close) else "KLEN") + (str(i // 2 + 1) if i > 1 else "")
-    return {serial(i): n for i, n in enumerate(names)}

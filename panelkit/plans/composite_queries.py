@@ -109,7 +109,7 @@ add("ds_tabular", on_both(_tabular), with_views(f"SELECT entity, trade_date, CAS
 WF = "SELECT fold, (SELECT coalesce(min(trade_date) FILTER (trade_date >= a), min(trade_date)) FROM cal) AS train_start, (SELECT coalesce(max(trade_date) FILTER (trade_date <= b), max(trade_date)) FROM cal) AS train_end, (SELECT coalesce(min(trade_date) FILTER (trade_date >= c), min(trade_date)) FROM cal) AS test_start, (SELECT coalesce(max(trade_date) FILTER (trade_date <= least(d, l)), max(trade_date)) FROM cal) AS test_end FROM (SELECT k AS fold, CAST(DATE '1995-01-01' + to_months(CAST(6 * k AS INTEGER)) AS DATE) AS a, CAST(DATE '1995-01-01' + to_months(CAST(6 * k + 24 AS INTEGER)) AS DATE) AS b, CAST(DATE '1995-01-01' + to_months(CAST(6 * k + 26 AS INTEGER)) AS DATE) AS c, CAST(DATE '1995-01-01' + to_months(CAST(6 * k + 38 AS INTEGER)) AS DATE) AS d, (SELECT max(trade_date) FROM cal) AS l FROM range(40) r(k)) WHERE c < l"
 windows = lambda b: dataset.walkforward_windows(source.calendar(b), date(1995, 1, 1), 2)
 add("ds_walkforward_windows", on_bars(windows), with_views(WF, "cal"))
-add("ds_expanding_folds", on_bars(lambda b: dataset.assign_folds(b.select(*KEYS), F.broadcast(b.sparkSession.createDataFrame([(k, date(1992, 1, 1), date(1995 + k, 12, 31), date(1996 + k, 1, 1), date(1996 + k, 6, 30)) for k in range(4)], "fold int, train_start date, train_end date, test_start date, test_end date"))).groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"))), with_views("SELECT CAST(k AS INTEGER) AS fold, CASE WHEN year(trade_date) <= 1995 + k THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM bars, range(4) r(k) WHERE (year(trade_date) <= 1995 + k AND trade_date >= DATE '1992-01-01') OR (year(trade_date) = 1996 + k AND trade_date <= make_date(1996 + k, 6, 30)) GROUP BY ALL", "bars"))
+add("ds_expanding_folds", on_bars(lambda b: dataset.assign_folds(b.select(*KEYS), F.broadcast(b.sparkSession.createDataFrame([(k, date(1992, 1, 1), date(1995 + k, 12, 31), date(1996 + k, 1, 1), date(1996 + k, 6, 30)) for k in range(8)], "fold int, train_start date, train_end date, test_start date, test_end date"))).groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"))), with_views("SELECT CAST(k AS INTEGER) AS fold, CASE WHEN year(trade_date) <= 1995 + k THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM bars, range(8) r(k) WHERE (year(trade_date) <= 1995 + k AND trade_date >= DATE '1992-01-01') OR (year(trade_date) = 1996 + k AND trade_date <= make_date(1996 + k, 6, 30)) GROUP BY ALL", "bars"))
 add("ds_time_holdout", on_bars(lambda b: dataset.time_holdout(b.select(*KEYS))), with_views("SELECT entity, trade_date, nth > n - floor(n * 0.1) AS holdout FROM bars JOIN (SELECT trade_date, nth, count(*) OVER () AS n FROM nth) USING (trade_date)", "bars", "nth"))
 add("ds_balance_classes", on_bars(lambda b: dataset.balance_classes(b.select(*KEYS, (F.col("close") > F.col("open")).alias("up")), "up", 20)), with_views("SELECT entity, trade_date, up FROM (SELECT *, row_number() OVER (PARTITION BY entity, up ORDER BY md5(CAST(entity AS VARCHAR) || '|' || CAST(trade_date AS VARCHAR)), trade_date) AS k FROM (SELECT entity, trade_date, close > open AS up FROM bars)) WHERE k <= 20", "bars"))
 add("ds_reward", on_bars(lambda b: b.select(*KEYS, rounded(F.col("flag_share") * (0.5 * ts.forward_return("close", 5) + 0.5 * ts.forward_return("close", 20)) / 0.05 - F.abs(F.col("flag_share") - F.coalesce(ts.ref("flag_share", 1), F.lit(0.0))) * 0.0003).alias("reward"))), with_views(f"SELECT entity, trade_date, {rounded_sql('flag_share * (0.5 * (lead(close, 5) OVER w / NULLIF(close, 0) - 1) + 0.5 * (lead(close, 20) OVER w / NULLIF(close, 0) - 1)) / 0.05 - abs(flag_share - coalesce(lag(flag_share) OVER w, 0)) * 0.0003')} AS reward FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)", "bars"))

@@ -151,19 +151,37 @@ add("filter_min_history", on_bars(lambda b: universe.min_history(b, 285, 40).gro
 # joins
 add("join_left_panel", on_bars(lambda b: keys(b.select(*KEYS, "close").join(source.fundamentals(b).where("volume_ratio > 1").select(*KEYS, "volume_ratio"), KEYS, "left").withColumn("r", rounded(F.col("volume_ratio"))), "r")), with_views(f"SELECT entity, trade_date, {rounded_sql('volume_ratio')} AS r FROM bars LEFT JOIN (SELECT entity, trade_date, volume_ratio FROM fund WHERE volume_ratio > 1) f USING (entity, trade_date)", "fund"))
 add("join_inner_universe", on_bars(lambda b: keys(b.join(b.where("volume > 50").select(*KEYS), KEYS))), with_views(f"{K} bars JOIN (SELECT entity, trade_date FROM bars WHERE volume > 50) USING (entity, trade_date)", "bars"))
-add("join_inner_dim", on_both(lambda b, s: keys(b.join(F.broadcast(s.where("market <> 'AFRICA'")), "entity"), "industry")), with_views("SELECT entity, trade_date, industry FROM bars JOIN sec USING (entity) WHERE market <> 'AFRICA'", "bars", "sec"))
+add("join_inner_dim", on_both(lambda b, s: keys(b.join(s.where("market <> 'AFRICA'"), "entity"), "industry")), with_views("SELECT entity, trade_date, industry FROM bars JOIN sec USING (entity) WHERE market <> 'AFRICA'", "bars", "sec"))
 paths = lambda b: dataset.label_valid(dataset.label_path(b)).select(*KEYS, *[rounded(F.col(f"label_{k}")).alias(f"label_{k}") for k in (5, 20, 60)])
 PATHS = f"SELECT entity, trade_date, {rounded_sql('(c5 - lo5) / NULLIF(hi5 - lo5, 0)')} AS label_5, {rounded_sql('(c20 - lo20) / NULLIF(hi20 - lo20, 0)')} AS label_20, {rounded_sql('c60 / NULLIF(close, 0) - 1')} AS label_60 FROM lab WHERE {VALID}"
 add("ds_label_path", on_bars(paths), with_views(PATHS, "bars", lab=LAB))
 add("join_left_labels", on_bars(lambda b: b.where("volume > 40").select(*KEYS).join(paths(b), KEYS)), with_views(f"SELECT p.* FROM bars JOIN ({PATHS}) p USING (entity, trade_date) WHERE volume > 40", "bars", lab=LAB))
 add("join_two_panels", on_bars(lambda b: b.select(*KEYS, "volume").join(source.fundamentals(b).drop("pe_ttm", "pb", "circ_mv").select(*KEYS, rounded(F.col("turnover_rate")).alias("turnover")), KEYS)), with_views(f"SELECT entity, trade_date, volume, {rounded_sql('turnover_rate')} AS turnover FROM bars JOIN fund USING (entity, trade_date)", "fund"))
-add("join_map_lookup", on_both(lambda b, s: keys(b.join(F.broadcast(s.where("market <> 'ASIA'").select("entity", "industry")), "entity", "left").withColumn("industry", F.coalesce("industry", F.lit("Unknown"))), "industry")), with_views("SELECT entity, trade_date, coalesce(s.industry, 'Unknown') AS industry FROM bars LEFT JOIN (SELECT * FROM sec WHERE market <> 'ASIA') s USING (entity)", "bars", "sec"))
+add("join_map_lookup", on_both(lambda b, s: keys(b.join(s.where("market <> 'ASIA'").select("entity", "industry"), "entity", "left").withColumn("industry", F.coalesce("industry", F.lit("Unknown"))), "industry")), with_views("SELECT entity, trade_date, coalesce(s.industry, 'Unknown') AS industry FROM bars LEFT JOIN (SELECT * FROM sec WHERE market <> 'ASIA') s USING (entity)", "bars", "sec"))
 TOP = f"SELECT entity, row_number() OVER (ORDER BY {rounded_sql('pred')} DESC NULLS LAST, entity) AS nth FROM pred WHERE trade_date = (SELECT max(trade_date) FROM pred)"
 
 
+def _scores(b):
+    """Scores of the latest session; one row for each entity."""
+    return io.latest_partition(source.predictions(b)).select("entity", rounded(F.col("pred")).alias("score"))
+
+
+def _best(b, k):
+    """The first k of the ranking; only they are numbered."""
+    order = [F.desc_nulls_last("score"), F.col("entity")]
+    return _scores(b).orderBy(*order).limit(k).select("entity", F.row_number().over(Window.orderBy(*order)).alias("nth"))
+
+
+def _worst(b, k):
+    """The last k of the ranking, by their place from its end; only they are numbered."""
+    scores, order = _scores(b), [F.asc_nulls_first("score"), F.desc("entity")]
+    last = scores.orderBy(*order).limit(k).withColumn("from_end", F.row_number().over(Window.orderBy(*order)))
+    return last.crossJoin(scores.agg(F.count(F.lit(1)).alias("total"))).select("entity", (F.col("total") - F.col("from_end") + 1).cast("int").alias("nth"))
+
+
 def _ranking(b):
     """Scores of the latest session in order; one row for each entity."""
-    return io.latest_partition(source.predictions(b)).withColumn("score", rounded(F.col("pred"))).select("entity", "score", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "entity")).alias("nth"))
+    return _scores(b).select("entity", "score", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "entity")).alias("nth"))
 
 
 add("join_holdings_rank", on_both(lambda b, s: s.where("entity % 3 = 0").select("entity", "name").join(_ranking(b), "entity", "left").select("entity", "name", F.coalesce(F.col("nth").cast("string"), F.lit("not in scope")).alias("place"))), with_views(f"SELECT entity, name, coalesce(CAST(nth AS VARCHAR), 'not in scope') AS place FROM sec LEFT JOIN ({TOP}) t USING (entity) WHERE entity % 3 = 0", "pred", "sec"))
@@ -229,8 +247,8 @@ add("agg_entropy_xent", lambda s, d: _probs(s, d).agg(rounded(F.avg(metrics.entr
 
 # sorts, top-k, sets
 add("sort_output", on_bars(lambda b: b.select(*KEYS, "volume").orderBy(*KEYS)), with_views("SELECT entity, trade_date, volume FROM bars ORDER BY entity, trade_date", "bars"))
-add("topk_scores", on_both(lambda b, s: _ranking(b).where("nth <= 10").join(F.broadcast(s.select("entity", "name")), "entity").select("nth", "entity", "name")), with_views(f"SELECT nth, entity, name FROM ({TOP}) JOIN sec USING (entity) WHERE nth <= 10", "pred", "sec"))
-add("bottomk_scores", on_bars(lambda b: _ranking(b).orderBy(F.desc("nth")).limit(10).select("entity", "nth")), with_views(f"SELECT entity, nth FROM ({TOP}) ORDER BY nth DESC LIMIT 10", "pred"))
+add("topk_scores", on_both(lambda b, s: _best(b, 10).join(s.select("entity", "name"), "entity").select("nth", "entity", "name")), with_views(f"SELECT nth, entity, name FROM ({TOP}) JOIN sec USING (entity) WHERE nth <= 10", "pred", "sec"))
+add("bottomk_scores", on_bars(lambda b: _worst(b, 10)), with_views(f"SELECT entity, nth FROM ({TOP}) ORDER BY nth DESC LIMIT 10", "pred"))
 
 
 def _open_slots(b):

@@ -57,9 +57,6 @@ def test_ranks_with_ties_and_missing(spark):
 
 def test_catalog_sizes_and_names():
     assert (len(catalog.price_volume().names), len(catalog.extended().names), len(catalog.fundamental().names), len(catalog.combined().names)) == (191, 13, 8, 212)
-    serial = catalog.classic_names()
-    assert len(serial) == 191
-    assert (serial["KMID"], serial["KLEN2"], serial["KLEN34"], serial["KLEN35"], serial["KMID45"], serial["KMID96"]) == ("REF_open_1", "MEAN_open_10", "REF_close_1", "MEAN_close_5", "REF_volume_1", "SUM_close_60")
     with pytest.raises(ValueError):
         catalog.price_volume().add(catalog.price_volume().factors["REF_open_1"])
 
