@@ -148,3 +148,22 @@ def balance_classes(rows: DataFrame, label: str, most: int) -> DataFrame:
     order = F.md5(F.concat_ws("|", F.col("entity").cast("string"), F.col("trade_date").cast("string")))
     nth = F.row_number().over(Window.partitionBy("entity", label).orderBy(order, "trade_date"))
     return rows.withColumn("__nth", nth).where(F.col("__nth") <= most).drop("__nth")
+
+
+#: Fixed values of the reward: least volatility, cost of a unit of change in position.
+LEAST_VOLATILITY, COMMISSION = 1e-6, 0.0003
+
+
+def scaled_reward(panel: DataFrame, position: str, horizons: tuple[int, ...] = (5, 20)) -> DataFrame:
+    """``panel`` with ``reward``: the mean forward return in units of volatility, times the position, less the cost of changing it.
+
+    Volatility is the mean true range of 14 rows over the close, LEAST_VOLATILITY at least.
+    The position before an entity's first row is 0; no reward where a forward close or the
+    volatility is missing.
+    """
+    ranged = panel.withColumn("__true_range", ts.true_range())
+    ratio = ts.div(ts.mean("__true_range", 14), "close")
+    volatility = F.when(ratio.isNotNull(), F.greatest(ratio, F.lit(LEAST_VOLATILITY)))
+    gain = sum((ts.forward_return("close", h) for h in horizons), F.lit(0.0)) / len(horizons)
+    change = F.abs(F.col(position) - F.coalesce(ts.ref(position, 1), F.lit(0.0)))
+    return ranged.withColumn("reward", F.col(position) * (gain / volatility) - change * COMMISSION).drop("__true_range")

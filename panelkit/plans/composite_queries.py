@@ -113,6 +113,7 @@ add("ds_expanding_folds", on_bars(lambda b: dataset.assign_folds(b.select(*KEYS)
 add("ds_time_holdout", on_bars(lambda b: dataset.time_holdout(b.select(*KEYS))), with_views("SELECT entity, trade_date, nth > n - floor(n * 0.1) AS holdout FROM bars JOIN (SELECT trade_date, nth, count(*) OVER () AS n FROM nth) USING (trade_date)", "bars", "nth"))
 add("ds_balance_classes", on_bars(lambda b: dataset.balance_classes(b.select(*KEYS, (F.col("close") > F.col("open")).alias("up")), "up", 20)), with_views("SELECT entity, trade_date, up FROM (SELECT *, row_number() OVER (PARTITION BY entity, up ORDER BY md5(CAST(entity AS VARCHAR) || '|' || CAST(trade_date AS VARCHAR)), trade_date) AS k FROM (SELECT entity, trade_date, close > open AS up FROM bars)) WHERE k <= 20", "bars"))
 add("ds_reward", on_bars(lambda b: b.select(*KEYS, rounded(F.col("flag_share") * (0.5 * ts.forward_return("close", 5) + 0.5 * ts.forward_return("close", 20)) / 0.05 - F.abs(F.col("flag_share") - F.coalesce(ts.ref("flag_share", 1), F.lit(0.0))) * 0.0003).alias("reward"))), with_views(f"SELECT entity, trade_date, {rounded_sql('flag_share * (0.5 * (lead(close, 5) OVER w / NULLIF(close, 0) - 1) + 0.5 * (lead(close, 20) OVER w / NULLIF(close, 0) - 1)) / 0.05 - abs(flag_share - coalesce(lag(flag_share) OVER w, 0)) * 0.0003')} AS reward FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)", "bars"))
+add("ds_reward_scaled", on_bars(lambda b: dataset.scaled_reward(b, "flag_share").select(*KEYS, rounded(F.col("reward")).alias("reward"))), with_views(f"SELECT entity, trade_date, {rounded_sql('flag_share * (gain / vol) - change * 0.0003')} AS reward FROM (SELECT entity, trade_date, flag_share, (0 + (lead(close, 5) OVER w / NULLIF(close, 0) - 1) + (lead(close, 20) OVER w / NULLIF(close, 0) - 1)) / 2 AS gain, CASE WHEN close <> 0 THEN greatest((avg(trng) OVER (PARTITION BY entity ORDER BY trade_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) / close, 1e-6) END AS vol, abs(flag_share - coalesce(lag(flag_share) OVER w, 0)) AS change FROM (SELECT *, greatest(high - low, abs(high - lag(close) OVER v), abs(low - lag(close) OVER v)) AS trng FROM bars WINDOW v AS (PARTITION BY entity ORDER BY trade_date)) WINDOW w AS (PARTITION BY entity ORDER BY trade_date))", "bars"))
 
 # sequences, compared as sums and last elements
 SEQ = "SELECT entity, trade_date, row_number() OVER w AS rn, count(*) OVER (PARTITION BY entity) AS n, list(close) OVER {f} AS c, list(volume) OVER {f} AS v FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)"
