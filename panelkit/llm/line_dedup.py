@@ -54,18 +54,24 @@ def _key(line: str = "line") -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", F.col(line).alias("line"))
 
 
+def _plain_lines() -> Column:
+    """The lines of ``text`` in lower case, with plain spaces for the other white space.
+
+    Both are done for a text at once, which is cheaper than for each line.
+    """
+    low = F.lower("text")
+    return F.split(F.when(low.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(low, r"[\x09\x0B-\x0D]", " ")).otherwise(low), "\n")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, t): every line of every text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    """(doc_id, text_hash, line, t): every line of every text, as ``_plain_lines`` gives it."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(_plain_lines()).alias("line", "t"))
 
 
 def _with_tokens(lines: DataFrame, width: int, *keep: str) -> DataFrame:
     """Columns ``keep`` with n and tokens: sorted distinct token hashes of each line with a word."""
     # a test of the line itself, as one of its words would split it a second time
-    low = F.lower("t")
-    # splitting at a plain space is much cheaper, and most lines have no other white space
-    cut = F.when(low.rlike(r"[\x09-\x0D]"), F.split(low, f"[{SPACE}]+")).otherwise(F.split(low, " "))
-    d = lines.where(F.col("t").rlike(f"[^{SPACE}]")).withColumn("w", F.array_remove(cut, "")).drop("t")
+    d = lines.where(F.col("t").rlike("[^ ]")).withColumn("w", F.array_remove(F.split("t", " "), "")).drop("t")
     d = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).drop("w")
     starts = F.slice(F.col("h"), 1, F.greatest(F.size("h") - (width - 1), F.lit(1)))
     shingles = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, width)]))
@@ -107,7 +113,7 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     keys = materialize(at.groupBy("k_id", "k_hash").agg(F.collect_set("place").alias("places")), "wanted-lines")
     keys = _broadcast_if_small(keys, F.size("places") + 4)
     hit = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
-    found = docs.select("doc_id", "text").join(keys, hit).select("k_id", "k_hash", F.split("text", "\n").alias("all"), "places")
+    found = docs.select("doc_id", "text").join(keys, hit).select("k_id", "k_hash", _plain_lines().alias("all"), "places")
     lines = found.select(F.col("k_id").alias("doc_id"), F.col("k_hash").alias("text_hash"), F.explode(F.transform("places", lambda k: F.struct(k.alias("line"), F.get("all", k).alias("t")))).alias("x"))
     lines = lines.select(_key("x.line").alias("first"), "x.t")
     return _with_tokens(lines, width, "first").select(*_names(), "n", "tokens", "first").dropDuplicates(["a", "b"])
@@ -215,8 +221,8 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, least: float = LEAST, count
     per_row = told.groupBy("doc_id", "text_hash", "line").agg(F.first("gone").alias("gone"), F.first("links").alias("links"))
     own_id, own_hash, gone, n_links = (fresh(docs, name) for name in ("id", "hash", "removed", "links"))
     by_doc = per_row.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias(gone), F.sum("links").alias(n_links))
-    by_doc = materialize(by_doc.withColumnRenamed("doc_id", own_id).withColumnRenamed("text_hash", own_hash), "removed-lines")
-    by_doc = _broadcast_if_small(by_doc, F.size(gone) + 5)
+    # the texts are exchanged at every size; they stream past the lists of places and aren't sorted
+    by_doc = by_doc.withColumnRenamed("doc_id", own_id).withColumnRenamed("text_hash", own_hash).hint("shuffle_hash")
     hit = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash))
     joined = docs.join(by_doc, hit, "left")
     removed = F.coalesce(gone, F.array().cast("array<int>"))
