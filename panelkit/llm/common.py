@@ -89,41 +89,57 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
 
 
 class IdRanges:
-    """Order-preserving buckets of a numeric id column with about equal row counts.
+    """Order-preserving buckets of a whole-number id column with about equal row counts.
 
-    One pass over the id column counts rows in at most ``CELLS`` equal-width cells; a
-    cell is then cut into as many equal-width buckets as its row count asks for.  Only
-    the cell counts reach the driver, whatever the number of rows.  ``bucket`` never
-    decreases with the id; null ids get the last bucket.
+    Borders are quantiles of the ids, however these are spread, found in two levels: up to
+    ``RANGES`` ranges of all ids, then as many parts of each range as its rows ask for.
+    Beyond ``max_buckets`` buckets get larger.  Sketches of bounded size and the borders are
+    all that leaves the tasks.  ``with_bucket`` adds numbers that never decrease with the id;
+    equal ids share a bucket, null ids get the last one.
+
+    Quantiles are counted in double precision, so beyond 2^53 borders lie as far apart as
+    doubles do, up to 1024 ids; ids are compared with them as they are.
     """
 
-    CELLS = 1024
-
-    def __init__(self, df: DataFrame, column: str, rows_per_bucket: int, max_buckets: int = 1 << 30):
-        c = F.col(column).cast("double")
-        lo, hi, self.rows = df.agg(F.min(c), F.max(c), F.count(F.lit(1))).first()
-        self.lo = lo if lo is not None else 0.0
-        self.width = max((hi - lo) / self.CELLS, 1.0) if lo is not None else 1.0
-        per = max(rows_per_bucket, -(-self.rows // max_buckets))
-        counts = df.where(c.isNotNull()).groupBy(self._cell(c).alias("cell")).count().collect()
-        sub = [0] * self.CELLS
-        for cell, n in counts:
-            sub[cell] = max(1, -(-n // per))
-        self.sub = [max(1, s) for s in sub]
-        self.base = [0] * self.CELLS
-        for k in range(1, self.CELLS):
-            self.base[k] = self.base[k - 1] + self.sub[k - 1]
-        self.buckets = self.base[-1] + self.sub[-1] + 1
-        self.column = column
+    RANGES = 1024
+    #: Ranks are right to one in this many of a range.
+    ACCURACY = 16
+    #: Parts of a range are less than this.
+    STEP = 1 << 20
 
-    def _cell(self, c: Column) -> Column:
-        return F.least(F.floor((c - F.lit(self.lo)) / self.width), F.lit(self.CELLS - 1)).cast("int")
-
-    def bucket(self) -> Column:
-        c = F.col(self.column).cast("double")
-        cell = self._cell(c)
-        base, sub = (F.expr(f"array({', '.join(map(str, x))})") for x in (self.base, self.sub))
-        part = F.get(sub, cell)
-        inside = (c - F.lit(self.lo)) / self.width - cell
-        within = F.greatest(F.least(F.floor(inside * part), part - 1), F.lit(0))
-        return F.coalesce(F.get(base, cell) + within, F.lit(self.buckets - 1)).cast("long")
+    def __init__(self, df: DataFrame, column: str, rows_per_bucket: int, max_buckets: int = 1 << 18, ranges: int = RANGES):
+        self.column = column
+        ids = df.select(F.col(column).cast("long").alias("id")).where("id is not null")
+        at = F.percentile_approx("id", [k / ranges for k in range(1, ranges)], ranges * self.ACCURACY)
+        cuts, self.rows = ids.agg(at, F.count(F.lit(1))).first()
+        wanted = max(rows_per_bucket, -(-self.rows // max_buckets))
+        each = max(self.rows / ranges, 1e-9)
+        # ranges that hold less than a bucket are put together
+        self.cuts = sorted(set((cuts or [])[:: max(1, int(wanted / each))]))
+        self.last = (len(self.cuts) + 1) * self.STEP
+        parts = min(-int(-each // wanted), self.STEP)
+        self.inner = None
+        if parts > 1:
+            inner = F.percentile_approx("id", [k / parts for k in range(1, parts)], parts * self.ACCURACY)
+            inner = ids.groupBy(self._above(F.col("id"), F.lit(self.cuts).cast("array<long>"), len(self.cuts)).alias("__range")).agg(inner.alias("__cuts"))
+            # a row for each range, max_buckets borders in all; stored, as sketches differ from run to run
+            self.inner = materialize(inner.withColumn("__cuts", F.array_distinct("__cuts")), "id-borders")
+        self.parts = parts
+
+    @staticmethod
+    def _above(x: Column, cuts: Column, most: int) -> Column:
+        """How many of the sorted ``cuts``, ``most`` or fewer, are ``x`` or less, by bisection."""
+        if most == 0:
+            return F.lit(0)
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(cuts, n + step - 1) <= x, n + step).otherwise(n))
+
+    def with_bucket(self, df: DataFrame, name: str) -> DataFrame:
+        x = F.col(self.column).cast("long")
+        df = df.withColumn("__range", self._above(x, F.lit(self.cuts).cast("array<long>"), len(self.cuts)))
+        part = F.lit(0)
+        if self.inner is not None:
+            df = df.join(F.broadcast(self.inner), "__range", "left")
+            part = F.coalesce(self._above(x, F.col("__cuts"), self.parts), F.lit(0))
+        bucket = F.when(x.isNull(), F.lit(self.last)).otherwise(F.col("__range") * self.STEP + part).cast("long")
+        return df.withColumn(name, bucket).drop("__range", "__cuts")

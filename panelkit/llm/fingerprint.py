@@ -1,16 +1,18 @@
 """Document fingerprints by spot signatures.
 
 A signature starts at each common word of a text (an *anchor*) and chains the ``chain``
-content words, those that aren't common, that come next.  The fingerprint is the set of
-distinct signatures, written as their sorted hashes.  Likeness is the Jaccard coefficient
+content words, those that aren't common, that come next.  With ``far`` a content word is an
+anchor too if the ``far`` words before it, or all words before it, are content words, so
+stretches in languages without listed common words are covered; a text that has no signature
+then has its own hash as one.  The fingerprint is the set of distinct signatures, written as their sorted hashes.  Likeness is the Jaccard coefficient
 of two sets; sets whose lengths alone rule out the wanted likeness aren't compared.
 
 Only DataFrame functions are used.  Neighbours in ``doc_id`` order meet by order-preserving
 buckets of equal row counts: a document's bucket is all it is shuffled by, and the first
 document of each bucket is copied to the bucket before it.
 
-Edge cases: a null text is empty; a text with no anchor that content follows has the empty
-set, with the empty string as fingerprint; two empty sets have likeness 1, an empty and
+Edge cases: a null text is empty; an empty text and, without ``far``, any text with no anchor
+that content follows have the empty set, with the empty string as fingerprint; two empty sets have likeness 1, an empty and
 another 0; ids may repeat (equal ids are ordered by text) or be null (last); a single
 document is its own neighbour; other columns are ignored.
 """
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from panelkit.llm.common import IdRanges
 
 CHAIN = 2
+#: Words without a listed anchor after which content words are anchors, in the query.
+FAR = 8
 ROWS_PER_BUCKET = 512
-#: Bounds the table of buckets that is broadcast; larger inputs get larger buckets.
-MAX_BUCKETS = 50_000
+#: Bounds the table of buckets that is broadcast, three numbers each; larger inputs get larger buckets.
+MAX_BUCKETS = 1 << 18
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
     "the of and to in a is that for it with as was on by be at from this an are or "
@@ -39,14 +43,13 @@ def anchor_words() -> list[str]:
     return sorted(set(ANCHORS.split()))
 
 
-def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
+def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN, far: int | None = None) -> DataFrame:
     """``df`` with column ``out``: sorted distinct signature hashes of column ``text``.
 
     Intermediate columns are used more than once, so that the optimiser keeps each a step
     of its own and no array is built again for every element.
     """
     w, at = "__words", "__content"
-    common = F.array(*map(F.lit, anchor_words()))
     cleaned = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
     df = df.withColumn(w, F.split(F.trim(cleaned), " "))
     is_content = lambda t: ~t.isin(anchor_words())
@@ -61,8 +64,20 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
         anchors = F.slice(F.col(w), previous + 1, gap)
         return F.when((gap > 0) & (k <= last), F.transform(anchors, lambda a: F.xxhash64(a, *words)))
 
-    found = F.filter(F.transform(at, spots), lambda x: x.isNotNull())
-    return df.withColumn(out, F.sort_array(F.array_distinct(F.flatten(found)))).drop(w, at)
+    def starts(position, k):
+        # positions count from 1, so those of unbroken content words differ by the number between
+        run = F.when(k < far, position == k + 1).otherwise(position - F.get(F.col(at), k - far) == far)
+        chained = [F.get(F.col(w), F.get(F.col(at), k + j) - 1) for j in range(chain + 1)]
+        return F.when(run & (k < last), F.xxhash64(*chained))
+
+    found = F.flatten(F.filter(F.transform(at, spots), lambda x: x.isNotNull()))
+    if far is not None:
+        found = F.concat(found, F.filter(F.transform(at, starts), lambda x: x.isNotNull()))
+    found = F.sort_array(F.array_distinct(found))
+    if far is None:
+        return df.withColumn(out, found).drop(w, at)
+    df = df.withColumn(out, found)
+    return df.withColumn(out, F.when((F.size(out) == 0) & (F.char_length(text) > 0), F.array(F.xxhash64(text))).otherwise(F.col(out))).drop(w, at)
 
 
 def fingerprint(found: Column) -> Column:
@@ -81,16 +96,15 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     )
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, far: int | None = None) -> DataFrame:
     """(doc_id, text, spots, next_text, next_spots): each row with the next in descending id order.
 
     The last row's next is the first.  One shuffle of the texts, by bucket of the id.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = IdRanges(rows, "doc_id", ROWS_PER_BUCKET, MAX_BUCKETS)
-    last = ranges.buckets - 1
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.lit(last - 1) - ranges.bucket()).cast("long")
-    rows = rows.withColumn("__bucket", bucket)
+    # descending, null ids last
+    rows = ranges.with_bucket(rows, "__bucket").withColumn("__bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(-F.col("__bucket") - 1).cast("long"))
     # MAX_BUCKETS rows at most
     tops = rows.groupBy("__bucket").agg(F.max("doc_id").alias("__top"))
     order = Window.orderBy("__bucket")
@@ -101,19 +115,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     copy = F.struct(F.col("__to").alias("b"), F.lit(1).alias("copy"))
     places = F.when(F.col("doc_id").eqNullSafe(F.col("__top")), F.array(own, copy)).otherwise(F.array(own))
     rows = rows.select("doc_id", "text", F.explode(places).alias("__place")).select("doc_id", "text", "__place.b", "__place.copy")
-    rows = with_signatures(rows.repartition("b"), "text", "spots")
+    rows = with_signatures(rows.repartition("b"), "text", "spots", far=far)
     following = Window.partitionBy("b").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
     rows = rows.withColumn("next_text", F.lead("text").over(following)).withColumn("next_spots", F.lead("spots").over(following))
     return rows.where("copy = 0").drop("b", "copy")
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, far: int | None = None) -> DataFrame:
     """Fingerprints of every text and of the text with its second half taken from the next document."""
-    rows = with_next(docs)
+    rows = with_next(docs, far)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
-    rows = with_signatures(rows.drop("text", "next_text"), "edited", "edited_spots")
+    rows = with_signatures(rows.drop("text", "next_text"), "edited", "edited_spots", far=far)
     return rows.select(
         "doc_id",
         "n_chars",

@@ -32,7 +32,7 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.edited_fingerprints(documents(spark, sf_dir))
+    return fingerprint.edited_fingerprints(documents(spark, sf_dir), fingerprint.FAR)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
