@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from panelkit.functions import ts
+from panelkit.functions import ts, xs
+
+#: Features of a rank sequence, in order: of each row, of its date, and of the last row alone.
+RAW = ["open", "high", "low", "close", "volume", "vwap", "volume_ratio", "turnover_rate", "ret_5d", "close_ma20", "atr_ratio"]
+SEASON = ["year_sin", "year_cos", "er_sin", "er_cos", "quarter_sin", "quarter_cos"]
+LAST_ONLY = ["vol_spike_3d", "pe_rel", "pb_rel", "ind_momentum"]
+RANK_FEATURES = RAW + SEASON + LAST_ONLY
+#: Of them, those divided by the last close, less 1.
+PRICES = ["open", "high", "low", "close", "vwap"]
 
 
-def build(panel: DataFrame, columns: list[str], length: int = 60, stride: int = 1, exclusive: bool = False) -> DataFrame:
-    """(entity, trade_date, seq): array of rows, each an array of the columns' values.
+def build(panel: DataFrame, columns: list[str], length: int = 60, stride: int = 1, exclusive: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(entity, trade_date, keep..., seq): array of rows, each an array of the columns' values.
 
     A sequence ends at its row, or at the row before if ``exclusive``.  Rows with fewer rows
     before them, off the stride, or with a missing value in the sequence have none, nor has
@@ -18,7 +28,7 @@ def build(panel: DataFrame, columns: list[str], length: int = 60, stride: int =
     """
     row = F.array(*[F.col(c).cast("double") for c in columns])
     frame = ts.rows(-length, -1) if exclusive else ts.trailing(length)
-    out = panel.select("entity", "trade_date", F.collect_list(row).over(frame).alias("seq"), ts.row_number().alias("__rn"), F.count(F.lit(1)).over(Window.partitionBy("entity")).alias("__n"))
+    out = panel.select("entity", "trade_date", *keep, F.collect_list(row).over(frame).alias("seq"), ts.row_number().alias("__rn"), F.count(F.lit(1)).over(Window.partitionBy("entity")).alias("__n"))
     first = length + 1 if exclusive else length
     good = (F.size("seq") == length) & ((F.col("__rn") - first) % stride == 0)
     if not exclusive:
@@ -71,3 +81,37 @@ def with_agent_state(seqs: DataFrame, position: Column, days: Column) -> DataFra
     """Two more values in each row of ``seq``: a position, and min(days, 30) / 30."""
     more = F.array(position.cast("double"), F.least(days, F.lit(30)) / 30.0)
     return seqs.withColumn("seq", F.transform("seq", lambda r: F.concat(r, more)))
+
+
+def season() -> list[Column]:
+    """SEASON: sine and cosine of the day of the year over 365 and 90, and of the quarter over 4."""
+    day, quarter = F.dayofyear("trade_date"), F.quarter("trade_date")
+    angles = [part * (2 * math.pi) / period for part, period in ((day, 365.0), (day, 90.0), (quarter, 4.0))]
+    return [c.alias(n) for n, c in zip(SEASON, [f(a) for a in angles for f in (F.sin, F.cos)])]
+
+
+def rank_cache(panel: DataFrame, length: int = 60, horizons: tuple[int, ...] = (5, 20, 60)) -> DataFrame:
+    """(entity, trade_date, RANK_FEATURES, fwd_5, fwd_20, fwd_60): each feature an array of ``length`` values.
+
+    ``panel`` has RAW, pe_ttm, pb and industry.  A sequence holds the rows before its row.
+    Prices are ratios to the last close less 1, volumes go to log1p.  LAST_ONLY features are 0
+    but at the end: the mean volume of three rows over that of all, and the row's pe_ttm, pb
+    and ret_5d less the industry's median (0 if missing).  Rows with fewer rows before or
+    after them than asked for, and those with a missing value, have none; a forward return
+    without a value is 0.  One shuffle by date for the medians and one by entity for the rest.
+    """
+    medians = {"pe_rel": "pe_ttm", "pb_rel": "pb", "ind_momentum": "ret_5d"}
+    out = panel.select("*", *[(F.col(c) - F.coalesce(xs.median(c, "industry"), F.lit(0.0))).alias(n) for n, c in medians.items()], *season())
+    forward = [F.coalesce(ts.forward_return("close", h), F.lit(0.0)).alias(f"fwd_{h}") for h in horizons]
+    out = out.select("*", *forward, ts.lead("close", max(horizons)).isNotNull().alias("__whole"))
+    keep = [*medians, *[f"fwd_{h}" for h in horizons]]
+    steps = RAW + SEASON
+    seqs = build(out, steps, length, exclusive=True, keep=(*keep, "__whole")).where("__whole").dropna(subset=list(medians))
+    seqs = seqs.select("entity", "trade_date", *keep, *[_column(F.col("seq"), k).alias(n) for k, n in enumerate(steps)])
+    close = F.element_at("close", -1)
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
+    seqs = seqs.select("*", F.when(close > 0, close).otherwise(F.lit(1.0)).alias("__last"), (mean(F.slice("volume", -3, 3)) / F.greatest(mean(F.col("volume")), F.lit(1e-8))).alias("vol_spike_3d"))
+    made = {n: F.transform(n, lambda v: v / F.col("__last") - 1) for n in PRICES}
+    made["volume"] = F.transform("volume", lambda v: F.log1p(F.greatest(v, F.lit(0.0))))
+    made |= {n: F.concat(F.array_repeat(F.lit(0.0), length - 1), F.array(n)) for n in LAST_ONLY}
+    return seqs.select("entity", "trade_date", *[made.get(n, F.col(n)).alias(n) for n in RANK_FEATURES], *[f"fwd_{h}" for h in horizons])

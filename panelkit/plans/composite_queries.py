@@ -152,6 +152,33 @@ def _rank_cache(b):
 
 add("seq_rank_cache", on_bars(_rank_cache), with_views("SELECT entity, trade_date, 60 AS n, " + ", ".join(f"{rounded_sql(f'f{h}')} AS fwd_{h}" for h in (5, 20, 60)) + " FROM (SELECT *, " + ", ".join(f"lead(close, {h}) OVER w / NULLIF(close, 0) - 1 AS f{h}" for h in (5, 20, 60)) + ", row_number() OVER w AS rn FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)) WHERE rn > 60 AND (rn - 61) % 10 = 0", "bars"))
 
+
+def _rank_cache_rows(b, s):
+    """All features of all sequences, each as its sum and its sum weighted by place."""
+    base = full(b).drop("volume_ratio", "pe_ttm", "pb").join(b.select(*KEYS, "pe_ttm", "pb"), KEYS)
+    inside = s.where("market <> 'AFRICA' and industry is not null").select("entity", "industry")
+    made = sequences.rank_cache(universe.exclude_flagged(levels.derived(base).join(inside, "entity"), source.flags(b)))
+    plus = lambda a, v: a + v
+    sums = [c for n in sequences.RANK_FEATURES for c in (
+        rounded(F.aggregate(n, F.lit(0.0), plus), 4).alias(n),
+        rounded(F.aggregate(F.transform(n, lambda v, k: v * (k + 1)), F.lit(0.0), plus), 2).alias(f"{n}_placed"))]
+    return made.select(*KEYS, *sums, *[rounded(F.col(f"fwd_{h}")).alias(f"fwd_{h}") for h in (5, 20, 60)])
+
+
+DAY, QUARTER = "dayofyear(trade_date) * 2 * pi() / ", "quarter(trade_date) * 2 * pi() / 4.0"
+SEASON_SQL = {"year_sin": f"sin({DAY}365.0)", "year_cos": f"cos({DAY}365.0)", "er_sin": f"sin({DAY}90.0)", "er_cos": f"cos({DAY}90.0)", "quarter_sin": f"sin({QUARTER})", "quarter_cos": f"cos({QUARTER})"}
+STEP_SQL = {n: n for n in sequences.RAW + sequences.SEASON} | {n: f"list_transform({n}, lambda v: v / last - 1)" for n in sequences.PRICES} | {"volume": "list_transform(volume, lambda v: ln(1 + greatest(v, 0)))"}
+LAST_SQL = {n: n for n in sequences.LAST_ONLY} | {"vol_spike_3d": "list_avg(volume[58:60]) / greatest(list_avg(volume), 1e-8)"}
+add("seq_rank_cache_rows", on_both(_rank_cache_rows), with_views(
+    "SELECT entity, trade_date, " + ", ".join(f"{rounded_sql(f'list_sum({e})', 4)} AS {n}, {rounded_sql(f'list_sum(list_transform({e}, lambda v, k: v * k))', 2)} AS {n}_placed" for n, e in STEP_SQL.items())
+    + ", " + ", ".join(f"{rounded_sql(e, 4)} AS {n}, {rounded_sql(f'60 * ({e})', 2)} AS {n}_placed" for n, e in LAST_SQL.items()) + ", "
+    + ", ".join(f"{rounded_sql(f'f{h}')} AS fwd_{h}" for h in (5, 20, 60)) + " FROM (SELECT *, CASE WHEN close[60] > 0 THEN close[60] ELSE 1 END AS last FROM sq) WHERE rn > 60 AND whole AND pe_rel IS NOT NULL AND pb_rel IS NOT NULL AND ind_momentum IS NOT NULL AND "
+    + " AND ".join(f"len(list_filter({n}, lambda v: v IS NOT NULL)) = 60" for n in sequences.RAW),
+    "flags", "fund", "sec", **LEVELS,
+    flat="SELECT s4.*, industry, turnover_rate FROM s4 JOIN (SELECT entity, trade_date, turnover_rate FROM fund) USING (entity, trade_date) JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA' AND industry IS NOT NULL) USING (entity) ANTI JOIN flags USING (entity, trade_date)",
+    rel="SELECT * EXCLUDE (rn), " + ", ".join(f"{c} - coalesce(median({c}) OVER x, 0) AS {n}" for n, c in (("pe_rel", "pe_ttm"), ("pb_rel", "pb"), ("ind_momentum", "ret_5d"))) + ", " + ", ".join(f"{e} AS {n}" for n, e in SEASON_SQL.items()) + " FROM flat WINDOW x AS (PARTITION BY trade_date, industry)",
+    sq="SELECT entity, trade_date, pe_rel, pb_rel, ind_momentum, row_number() OVER w AS rn, lead(close, 60) OVER w IS NOT NULL AS whole, " + ", ".join(f"coalesce(lead(close, {h}) OVER w / NULLIF(close, 0) - 1, 0) AS f{h}" for h in (5, 20, 60)) + ", " + ", ".join(f"list({n}) OVER {fw(-60, -1)} AS {n}" for n in sequences.RAW + sequences.SEASON) + " FROM rel WINDOW w AS (PARTITION BY entity ORDER BY trade_date)"))
+
 # signals
 MA = f"SELECT *, avg(close) OVER {tr(5)} AS s, avg(close) OVER {tr(20)} AS l FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)"
 PREV = f"SELECT *, lag(above) OVER {W} AS was, lag(nth) OVER {W} AS before FROM (SELECT entity, trade_date, coalesce(s > l, false) AS above, nth FROM ma JOIN nth USING (trade_date))"
