@@ -35,16 +35,17 @@ def pct_rank(x, *more: str) -> Column:
     return F.when(col(x).isNotNull(), F.try_divide(average, F.count(col(x)).over(everything)))
 
 
-def pct_rank_long(df: DataFrame, names: list[str]) -> DataFrame:
-    """Percentile ranks of many columns with one shuffle and one sort.
+def pct_rank_long(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Percentile ranks of many columns with one shuffle and one sort; numbers in ``keep`` come back as doubles, unranked.
 
     Rows are turned long to (date, name, entity, value), ranked by (date, name), and turned
     back; so a date's work is spread over as many groups as there are columns.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("x")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in (*names, *keep)])).alias("x")
     long = df.select(ENTITY, DATE, pairs).select(ENTITY, DATE, "x.name", "x.value")
-    ranked = long.withColumn("value", pct_rank("value", "name"))
-    return ranked.groupBy(ENTITY, DATE).pivot("name", names).agg(F.first("value"))
+    rank = pct_rank("value", "name")
+    ranked = long.withColumn("value", F.when(F.col("name").isin(*keep), F.col("value")).otherwise(rank) if keep else rank)
+    return ranked.groupBy(ENTITY, DATE).pivot("name", [*names, *keep]).agg(F.first("value"))
 
 
 def median(x, *more: str) -> Column:

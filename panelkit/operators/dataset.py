@@ -82,6 +82,53 @@ def tabular(features: DataFrame, names: list[str], bars: DataFrame, securities:
     return out.withColumn("split", split).where("split is not null").drop("__te", "__vs")
 
 
+#: Factors without gain, left out of training sets; those with a ratio to the industry's median.
+ZERO_GAIN = "O2C DRP HLC pe_ttm pb ROE_RAW ROE MV VOLRATIO EMA12C EMA26C MACD RSI14 SLOPE5 SLOPE20".split()
+INDUSTRY_FACTORS = ["PE_TTM_MINMAX_750", "PB_MINMAX_750", "MV", "TURN", "ROE"]
+#: Digits of industry features before they are ranked.
+INDUSTRY_DIGITS = 9
+
+
+def training_columns(names: list[str]) -> tuple[list[str], list[str]]:
+    """(factors, all features) of a training set over a catalog's ``names``."""
+    factors = [n for n in names if n not in ZERO_GAIN]
+    return factors, [*factors, *[f"{n}_ind" for n in INDUSTRY_FACTORS if n in factors], "ind_mom_5d", "ind_mom_20d"]
+
+
+def ranked_rows(features: DataFrame, names: list[str], bars: DataFrame, securities: DataFrame, flags: DataFrame, tiles: int = 10) -> DataFrame:
+    """(entity, trade_date, features..., label_5, tile_5, ...): rows in the universe with all factors and labels.
+
+    Each feature is its percentile rank of the date, each label also its tile of the date.
+    Results used more than once, as by ``training_rows``, are best stored first.
+    """
+    from panelkit.operators import universe
+
+    factors, every = training_columns(names)
+    labels = [f"label_{h}" for h in HORIZONS]
+    back = [ts.back_return("close", k).alias(f"back_{k}") for k in (5, 20)]
+    labelled = label_valid(label_path(bars.select("*", *back))).select("entity", "trade_date", *labels, "back_5", "back_20")
+    known = securities.where("market <> 'AFRICA'").select("entity", F.coalesce("industry", F.lit("Unknown")).alias("industry"))
+    base = universe.exclude_flagged(features.select("entity", "trade_date", *factors).dropna(), flags).join(known, "entity").join(labelled, ["entity", "trade_date"])
+    ratios = [xs.steady(xs.industry_ratio(n), INDUSTRY_DIGITS).alias(f"{n}_ind") for n in INDUSTRY_FACTORS if n in factors]
+    momentum = [xs.steady(xs.median(f"back_{k}", "industry"), INDUSTRY_DIGITS).alias(f"ind_mom_{k}d") for k in (5, 20)]
+    base = base.select("*", *ratios, *momentum, *[(xs.ntile(f"label_{h}", tiles) - 1).alias(f"tile_{h}") for h in HORIZONS])
+    ranked = xs.pct_rank_long(base, every, (*labels, *[f"tile_{h}" for h in HORIZONS]))
+    return ranked.withColumns({f"tile_{h}": F.col(f"tile_{h}").cast("int") for h in HORIZONS})
+
+
+def training_rows(ranked: DataFrame, names: list[str], calendar: DataFrame, train_end, val_start, val_end, tiles: int = 10) -> DataFrame:
+    """(entity, trade_date, features..., tile_5, tile_20, tile_60, split) of ``ranked_rows``.
+
+    A row with entity NULL for each date stands for the risk-free rate; rows in the purged
+    gap and after ``val_end`` go.
+    """
+    every = training_columns(names)[1]
+    out = risk_free_rows(ranked, every, {h: f"label_{h}" for h in HORIZONS}, tiles)
+    ends = purge_embargo(calendar, train_end, val_start)  # one row
+    out = out.crossJoin(F.broadcast(ends.withColumnsRenamed({"train_end": "__te", "val_start": "__vs"})))
+    return out.withColumn("split", split_dates(F.col("__te"), F.col("__vs"), F.lit(val_end))).where("split is not null").drop("__te", "__vs")
+
+
 def group_ids(rows: DataFrame) -> DataFrame:
     """(trade_date, group_id, n): contiguous query groups in date order."""
     sizes = rows.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))

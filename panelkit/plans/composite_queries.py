@@ -106,6 +106,44 @@ def _tabular(b, s):
 
 
 add("ds_tabular", on_both(_tabular), with_views(f"SELECT entity, trade_date, CASE WHEN trade_date <= te THEN 'train' ELSE 'val' END AS split, m5, v5, label_5 FROM (SELECT entity, trade_date, label_5, {RANKS} FROM ind), (SELECT train_end AS te, val_start AS vs FROM ({PURGE})) WHERE trade_date <= te OR trade_date BETWEEN vs AND DATE '1997-01-01'", "bars", "nth", "flags", "sec", lab=LAB, tabf=TABF, ind=IND))
+# the training set over all factors, with industry features, tiles and risk-free rows
+TRAIN_END, VAL_START, VAL_END = date(1998, 12, 28), date(1999, 1, 4), date(2000, 12, 25)
+FACTORS, EVERY = dataset.training_columns(catalog.combined().names)
+
+
+def _store(df, name):
+    from panelkit.plans.relational_queries import _stored
+
+    spark, path = _stored(df, name)
+    io.write_snapshot(df, path)
+    return spark.read.parquet(path)
+
+
+def _training_rows(spark, sf_dir):
+    b, s = source.bars(spark, sf_dir), source.securities(spark, sf_dir)
+    # the factors and their ranks are stored: the ranks are read twice, and one plan of all would be slow to optimise
+    f, names = _store(QUERIES["feat_combined_rows"](spark, sf_dir), "factors"), catalog.combined().names
+    ranked = _store(dataset.ranked_rows(f, names, b, s, source.flags(b)), "training")
+    out = dataset.training_rows(ranked, names, source.calendar(b), TRAIN_END, VAL_START, VAL_END)
+    return out.select(*KEYS, "split", *[f"tile_{h}" for h in (5, 20, 60)], *[rounded(F.col(n)).alias(n) for n in EVERY])
+
+
+def _pct_rank_sql(c):
+    return rounded_sql(f"(2 * rank() OVER (PARTITION BY trade_date ORDER BY {c}) + count(*) OVER (PARTITION BY trade_date, {c}) - 1) / 2.0 / count(*) OVER (PARTITION BY trade_date)")
+
+
+steady_sql = lambda e: rounded_sql(e, dataset.INDUSTRY_DIGITS)
+BY_INDUSTRY = "OVER (PARTITION BY trade_date, industry)"
+RISK_FREE_TILE = "least(CAST(trunc(avg(CASE WHEN l{h} <= 0.02 * {h} / 252 THEN 1.0 ELSE 0.0 END) * 10) AS INTEGER), 9) AS tile_{h}"
+add("ds_tabular_rows", _training_rows, with_views(
+    "SELECT CASE WHEN trade_date <= te THEN 'train' ELSE 'val' END AS split, r.* FROM (SELECT entity, trade_date, tile_5, tile_20, tile_60, " + ", ".join(EVERY) + " FROM ranked UNION ALL SELECT NULL, trade_date, " + ", ".join(RISK_FREE_TILE.format(h=h) for h in (5, 20, 60)) + ", " + ", ".join("0.5" for _ in EVERY)
+    + f" FROM ranked GROUP BY trade_date) r, (SELECT train_end AS te, val_start AS vs FROM ({PURGE.replace(str(A), str(TRAIN_END)).replace(str(B), str(VAL_START))})) WHERE trade_date <= te OR trade_date BETWEEN vs AND DATE '{VAL_END}'",
+    "bars", "nth", "flags", "sec", lab=LAB, f=ORACLES["feat_combined_rows"],
+    lb0=f"SELECT *, close / NULLIF(lag(close, 5) OVER {W}, 0) - 1 AS b5, close / NULLIF(lag(close, 20) OVER {W}, 0) - 1 AS b20 FROM lab",
+    lb=f"SELECT entity, trade_date, (c5 - lo5) / NULLIF(hi5 - lo5, 0) AS l5, (c20 - lo20) / NULLIF(hi20 - lo20, 0) AS l20, c60 / NULLIF(close, 0) - 1 AS l60, b5, b20 FROM lb0 WHERE {VALID}",
+    base0="SELECT f.*, l5, l20, l60, b5, b20, coalesce(industry, 'Unknown') AS industry FROM f JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA') USING (entity) JOIN lb USING (entity, trade_date) ANTI JOIN flags USING (entity, trade_date) WHERE " + " AND ".join(f"{n} IS NOT NULL" for n in FACTORS),
+    made="SELECT *, " + ", ".join(f"ntile(10) OVER (PARTITION BY trade_date ORDER BY l{h}, entity) - 1 AS tile_{h}" for h in (5, 20, 60)) + ", " + ", ".join(f"{steady_sql(f'{n} / (median({n}) {BY_INDUSTRY} + 1e-8)')} AS {n}_ind" for n in dataset.INDUSTRY_FACTORS if n in FACTORS) + ", " + ", ".join(f"{steady_sql(f'median(b{k}) {BY_INDUSTRY}')} AS ind_mom_{k}d" for k in (5, 20)) + " FROM base0",
+    ranked="SELECT entity, trade_date, tile_5, tile_20, tile_60, l5, l20, l60, " + ", ".join(f"{_pct_rank_sql(n)} AS {n}" for n in EVERY) + " FROM made"))
 WF = "SELECT fold, (SELECT coalesce(min(trade_date) FILTER (trade_date >= a), min(trade_date)) FROM cal) AS train_start, (SELECT coalesce(max(trade_date) FILTER (trade_date <= b), max(trade_date)) FROM cal) AS train_end, (SELECT coalesce(min(trade_date) FILTER (trade_date >= c), min(trade_date)) FROM cal) AS test_start, (SELECT coalesce(max(trade_date) FILTER (trade_date <= least(d, l)), max(trade_date)) FROM cal) AS test_end FROM (SELECT k AS fold, CAST(DATE '1995-01-01' + to_months(CAST(6 * k AS INTEGER)) AS DATE) AS a, CAST(DATE '1995-01-01' + to_months(CAST(6 * k + 24 AS INTEGER)) AS DATE) AS b, CAST(DATE '1995-01-01' + to_months(CAST(6 * k + 26 AS INTEGER)) AS DATE) AS c, CAST(DATE '1995-01-01' + to_months(CAST(6 * k + 38 AS INTEGER)) AS DATE) AS d, (SELECT max(trade_date) FROM cal) AS l FROM range(40) r(k)) WHERE c < l"
 windows = lambda b: dataset.walkforward_windows(source.calendar(b), date(1995, 1, 1), 2)
 add("ds_walkforward_windows", on_bars(windows), with_views(WF, "cal"))
