@@ -87,4 +87,21 @@ SELECT d.doc_id,
 FROM d LEFT JOIN by_doc ON d.doc_id = by_doc.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_source_mixing": MIXING, "op9_near_duplicates": NEAR_DUPLICATES, "op10_line_dedup": LINE_DEDUP}
+NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vector
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.vector, b.vector) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS nth FROM s WHERE same QUALIFY nth <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY s.score DESC, s.vec_id NULLS LAST) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op3_source_mixing": MIXING, "op9_near_duplicates": NEAR_DUPLICATES, "op10_line_dedup": LINE_DEDUP, "op12_hard_negatives": NEGATIVES}

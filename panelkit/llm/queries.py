@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import fingerprint, id_files, language_id, line_dedup, lm_score, mixing, near_dup, packing, quality, token_count
+from panelkit.llm import fingerprint, hard_negatives, id_files, language_id, line_dedup, lm_score, mixing, near_dup, packing, piece_codec, quality, token_count, whitening
 from panelkit.llm.common import crc_mod, documents
 from panelkit.llm.oracles import ORACLES
 
@@ -57,6 +57,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"), "n_links")
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trips(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_quality_rules, op3_source_mixing, op4_token_id_files, op5_fingerprints, op6_packing, op7_lm_scores, op8_language_id, op9_near_duplicates, op10_line_dedup, pipeline]
+    found = [op1_token_counts, op2_quality_rules, op3_source_mixing, op4_token_id_files, op5_fingerprints, op6_packing, op7_lm_scores, op8_language_id, op9_near_duplicates, op10_line_dedup, op11_piece_codec, op12_hard_negatives, op13_whitening, pipeline]
     return {q.__name__: q for q in found}
 
 
