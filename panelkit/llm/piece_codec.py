@@ -20,7 +20,7 @@ import functools
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BAD = "�"
 #: Cuts beyond this many characters are cut again wherever no piece spans the border.
 LONG = 64
+#: Characters of the texts that a task encodes before it hands the pieces on.
+GROUP_CHARS = 1 << 21
 PIECES = "ids array<int>, begins array<int>, ends array<int>"
 
 
@@ -348,28 +350,49 @@ def codec(path: str) -> PieceCodec:
 
 
 def _lists(parts: list[np.ndarray], offsets: np.ndarray) -> pa.ListArray:
-    values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32, copy=False)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32, copy=False)))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "pieces") -> DataFrame:
-    """``docs`` with a struct ``out`` of ids, begins and ends, one entry a piece, in bytes of the text."""
+def _groups(batches: Iterator[pa.Array], size: Callable[[pa.Scalar], int], most: int) -> Iterator[list]:
+    """Python values of consecutive rows, about ``most`` by ``size`` in all; fewer rows are held at once."""
+    for batch in batches:
+        group, held = [], 0
+        for scalar in batch:
+            value = scalar.as_py()
+            group.append(value)
+            held += size(value)
+            if held >= most:
+                yield group
+                group, held = [], 0
+        if group:
+            yield group
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "pieces", decoded: bool = False) -> DataFrame:
+    """``docs`` with a struct ``out`` of ids, begins and ends, one entry a piece, in bytes of the text.
+
+    With ``decoded`` the struct also has the text that the ids stand for.
+    """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            found = [codec(path).encode(t.as_py() or "") for t in texts]
+        for texts in _groups(batches, lambda t: len(t or ""), GROUP_CHARS):
+            found = [codec(path).encode(t or "") for t in texts]
             offsets = np.append(0, np.cumsum([len(f[0]) for f in found], dtype=np.int64))
-            yield pa.StructArray.from_arrays([_lists([f[k] for f in found], offsets) for k in range(3)], names=["ids", "begins", "ends"])
+            fields = {name: _lists([f[k] for f in found], offsets) for k, name in enumerate(("ids", "begins", "ends"))}
+            if decoded:
+                fields["decoded"] = pa.array([codec(path).decode(f[0].tolist()) for f in found], pa.string())
+            yield pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
 
-    return docs.withColumn(out, F.arrow_udf(run, PIECES).asNondeterministic()(F.col(text)))
+    kind = PIECES + (", decoded string" if decoded else "")
+    return docs.withColumn(out, F.arrow_udf(run, kind).asNondeterministic()(F.col(text)))
 
 
 def decode(ids: Column, path: str) -> Column:
     """The texts that arrays of ids stand for; null for null."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for some in batches:
-            yield pa.array([None if x is None else codec(path).decode(x) for x in (s.values.to_numpy(zero_copy_only=False).tolist() if s.is_valid else None for s in some)], pa.string())
+        for some in _groups(batches, lambda x: len(x or []), GROUP_CHARS // 4):
+            yield pa.array([None if x is None else codec(path).decode(x) for x in some], pa.string())
 
     return F.arrow_udf(run, "string")(ids)
 
@@ -379,13 +402,13 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
 
     ``end_byte`` is where the last piece ends in the text, 0 for texts without pieces.
     """
-    coded = encode(docs.select("doc_id", "text"), path)
+    coded = encode(docs.select("doc_id", "text"), path, decoded=True)
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     ids = F.col("pieces.ids")
     return coded.select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         sha(F.array_join(ids.cast("array<string>"), ",")).alias("ids_sha256"),
-        sha(decode(ids, path)).alias("decoded_sha256"),
+        sha(F.col("pieces.decoded")).alias("decoded_sha256"),
         F.coalesce(F.element_at(F.col("pieces.ends"), F.when(F.size(ids) > 0, F.size(ids))), F.lit(0)).cast("long").alias("end_byte"),
     )
