@@ -7,11 +7,12 @@ Missing values are NULL; divisions by zero give NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from math import ceil, log
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ENTITY, DATE = "entity", "trade_date"
-EWM_FRAME = 400
 
 
 def col(x) -> Column:
@@ -88,17 +89,49 @@ def ema_weighted(x, n: int, position) -> Column:
 
 
 def ewm(x, span: int, number: Column) -> Column:
-    """Recursive exponential mean; ``number`` is a stored :func:`row_number`.
+    """The same mean as a Column, for short spans; ``number`` is a stored :func:`row_number`.
 
-    Folds a bounded frame: what lies before it weighs less than a double can tell.
+    Folds as many rows as the span asks for: what lies before weighs less than 2^-60.
+    :func:`with_ewm` does without a frame.
     """
     a = 2.0 / (span + 1)
-    frame = F.collect_list(col(x)).over(rows(-EWM_FRAME, 0))
-    whole = number <= EWM_FRAME + 1
-    seed = F.when(whole, F.lit(None).cast("double")).otherwise(F.lit(0.0))
+    size = ceil(60 * log(2) / -log(1 - a)) if a < 1 else 1
+    frame = F.collect_list(col(x)).over(rows(-size, 0))
+    seed = F.when(number <= size + 1, F.lit(None).cast("double")).otherwise(F.lit(0.0))
     return F.aggregate(frame, seed, lambda acc, z: F.coalesce(acc * (1 - a) + z * a, z))
 
 
+def with_ewm(df: DataFrame, x: str, span: int, out: str) -> DataFrame:
+    """``df`` with the recursive exponential mean of a column, for any span; missing values are passed over.
+
+    A step is the affine map y -> b y + (1 - b) x.  Maps are composed inside blocks of an
+    entity's values by one running sum each, then from block to block.  Blocks are as long as
+    the weights b^-k can be held, 2^500, so what lies before the last two blocks weighs less
+    than 2^-500 of what is in them: no double can tell.  All windows have one order by entity
+    and date, a row carries a few numbers whatever the span, and there is one more sort.
+    """
+    keep, b = df.columns, 1 - 2.0 / (span + 1)
+    length = max(1, int(500 * log(2) / -log(b))) if b > 0 else 1
+    entity, block = over(), Window.partitionBy(ENTITY, "__block").orderBy(DATE)
+    so_far = entity.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.count(col(x)).over(so_far)  # from 1; rows before the first value have 0
+    t = df.select("*", number.alias("__number"))
+    place = F.greatest(F.col("__number") - 1, F.lit(0))
+    t = t.select("*", F.floor(place / length).alias("__block"), (place % length).cast("double").alias("__k"))
+    if b == 0:
+        return t.select(*keep, F.last(x, ignorenulls=True).over(so_far).alias(out))
+    # the first value of all is taken whole
+    step = F.when(F.col("__number") == 1, F.lit(1.0)).otherwise(F.lit(1 - b)) * col(x) * F.pow(F.lit(b), -F.col("__k"))
+    running = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.select("*", (F.sum(step).over(running) * F.pow(F.lit(b), F.col("__k"))).alias("__own"))
+    t = t.select("*", F.pow(F.lit(b), F.col("__k") + 1).alias("__fade"), F.col("__own").alias("__y"))
+    for _ in range(2):
+        # what the block before ended with, by the maps known so far
+        t = t.withColumn("__last", F.lag("__y").over(Window.partitionBy(ENTITY).orderBy("__block", DATE)))
+        t = t.withColumn("__from", F.first("__last").over(running)).withColumn("__y", F.col("__own") + F.when(F.col("__block") > 0, F.col("__fade") * F.col("__from")).otherwise(F.lit(0.0)))
+    return t.select(*keep, F.when(F.col("__number") > 0, F.col("__y")).alias(out))
+
+
 def reg_slope(x, n: int, number: Column) -> Column:
     return F.regr_slope(col(x), number).over(trailing(n))
 

@@ -48,6 +48,26 @@ def pct_rank_long(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -
     return ranked.groupBy(ENTITY, DATE).pivot("name", [*names, *keep]).agg(F.first("value"))
 
 
+def ranks_long(df: DataFrame, bases: dict[str, Column], ranks: dict[str, tuple[str, str]], tiles: int, keep: list[str]) -> DataFrame:
+    """(entity, trade_date, ``keep``, ranks): {name: ("rank" or "tile", base)} over each date, nulls last.
+
+    Rows go long to a row for each base, so a date's work is spread over as many groups as
+    there are bases, and one sort serves ranks and tiles.  The kept columns travel as one
+    struct beside the first base; a second shuffle puts the rows together again.
+    """
+    first = next(iter(bases))
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in bases.items()])).alias("x")
+    long = df.select(ENTITY, DATE, pairs, F.struct(*keep).alias("kept")).select(
+        ENTITY, DATE, "x.name", "x.value", F.when(F.col("x.name") == first, F.col("kept")).alias("kept"))
+    by_name = by_date("name")
+    order = F.col("value").asc_nulls_last()
+    # the tile's order starts with the rank's, so the rank needs no sort of its own
+    long = long.withColumn("tile", F.ntile(tiles).over(by_name.orderBy(order, ENTITY))).withColumn("rank", F.rank().over(by_name.orderBy(order)))
+    picked = [F.max(F.when(F.col("name") == base, F.col(kind))).alias(n) for n, (kind, base) in ranks.items()]
+    out = long.groupBy(ENTITY, DATE).agg(F.first("kept", ignorenulls=True).alias("kept"), *picked)
+    return out.select(ENTITY, DATE, "kept.*", *ranks)
+
+
 def median(x, *more: str) -> Column:
     return F.median(col(x)).over(by_date(*more))
 

@@ -1,7 +1,8 @@
 """Factor catalog: families as data, with the stage and lookback of each factor.
 
 Stage 1 factors read raw columns, stage 2 ones read stage 1 or stored helper columns, and
-stage 3 ones rank a staged column over a date.  Windows never nest inside one select.
+stage 3 ones rank a staged column over a date.  Windows never nest inside one select: means,
+deviations, correlations and extremes come from one :class:`Rolling` for the whole catalog.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions import ts, xs
+from panelkit.functions.rolling import Rolling
 
 WINDOWS = (5, 10, 20, 30, 60)
 #: Means, deviations and correlations are rounded to so many digits before they are ranked.
@@ -24,7 +26,7 @@ class Factor:
     name: str
     stage: int
     lookback: int
-    build: Callable[[], Column]
+    build: Callable[[Rolling], Column]
     base: str | None = None  # stage 3: the staged column that is ranked
     digits: int | None = None  # stage 3: digits the base is rounded to, if its last bits are noise
 
@@ -54,37 +56,37 @@ class FactorCatalog:
         return max((f.lookback for f in self.factors.values()), default=0)
 
     def compute(self, panel: DataFrame) -> DataFrame:
-        """(entity, trade_date, factors...): a shuffle by entity, and one by date if anything is ranked."""
+        """(entity, trade_date, factors...): a shuffle by entity; ranks add one by (date, ranked column) and one by row."""
         stage = {k: [f for f in self.factors.values() if f.stage == k] for k in (1, 2, 3)}
         keys = [ts.ENTITY, ts.DATE]
-        number = ts.row_number()
-        out = panel.select("*", number.alias("__rn"), (F.col("close") - ts.ref("close", 1)).alias("__diff"), ts.div("pb", "pe_ttm").alias("__roe"))
-        helpers = [F.least(F.col("__rn") - 1, F.lit(n - 1)).alias(f"__p{n}") for n in (12, 26)]
-        out = out.select("*", *helpers)
-        inputs = out.columns
-        hidden = {f.base: f.build for f in stage[3] if f.base not in self.factors}
-        out = out.select(*inputs, *[f.build().alias(f.name) for f in stage[1]], *[b().alias(n) for n, b in hidden.items()])
-        if stage[2]:
-            out = out.select("*", *[f.build().alias(f.name) for f in stage[2]])
-        noisy = {f.base: f.digits for f in stage[3] if f.digits is not None}
-        if noisy:
-            out = out.select("*", *[xs.steady(b, d).alias(f"__r_{b}") for b, d in noisy.items()])
-        by = lambda f: f"__r_{f.base}" if f.base in noisy else f.base
-        ranked = [(f, (xs.rank(by(f)) if f.name.startswith("RANK") or f.name.endswith("_RANK") else xs.ntile(by(f), 5)).alias(f.name)) for f in stage[3]]
-        if ranked:
-            out = out.select("*", *[c for _, c in ranked])
-        return out.select(*keys, *self.names)
+        rolling = Rolling()
+        bases = {f.base: f for f in stage[3]}
+        made = {f.name: f.build(rolling) for f in stage[1]}
+        made |= {b: f.build(rolling) for b, f in bases.items() if b not in self.factors}
+        later = {f.name: f.build(rolling) for f in stage[2]}
+        number = F.row_number().over(ts.over())
+        out = panel.select("*", (F.col("close") - ts.ref("close", 1)).alias("__diff"), ts.div("pb", "pe_ttm").alias("__roe"), *[F.least(number - 1, F.lit(n - 1)).alias(f"__p{n}") for n in (12, 26)])
+        out = rolling.prepare(out)
+        out = out.select(*keys, *[c.alias(n) for n, c in made.items()])
+        if later:
+            out = out.select("*", *[c.alias(n) for n, c in later.items()])
+        if not bases:
+            return out.select(*keys, *self.names)
+        plain = [n for n in self.names if self.factors[n].stage != 3]
+        ranks = {f.name: ("rank" if "RANK" in f.name.split("_") else "tile", f.base) for f in stage[3]}
+        steady = {b: F.col(b) if f.digits is None else xs.steady(b, f.digits) for b, f in bases.items()}
+        return xs.ranks_long(out, steady, ranks, 5, plain).select(*keys, *self.names)
 
 
 def _of_field(x: str, ratios: bool = True, extremes: bool = True) -> list[Factor]:
     """Lags, means, deviations and extremes of one raw column."""
-    out = [Factor(f"REF_{x}_{n}", 1, n + 1, lambda n=n: ts.div(ts.ref(x, n), x) - 1) for n in (1, 2)] if ratios else []
-    out += [Factor(f"MEAN_{x}_{n}", 1, n, lambda n=n: ts.div(ts.mean(x, n), x)) for n in WINDOWS]
-    out += [Factor(f"STD_{x}_{n}", 1, n, lambda n=n: ts.std(x, n)) for n in WINDOWS]
+    out = [Factor(f"REF_{x}_{n}", 1, n + 1, lambda r, n=n: ts.div(ts.ref(x, n), x) - 1) for n in (1, 2)] if ratios else []
+    out += [Factor(f"MEAN_{x}_{n}", 1, n, lambda r, n=n: ts.div(r.mean(x, n), x)) for n in WINDOWS]
+    out += [Factor(f"STD_{x}_{n}", 1, n, lambda r, n=n: r.std(x, n)) for n in WINDOWS]
     if extremes:
-        out += [Factor(f"MAX_{x}_{n}", 1, n, lambda n=n: ts.high(x, n)) for n in WINDOWS]
+        out += [Factor(f"MAX_{x}_{n}", 1, n, lambda r, n=n: r.high(x, n)) for n in WINDOWS]
         if extremes != "max":
-            out += [Factor(f"MIN_{x}_{n}", 1, n, lambda n=n: ts.low(x, n)) for n in WINDOWS]
+            out += [Factor(f"MIN_{x}_{n}", 1, n, lambda r, n=n: r.low(x, n)) for n in WINDOWS]
     return out
 
 
@@ -94,51 +96,70 @@ def price_volume() -> FactorCatalog:
     for x in ("open", "high", "low", "close"):
         out += _of_field(x)
     out += _of_field("volume", extremes="max")
-    out += [Factor(f"CORR_volume_{n}", 1, n, lambda n=n: ts.corr("close", "volume", n)) for n in WINDOWS]
+    out += [Factor(f"CORR_volume_{n}", 1, n, lambda r, n=n: r.corr("close", "volume", n)) for n in WINDOWS]
     out += _of_field("amount", extremes=False)
-    out += [Factor(f"CORR_amount_{n}", 1, n, lambda n=n: ts.corr("close", "amount", n)) for n in WINDOWS]
+    out += [Factor(f"CORR_amount_{n}", 1, n, lambda r, n=n: r.corr("close", "amount", n)) for n in WINDOWS]
     out += _of_field("vwap", extremes=False)
     based = ["REF_close_1", *(f"MEAN_close_{n}" for n in WINDOWS), *(f"STD_close_{n}" for n in WINDOWS), *(f"CORR_volume_{n}" for n in WINDOWS)]
     known = {f.name: f for f in out}
     for kind in ("RANK", "QUANTILE"):
         out += [Factor(f"{kind}_{b}", 3, known[b].lookback, known[b].build, b, None if b == "REF_close_1" else RANK_DIGITS) for b in based]
     for x in ("close", "volume", "amount"):
-        out += [Factor(f"DELTA_{x}_{n}", 1, n + 1, lambda n=n, x=x: ts.delta(x, n)) for n in WINDOWS]
-    out += [Factor(f"SUM_close_{n}", 1, n, lambda n=n: ts.total("close", n)) for n in WINDOWS]
+        out += [Factor(f"DELTA_{x}_{n}", 1, n + 1, lambda r, n=n, x=x: ts.delta(x, n)) for n in WINDOWS]
+    # sums this large show at six digits in which order they were added, so these are added in the order of rows
+    out += [Factor(f"SUM_close_{n}", 1, n, lambda r, n=n: ts.total("close", n)) for n in WINDOWS]
     return FactorCatalog(out)
 
 
+def _channel(r: Rolling, n: int) -> Column:
+    least = r.low("close", n)
+    return ts.div(r.mean("close", n) - least, r.high("close", n) - least)
+
+
+def _ema(r: Rolling, n: int) -> Column:
+    """Ratio of weighted sums; a row weighs ((n-1)/(n+1)) to the power of its own stored position."""
+    weight = F.pow(F.lit((n - 1) / (n + 1)), F.col(f"__p{n}"))
+    return F.try_divide(r.total(r.define(f"__cw{n}", F.col("close") * weight), n), r.total(r.define(f"__w{n}", weight), n))
+
+
+def _rsi(r: Rolling, n: int) -> Column:
+    """A missing change counts as 0 in both averages."""
+    change = F.col("__diff")
+    gain = r.define("__gain", F.when(change > 0, change).otherwise(F.lit(0.0)))
+    loss = r.define("__loss", F.when(change < 0, -change).otherwise(F.lit(0.0)))
+    return F.lit(100.0) - F.try_divide(F.lit(100.0), 1 + F.try_divide(r.mean(gain, n), r.mean(loss, n)))
+
+
 def extended() -> FactorCatalog:
     """13 price-pattern factors."""
-    channel = lambda n: ts.div(ts.mean("close", n) - ts.low("close", n), ts.high("close", n) - ts.low("close", n))
     return FactorCatalog([
-        Factor("CHP30", 1, 30, lambda: ts.div(F.col("close") - ts.low("low", 30), ts.high("high", 30) - ts.low("low", 30))),
-        Factor("SKEWP10", 1, 10, lambda: channel(10)),
-        Factor("SKEWP20", 1, 20, lambda: channel(20)),
-        Factor("GAP", 1, 2, lambda: ts.div("open", ts.ref("close", 1)) - 1),
-        Factor("DRP", 1, 1, lambda: ts.div(F.col("close") - F.col("low"), F.col("high") - F.col("low"))),
-        Factor("O2C", 1, 1, lambda: ts.div("close", "open") - 1),
-        Factor("HLC", 1, 1, lambda: ts.div(F.col("high") - F.col("close"), F.col("high") - F.col("low"))),
-        Factor("EMA12C", 1, 24, lambda: ts.ema_weighted("close", 12, "__p12")),
-        Factor("EMA26C", 1, 52, lambda: ts.ema_weighted("close", 26, "__p26")),
-        Factor("MACD", 2, 52, lambda: F.col("EMA12C") - F.col("EMA26C")),
-        Factor("RSI14", 1, 15, lambda: ts.rsi(F.col("__diff"), 14)),
-        Factor("SLOPE5", 1, 5, lambda: ts.reg_slope("close", 5, F.col("__rn"))),
-        Factor("SLOPE20", 1, 20, lambda: ts.reg_slope("close", 20, F.col("__rn"))),
+        Factor("CHP30", 1, 30, lambda r: ts.div(F.col("close") - r.low("low", 30), r.high("high", 30) - r.low("low", 30))),
+        Factor("SKEWP10", 1, 10, lambda r: _channel(r, 10)),
+        Factor("SKEWP20", 1, 20, lambda r: _channel(r, 20)),
+        Factor("GAP", 1, 2, lambda r: ts.div("open", ts.ref("close", 1)) - 1),
+        Factor("DRP", 1, 1, lambda r: ts.div(F.col("close") - F.col("low"), F.col("high") - F.col("low"))),
+        Factor("O2C", 1, 1, lambda r: ts.div("close", "open") - 1),
+        Factor("HLC", 1, 1, lambda r: ts.div(F.col("high") - F.col("close"), F.col("high") - F.col("low"))),
+        Factor("EMA12C", 1, 24, lambda r: _ema(r, 12)),
+        Factor("EMA26C", 1, 52, lambda r: _ema(r, 26)),
+        Factor("MACD", 2, 52, lambda r: F.col("EMA12C") - F.col("EMA26C")),
+        Factor("RSI14", 1, 15, lambda r: _rsi(r, 14)),
+        Factor("SLOPE5", 1, 5, lambda r: r.slope("close", 5)),
+        Factor("SLOPE20", 1, 20, lambda r: r.slope("close", 20)),
     ])
 
 
 def fundamental() -> FactorCatalog:
     """8 fundamental factors; min-max names differ from raw columns, which stay readable."""
     return FactorCatalog([
-        Factor("PE_TTM_MINMAX_750", 1, 750, lambda: ts.minmax("pe_ttm", 750)),
-        Factor("PB_MINMAX_750", 1, 750, lambda: ts.minmax("pb", 750)),
-        Factor("ROE_RAW", 1, 1, lambda: F.col("__roe")),
-        Factor("ROE", 1, 750, lambda: ts.minmax("__roe", 750)),
-        Factor("MV", 1, 750, lambda: ts.minmax("total_mv", 750)),
-        Factor("TURN", 1, 1, lambda: F.col("turnover_rate")),
-        Factor("TURN_RANK", 3, 1, lambda: F.col("turnover_rate"), "TURN"),
-        Factor("VOLRATIO", 1, 1, lambda: F.col("volume_ratio")),
+        Factor("PE_TTM_MINMAX_750", 1, 750, lambda r: r.minmax("pe_ttm", 750)),
+        Factor("PB_MINMAX_750", 1, 750, lambda r: r.minmax("pb", 750)),
+        Factor("ROE_RAW", 1, 1, lambda r: F.col("__roe")),
+        Factor("ROE", 1, 750, lambda r: r.minmax("__roe", 750)),
+        Factor("MV", 1, 750, lambda r: r.minmax("total_mv", 750)),
+        Factor("TURN", 1, 1, lambda r: F.col("turnover_rate")),
+        Factor("TURN_RANK", 3, 1, lambda r: F.col("turnover_rate"), "TURN"),
+        Factor("VOLRATIO", 1, 1, lambda r: F.col("volume_ratio")),
     ])
 
 

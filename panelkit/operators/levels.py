@@ -9,6 +9,7 @@ from panelkit.functions import ts
 
 #: Half-width of the centred window and how far ahead levels are looked for.
 HORIZONS = {"short": (2, 5), "mid": (10, 20), "long": (30, 60)}
+#: The names of the derived columns.
 FEATURES = ["volume_ratio", "hl_ratio", "ret_5d", "close_ma20", "atr_ratio", "vol_change", "amt_change", "keltner_pos", "keltner_width", "keltner_above_ema"]
 
 
@@ -16,7 +17,7 @@ def derived(panel: DataFrame) -> DataFrame:
     """``panel`` with FEATURES, missing values filled as documented: ratio 1, everything else 0."""
     positive = lambda x: F.when(F.col(x) != 0, F.col(x))
     out = panel.withColumn("__rn", ts.row_number()).withColumn("__tr", ts.true_range())
-    out = out.withColumn("__ema", ts.ewm("close", 20, F.col("__rn"))).withColumn("__atr20", ts.mean("__tr", 20)).withColumn("__c", positive("close"))
+    out = ts.with_ewm(out, "close", 20, "__ema").withColumn("__atr20", ts.mean("__tr", 20)).withColumn("__c", positive("close"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = out.select(
         "*",

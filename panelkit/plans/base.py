@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelkit.functions.rolling import select_rolling
 from panelkit.sources import bars as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,10 +78,18 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
         ORACLES[name] = sql
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A staged column that takes more than a Column: ``add(panel, name)`` gives the panel with it."""
+
+    add: Callable[[DataFrame, str], DataFrame]
+
+
 def add_columns(name: str, columns: dict[str, tuple], views: tuple[str, ...] = ("bars",), stage: dict[str, tuple] | None = None) -> None:
     """A query of Columns over bars: {column: (Column maker, SQL, digits or None)}.
 
-    ``stage`` holds columns that are stored first, {column: (Column maker, SQL)}.  In SQL
+    ``stage`` holds columns that are stored first, {column: (Column maker, SQL)}.  A maker whose
+    parameter is ``r`` gets a Rolling.  In SQL
     ``w`` is the entity's window in date order, ``x`` the date's.
     """
 
@@ -91,9 +101,9 @@ def add_columns(name: str, columns: dict[str, tuple], views: tuple[str, ...] = (
         if "sec" in views:
             panel = panel.join(source.securities(spark, sf_dir), "entity")
         for c, (make, _) in (stage or {}).items():
-            panel = panel.withColumn(c, make())
-        made = [(make() if digits is None else rounded(make(), digits)).alias(c) for c, (make, _, digits) in columns.items()]
-        return panel.select("entity", "trade_date", *made)
+            panel = select_rolling(panel, [*panel.columns], {c: make}) if not isinstance(make, Stored) else make.add(panel, c)
+        out = select_rolling(panel, ["entity", "trade_date"], {c: make for c, (make, _, _) in columns.items()})
+        return out.select("entity", "trade_date", *[(F.col(c) if digits is None else rounded(F.col(c), digits)).alias(c) for c, (_, _, digits) in columns.items()])
 
     base = "bars"
     more: dict[str, str] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import scalar, ts, xs
 from panelkit.operators import catalog
-from panelkit.plans.base import add, add_columns, rounded, rounded_sql, with_views
+from panelkit.plans.base import Stored, add, add_columns, rounded, rounded_sql, with_views
 from panelkit.sources import bars as source
 
 
@@ -35,12 +35,12 @@ TRUE = {"trng": (ts.true_range, "greatest(high - low, abs(high - lag(close) OVER
 
 add_columns("ts_ref", {f"ref_{n}": (lambda n=n: ts.ref("close", n), f"lag(close, {n}) OVER w", 6) for n in (1, 2)})
 add_columns("ts_delta", {f"delta_{n}": (lambda n=n: ts.delta("close", n), f"close - lag(close, {n}) OVER w", 6) for n in (5, 60)})
-add_columns("ts_mean", {f"mean_{n}": (lambda n=n: ts.mean("close", n), f"avg(close) OVER {tr(n)}", 4) for n in (5, 20, 60)})
-add_columns("ts_std", {f"std_{n}": (lambda n=n: ts.std("close", n), f"stddev_samp(close) OVER {tr(n)}", 4) for n in (5, 20, 60)})
-add_columns("ts_sum", {f"sum_{n}": (lambda n=n: ts.total("close", n), f"sum(close) OVER {tr(n)}", 4) for n in (5, 60)})
-add_columns("ts_max", {f"max_{n}": (lambda n=n: ts.high("high", n), f"max(high) OVER {tr(n)}", 6) for n in (5, 60)})
-add_columns("ts_min", {f"min_{n}": (lambda n=n: ts.low("low", n), f"min(low) OVER {tr(n)}", 6) for n in (5, 60)})
-add_columns("ts_corr", {f"corr_{n}": (lambda n=n: ts.corr("close", "volume", n), corr_sql("close", "volume", n), 5) for n in (5, 20, 60)})
+add_columns("ts_mean", {f"mean_{n}": (lambda r, n=n: r.mean("close", n), f"avg(close) OVER {tr(n)}", 4) for n in (5, 20, 60)})
+add_columns("ts_std", {f"std_{n}": (lambda r, n=n: r.std("close", n), f"stddev_samp(close) OVER {tr(n)}", 4) for n in (5, 20, 60)})
+add_columns("ts_sum", {f"sum_{n}": (lambda r, n=n: r.total("close", n), f"sum(close) OVER {tr(n)}", 4) for n in (5, 60)})
+add_columns("ts_max", {f"max_{n}": (lambda r, n=n: r.high("high", n), f"max(high) OVER {tr(n)}", 6) for n in (5, 60)})
+add_columns("ts_min", {f"min_{n}": (lambda r, n=n: r.low("low", n), f"min(low) OVER {tr(n)}", 6) for n in (5, 60)})
+add_columns("ts_corr", {f"corr_{n}": (lambda r, n=n: r.corr("close", "volume", n), corr_sql("close", "volume", n), 5) for n in (5, 20, 60)})
 add_columns("ts_row_number", {"nth": (ts.row_number, "row_number() OVER w", None)})
 add_columns("ts_window_pos", {f"pos_{n}": (lambda n=n: ts.window_position(n), f"rn - min(rn) OVER {tr(n)}", None) for n in (5, 10, 12, 14, 20, 26, 30, 60)}, stage=RN)
 add_columns(
@@ -48,7 +48,7 @@ add_columns(
     {f"ema_{n}": (lambda n=n: ts.ema_weighted("close", n, f"p{n}"), f"sum(close * pow({(n - 1) / (n + 1)!r}, p{n})) OVER {tr(n)} / sum(pow({(n - 1) / (n + 1)!r}, p{n})) OVER {tr(n)}", 4) for n in (12, 26)},
     stage={f"p{n}": (lambda n=n: ts.window_position(n), f"least(row_number() OVER w - 1, {n - 1})") for n in (12, 26)},
 )
-add_columns("ts_reg_slope", {f"slope_{n}": (lambda n=n: ts.reg_slope("close", n, F.col("rn").cast("double")), f"CASE WHEN rn > 1 THEN regr_slope(close, CAST(rn AS DOUBLE)) OVER {tr(n)} END", 5) for n in (5, 20)}, stage=RN)
+add_columns("ts_reg_slope", {f"slope_{n}": (lambda r, n=n: r.slope("close", n), f"CASE WHEN rn > 1 THEN regr_slope(close, CAST(rn AS DOUBLE)) OVER {tr(n)} END", 5) for n in (5, 20)}, stage=RN)
 gain, loss = (f"avg(CASE WHEN diff {s} 0 THEN {m}diff ELSE 0.0 END) OVER {tr(14)}" for s, m in ((">", ""), ("<", "-")))
 add_columns("ts_rsi", {"rsi_14": (lambda: ts.rsi(F.col("diff"), 14), f"100.0 - 100.0 / (1.0 + {gain} / NULLIF({loss}, 0.0))", 4)}, stage=DIFF)
 channel = lambda n: q(f"avg(close) OVER {tr(n)} - min(close) OVER {tr(n)}", f"max(close) OVER {tr(n)} - min(close) OVER {tr(n)}")
@@ -60,9 +60,9 @@ ema = lambda n: f"(sum(close * pow({(n - 1) / (n + 1)!r}, p{n})) OVER {tr(n)} /
 add_columns("ts_macd", {"macd": (lambda: F.col("ema12") - F.col("ema26"), "ema12 - ema26", 4)}, stage={
     **{f"p{n}": (lambda n=n: ts.window_position(n), f"least(row_number() OVER w - 1, {n - 1})") for n in (12, 26)},
     **{f"ema{n}": (lambda n=n: ts.ema_weighted("close", n, f"p{n}"), ema(n)) for n in (12, 26)}})
-add_columns("ts_minmax_750", {f"{c}_mm": (lambda c=c: ts.minmax(c, 750), q(f"{c} - min({c}) OVER {tr(750)}", f"max({c}) OVER {tr(750)} - min({c}) OVER {tr(750)}"), 6) for c in ("pe_ttm", "pb", "roe", "total_mv")}, views=("bars", "fund"), stage={"roe": (lambda: ts.div("pb", "pe_ttm"), "pb / NULLIF(pe_ttm, 0)")})
+add_columns("ts_minmax_750", {f"{c}_mm": (lambda r, c=c: r.minmax(c, 750), q(f"{c} - min({c}) OVER {tr(750)}", f"max({c}) OVER {tr(750)} - min({c}) OVER {tr(750)}"), 6) for c in ("pe_ttm", "pb", "roe", "total_mv")}, views=("bars", "fund"), stage={"roe": (lambda: ts.div("pb", "pe_ttm"), "pb / NULLIF(pe_ttm, 0)")})
 add_columns("ts_lead", {f"lead_{n}": (lambda n=n: ts.lead("close", n), f"lead(close, {n}) OVER w", 6) for n in (5, 20, 60)})
-add_columns("ts_fwd_extremes", {k: v for n in (5, 20) for k, v in {f"low_{n}": (lambda n=n: ts.forward_low("low", n), f"min(low) OVER {fw(0, n)}", 6), f"high_{n}": (lambda n=n: ts.forward_high("high", n), f"max(high) OVER {fw(0, n)}", 6)}.items()})
+add_columns("ts_fwd_extremes", {k: v for n in (5, 20) for k, v in {f"low_{n}": (lambda r, n=n: r.extreme("low", 0, n, -1), f"min(low) OVER {fw(0, n)}", 6), f"high_{n}": (lambda r, n=n: r.extreme("high", 0, n, 1), f"max(high) OVER {fw(0, n)}", 6)}.items()})
 add_columns("ts_back_return", {f"back_{n}": (lambda n=n: ts.back_return("close", n), f"close / NULLIF(lag(close, {n}) OVER w, 0) - 1", 6) for n in (5, 20)})
 add_columns("ts_vol_ratio", {"vol_ratio": (lambda: F.coalesce(ts.div("volume", ts.mean("volume", 20)), F.lit(1.0)), f"coalesce({q('volume', f'avg(volume) OVER {tr(20)}')}, 1.0)", 6)})
 add_columns("ts_hl_ratio", {"hl_ratio": (lambda: ts.div(F.col("high") - F.col("low"), "close"), "(high - low) / NULLIF(close, 0)", 6)})
@@ -72,15 +72,16 @@ add_columns("ts_true_range", {"true_range": (ts.true_range, TRUE["trng"][1], 6)}
 add_columns("ts_atr_ratio", {"atr_ratio": (lambda: ts.div(ts.mean("trng", 14), "close"), q(f"avg(trng) OVER {tr(14)}", "close"), 6)}, stage=TRUE)
 add_columns("ts_log_change", {f"{c}_change": (lambda c=c: ts.log_change(c), f"ln({c} / NULLIF(lag({c}) OVER w, 0))", 6) for c in ("volume", "amount")})
 EWM = "list_reduce(list_prepend(NULL, list(close) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), lambda a, z: coalesce(a * (19.0 / 21.0) + z * (2.0 / 21.0), z))"
-add_columns("ts_ewm", {"ewm": (lambda: ts.ewm("close", 20, F.col("rn")), EWM, 4)}, stage=RN)
-KELT = {**RN, **TRUE, "ema": (lambda: ts.ewm("close", 20, F.col("rn")), EWM), "atr": (lambda: ts.mean("trng", 20), f"avg(trng) OVER {tr(20)}")}
+EMA20 = Stored(lambda panel, name: ts.with_ewm(panel, "close", 20, name))
+add_columns("ts_ewm", {"ewm": (lambda: F.col("ema"), "ema", 4)}, stage={**RN, "ema": (EMA20, EWM)})
+KELT = {**RN, **TRUE, "ema": (EMA20, EWM), "atr": (lambda: ts.mean("trng", 20), f"avg(trng) OVER {tr(20)}")}
 add_columns("ts_keltner", {
     "pos": (lambda: ts.div(F.col("close") - F.col("ema"), F.col("atr") * 2), q("close - ema", "atr * 2"), 6),
     "width": (lambda: ts.div("atr", "ema"), q("atr", "ema"), 6), "above": (lambda: ts.div("close", "ema") - 1, q("close", "ema") + " - 1", 6)}, stage=KELT)
-add_columns("ts_ema_slope", {"slope": (lambda: (F.col("above") - ts.ref("above", 5)) / 5, "(above - lag(above, 5) OVER w) / 5", 6)}, stage={**RN, "above": (lambda: ts.div("close", ts.ewm("close", 20, F.col("rn"))) - 1, q("close", EWM) + " - 1")})
+add_columns("ts_ema_slope", {"slope": (lambda: (F.col("above") - ts.ref("above", 5)) / 5, "(above - lag(above, 5) OVER w) / 5", 6)}, stage={**RN, "ema": (EMA20, EWM), "above": (lambda: ts.div("close", "ema") - 1, q("close", "ema") + " - 1")})
 PEAKS = (2, 10, 30)
-add_columns("ts_local_peak", {f"peak_{n}": (lambda n=n: ts.local_peak("high", n), f"high = max(high) OVER {fw(-n, n)}", None) for n in PEAKS})
-add_columns("ts_local_trough", {f"trough_{n}": (lambda n=n: ts.local_trough("low", n), f"low = min(low) OVER {fw(-n, n)}", None) for n in PEAKS})
+add_columns("ts_local_peak", {f"peak_{n}": (lambda r, n=n: F.col("high") == r.extreme("high", -n, n, 1), f"high = max(high) OVER {fw(-n, n)}", None) for n in PEAKS})
+add_columns("ts_local_trough", {f"trough_{n}": (lambda r, n=n: F.col("low") == r.extreme("low", -n, n, -1), f"low = min(low) OVER {fw(-n, n)}", None) for n in PEAKS})
 FLAG = {"peak": (lambda: ts.local_peak("high", 2), f"high = max(high) OVER {fw(-2, 2)}"), "trough": (lambda: ts.local_trough("low", 2), f"low = min(low) OVER {fw(-2, 2)}")}
 vp = f"peak AND coalesce((high - min(high) OVER {fw(1, 3)}) / high >= 0.005, true)"
 vt = f"trough AND coalesce((max(low) OVER {fw(1, 3)} - low) / low >= 0.005, true)"
