@@ -2,33 +2,34 @@
 
 A text is normalised by the longest prefixes the model's compiled character map knows; an
 array beside the normalised bytes records at which byte of the original each of them began.
-Merges then run over the normalised text, and every piece is projected through that array to
-the span of original bytes it stands for.
+The normalised text is segmented, and every piece is projected through that array to the span
+of original bytes it stands for.
 
-Merges never join two characters that no piece holds side by side, so the text is cut there
-and each distinct cut is merged once and remembered (a bounded memo).
+Where no piece has a space after something else, words are segmented by themselves, each
+distinct one once; what was found is remembered (a bounded memo).
 
 Edge cases: null texts count as empty and have no pieces; repeated rows and null ids are rows
 of their own; an empty table gives an empty result; columns of the table are kept, and one
 that has the name of the result is replaced.  Memory for a text is about twelve bytes a piece,
-and about sixty a character for the longest run that can't be cut.
+and some hundred a character for the longest run that can't be cut.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from panelkit.llm.encoders import Memo
+from panelkit.llm.encoders import MEMO_WORDS
 
 SPACE, WIDE_SPACE = " ", "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -163,32 +164,31 @@ class Normalizer:
 
 
 class PieceCodec:
-    """Encoder with offsets and decoder of one BPE model."""
+    """Encoder with offsets and decoder of one model.
+
+    The library segments what is normalised already, with the model's own normaliser taken out.
+    """
 
     def __init__(self, path: str):
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
         kinds = {p.type for p in proto.pieces}
-        if proto.trainer_spec.model_type != 2 or kinds - {NORMAL, UNKNOWN, CONTROL, BYTE} or proto.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("a BPE model of normal, unknown, control and byte pieces is needed, with spaces before words")
+        if kinds - {NORMAL, UNKNOWN, CONTROL, BYTE} or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("a model of normal, unknown, control and byte pieces is needed, with spaces before words")
         self.normalizer = Normalizer(proto.normalizer_spec)
-        normal = {p.piece: k for k, p in enumerate(proto.pieces) if p.type == NORMAL}
-        ranks = {s: r for r, s in enumerate(sorted({p.score for p in proto.pieces if p.type == NORMAL}, reverse=True))}
-        #: Rank and piece of two neighbours, by left << 32 | right.
-        self.ids, self.rank, self.joined, self.beside = normal, {}, {}, set()
-        for piece, k in normal.items():
-            rank = ranks[proto.pieces[k].score]
-            self.beside.update(zip(piece, piece[1:]))
-            for cut in range(1, len(piece)):
-                left, right = normal.get(piece[:cut]), normal.get(piece[cut:])
-                if left is not None and right is not None:
-                    self.rank[left << 32 | right], self.joined[left << 32 | right] = rank, k
+        bare = sentencepiece_model_pb2.ModelProto()
+        bare.CopyFrom(proto)
+        bare.normalizer_spec.CopyFrom(sentencepiece_model_pb2.NormalizerSpec(name="identity", add_dummy_prefix=False, remove_extra_whitespaces=False, escape_whitespaces=False))
+        self.segment = sentencepiece.SentencePieceProcessor(model_proto=bare.SerializeToString())
+        #: Pairs of characters that a piece holds side by side.
+        self.beside = {pair for p in proto.pieces if p.type == NORMAL for pair in zip(p.piece, p.piece[1:])}
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(proto.pieces) if p.type == BYTE}
         self.byte_of = {k: b for b, k in self.bytes.items()}
         self.unknown = next(k for k, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         # bytes of the normalised text that a piece covers; an unknown one covers what it covers
         self.length = [len(p.piece) for p in proto.pieces]
+        self.characters = {p.piece for p in proto.pieces if p.type == NORMAL and len(p.piece) == 1}
         self.covers = np.array([1 if p.type == BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
         spaced = lambda p: p.replace(WIDE_SPACE, SPACE) if self.normalizer.escape else p
         said = {NORMAL: lambda p: spaced(p.piece), UNKNOWN: lambda p: proto.trainer_spec.unk_surface, CONTROL: lambda p: ""}
@@ -197,108 +197,70 @@ class PieceCodec:
         # words start with their spaces if no piece has a space after something else
         self.word = re.compile(f"{WIDE_SPACE}*[^{WIDE_SPACE}]+|{WIDE_SPACE}+")
         self.cuts_at_spaces = not any(b == WIDE_SPACE and a != WIDE_SPACE for a, b in self.beside)
-        self.memo = Memo(self._cut)
-
-    def _cut(self, run: str) -> bytes:
-        """Ids of a run; a long one is cut where no piece spans the border."""
-        if len(run) <= LONG:
-            return self._ids(run, self._merge_short([self.ids.get(c, -1) for c in run]))
-        border = [k for k in range(1, len(run)) if (run[k - 1], run[k]) not in self.beside]
-        return b"".join(self._ids(run[a:b], self._merge_long(run[a:b])) for a, b in zip([0, *border], [*border, len(run)]))
-
-    def _merge_short(self, symbols: list[int]) -> list[int]:
-        """Joins the best neighbours, the leftmost of equals first, until none is a piece; -1 is no piece."""
-        rank, never = self.rank.get, 1 << 62
-        ranks = [rank(a << 32 | b, never) if a >= 0 <= b else never for a, b in zip(symbols, symbols[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == never:
-                break
-            k = ranks.index(best)
-            both = self.joined[symbols[k] << 32 | symbols[k + 1]]
-            symbols[k : k + 2] = [both]
-            del ranks[k]
-            if k < len(ranks):
-                ranks[k] = rank(both << 32 | symbols[k + 1], never) if symbols[k + 1] >= 0 else never
-            if k:
-                ranks[k - 1] = rank(symbols[k - 1] << 32 | both, never) if symbols[k - 1] >= 0 else never
-        return symbols
-
-    def _merge_long(self, run: str) -> array:
-        """The same with a heap, in time about proportional to the run; -2 is a symbol that is gone."""
-        symbols = array("i", [self.ids.get(c, -1) for c in run])
-        n = len(symbols)
-        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
-        rank, waiting = self.rank.get, []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right < n and symbols[left] >= 0 and symbols[right] >= 0:
-                found = rank(symbols[left] << 32 | symbols[right])
-                if found is not None:
-                    heapq.heappush(waiting, found << 32 | left)
-
-        for k in range(n - 1):
-            offer(k)
-        while waiting:
-            best = heapq.heappop(waiting)
-            left = best & 0xFFFFFFFF
-            right = after[left]
-            if symbols[left] < 0 or right >= n or symbols[right] < 0:
-                continue
-            pair = symbols[left] << 32 | symbols[right]
-            if rank(pair) != best >> 32:
-                continue
-            symbols[left], symbols[right] = self.joined[pair], -2
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-            offer(left)
-            if before[left] >= 0:
-                offer(before[left])
-        return symbols
-
-    def _ids(self, run: str, symbols) -> bytes:
-        """Ids of merged symbols; characters that are no piece become bytes, or the unknown piece."""
-        if min(symbols, default=0) < 0:
-            out, at = [], 0
-            for k in symbols:
-                if k >= 0:
-                    out.append(k)
-                    at += self.length[k]
-                elif k == -1:
-                    out += [self.bytes[b] for b in run[at].encode()] if self.bytes else [self.unknown]
-                    at += 1
-            symbols = out
-        return array("i", symbols).tobytes()
+        self.known, self.old = {}, {}
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the pieces, and the first and end byte in ``text`` of what each stands for.
+    def _learn(self, runs: Iterable[str]) -> list[str]:
+        """Makes the ids of all runs known; returns those that are too long to be remembered."""
+        missing, cuts = [], {}
+        for run in runs:
+            if run in self.known:
+                continue
+            if run in self.old:
+                self.known[run] = self.old[run]
+            elif len(run) <= LONG:
+                missing.append(run)
+            else:
+                # cut where no piece spans the border
+                border = [k for k in range(1, len(run)) if (run[k - 1], run[k]) not in self.beside]
+                cuts[run] = [run[a:b] for a, b in zip([0, *border], [*border, len(run)])]
+        for run, ids in zip(missing, self.segment.encode(missing, num_threads=1)):
+            self.known[run] = array("i", ids).tobytes()
+        for run, parts in cuts.items():
+            self.known[run] = array("i", chain.from_iterable(self.segment.encode(parts, num_threads=1))).tobytes()
+        return list(cuts)
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the ids of its pieces, and the first and end byte of what each stands for.
 
         Of a character given as bytes the last one has its span; the others are empty at its start.
         """
-        new, origin = self.normalizer.run(text)
-        runs = self.word.findall(new) if self.cuts_at_spaces else [new] if new else []
-        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, runs)), np.int32)
-        if self.bytes:
-            end = np.cumsum(self.covers[ids])
-            begin = end - self.covers[ids]
-        else:
-            ids, begin, end = self._with_unknown(ids, new)
-        return ids, origin[begin], origin[end]
+        normal = [self.normalizer.run(t) for t in texts]
+        runs = [self.word.findall(new) if self.cuts_at_spaces else [new] if new else [] for new, _ in normal]
+        long = self._learn(set(chain.from_iterable(runs)))
+        out = []
+        for (new, origin), some in zip(normal, runs):
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, some)), np.int32)
+            if self.bytes:
+                end = np.cumsum(self.covers[ids])
+                begin = end - self.covers[ids]
+            else:
+                ids, begin, end = self._with_unknown(ids, new)
+            out.append((ids, origin[begin], origin[end]))
+        for run in long:
+            del self.known[run]
+        if len(self.known) > MEMO_WORDS:
+            self.known, self.old = {}, self.known
+        return out
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.encode_all([text])[0]
 
     def _with_unknown(self, ids: np.ndarray, new: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Without byte pieces: unknown characters side by side are one piece."""
-        raw, at, spans = new.encode(), 0, []
+        """Without byte pieces: an unknown piece covers the characters up to the next that is a piece."""
+        at, byte, spans = 0, 0, []
         for k in ids.tolist():
-            size = int(self.covers[k])
-            if k == self.unknown:
-                size = 1 + (raw[at] >= 0xC0) + (raw[at] >= 0xE0) + (raw[at] >= 0xF0)
-                if spans and spans[-1][0] == k:
-                    spans[-1][2] = at = at + size
-                    continue
-            spans.append([k, at, at + size])
-            at += size
+            if k != self.unknown:
+                spans.append([k, byte, byte + int(self.covers[k])])
+                at += self.length[k]
+            elif spans and spans[-1][0] == k:
+                continue  # a run ended between unknown characters
+            else:
+                stop = at
+                while stop < len(new) and new[stop] not in self.characters:
+                    stop += 1
+                spans.append([k, byte, byte + len(new[at:stop].encode())])
+                at = stop
+            byte = spans[-1][2]
         out = np.array(spans, np.int32).reshape(-1, 3)
         return out[:, 0], out[:, 1], out[:, 2]
 
@@ -376,7 +338,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "pieces",
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in _groups(batches, lambda t: len(t or ""), GROUP_CHARS):
-            found = [codec(path).encode(t or "") for t in texts]
+            found = codec(path).encode_all([t or "" for t in texts])
             offsets = np.append(0, np.cumsum([len(f[0]) for f in found], dtype=np.int64))
             fields = {name: _lists([f[k] for f in found], offsets) for k, name in enumerate(("ids", "begins", "ends"))}
             if decoded:
