@@ -242,6 +242,34 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows of ``docs``, all columns, with one document of each near-duplicate group.
+
+    Each row is judged by its own text.  Rows that repeat id and text are one document, and
+    unlike texts of a repeated id are documents of their own, of which one keeps the id among
+    equals; rows with a null id all stay.  Ids of repeated rows need room for fresh numbers, so
+    they may lie beyond 2^62 on one side of zero only.
+    """
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias("__key"))
+    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    repeated = materialize(ids.where("__n > 1").select("__key"), "repeated-ids")
+    if not repeated.isEmpty():
+        lo, hi = keyed.agg(F.min("__key"), F.max("__key")).first()
+        if hi >= 1 << 62 and lo <= -(1 << 62):
+            raise ValueError("ids lie beyond 2^62 on both sides of zero")
+        again = keyed.join(repeated, "__key", "left_semi").dropDuplicates(["doc_id", "text"])
+        # the least text of an id keeps it, so its group's least id is what it would be without the others
+        first = again.groupBy("__key").agg(F.min("text").alias("__least"))
+        again = again.join(first, "__key").withColumn("__fresh", F.monotonically_increasing_id())
+        fresh = F.lit(hi + 1) + F.col("__fresh") if hi < 1 << 62 else F.lit(lo - 1) - F.col("__fresh")
+        again = again.withColumn("__key", F.when(F.col("text").eqNullSafe(F.col("__least")), F.col("__key")).otherwise(fresh)).drop("__least", "__fresh")
+        # stored, as fresh numbers hold for one run only
+        again = materialize(again.select(keyed.columns), "repeated-rows")
+        keyed = keyed.join(repeated, "__key", "left_anti").select(keyed.columns).unionByName(again)
+    gone = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(gone, "__key", "left_anti").select(docs.columns)
+
+
 def _checked(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, size_a, size_b, common, linked) of each distinct edge, a < b, from the full sets."""
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -590,9 +590,41 @@ def test_pipeline_stages(spark, small, tmp_path):
         before = after
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    """Each row is judged by its own text: a text is lost only to a near copy of it."""
+    words = [f"w{k}" for k in range(40)]
+    a, b, c = " ".join(words), " ".join(f"other{k}" for k in range(30)), " ".join(f"third{k}" for k in range(25))
+    near = " ".join([*words, "end"])
+    rows = [(3, a), (5, a), (5, b), (9, c), (5, b), (7, near), (7, c + " more"), (7, None), (8, ""), (8, "x y"), (None, a), (None, a), (-4, b + " z"), (11, "x y"), (11, "q")]
+    got = near_dup.one_of_each(frame(spark, [(i, t, "en", "s") for i, t in rows]), 5, 80)
+    assert got.columns == frame(spark, []).columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    # one of each group of texts, by the least id where it is its own; empty texts and null ids stay
+    want = [(3, a), (-4, b + " z"), (7, c + " more"), (7, None), (8, ""), (8, "x y"), (11, "q"), (None, a), (None, a)]
+    assert kept == sorted(want, key=repr)
+    assert near_dup.one_of_each(frame(spark, []), 5, 80).count() == 0
+
+
+def test_recall_near_the_bound(spark):
+    """Pairs of random sets whose similarity is just above the bound, all found."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for k in range(400):
+        percent, width = (80, 5) if k % 2 else (85, 3)
+        n = int(rng.integers(13, 120))
+        # one text is the other with so many words cut off its end that the link just holds
+        shingles = n - width + 1
+        left = max(1, -(-percent * shingles // 100))
+        text = [f"{k}.{x}" for x in rng.integers(0, 10**9, n)]
+        rows += [(2 * k, " ".join(text), percent), (2 * k + 1, " ".join(text[: left + width - 1]), percent)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, percent int")
+    for percent, width in ((80, 5), (85, 3)):
+        found = near_dup.near_duplicates(table.where(F.col("percent") == percent), width, percent).collect()
+        assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in found)
+
+
 def test_queries_are_registered():
     names = list(queries())
-    assert [n.split("_")[0] for n in names[:-1]] == [f"op{k}" for k in range(1, 11)] and names[-1] == "pipeline"
+    assert [n.split("_")[0] for n in names[:-1]] == [f"op{k}" for k in range(1, 14)] and names[-1] == "pipeline"
 
 
 # -- further cases of token-id files ----------------------------------------------------
