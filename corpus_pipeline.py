@@ -5,7 +5,7 @@ and read again as the next stage's ``docs``.
 
 Edge cases: documents without text, letters or words go in the first two stages; null ids are
 rows of their own and stay; rows that repeat id and text are reduced to one with the near
-duplicates; columns besides those of documents are kept as they are, whatever their names;
+duplicates, unlike texts of a repeated id are documents of their own; columns besides those of documents are kept as they are, whatever their names;
 an empty table gives an empty result in every stage.
 """
 
@@ -40,14 +40,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five words a shingle, similarity 0.8."""
-    found = near_dup.near_duplicates(docs, 5, 80).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(found, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").select("doc_id").distinct()
-    if not repeated.isEmpty():
-        # only the texts of repeated ids are compared as a whole
-        once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+    return near_dup.one_of_each(docs, 5, 80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
