@@ -23,7 +23,7 @@ from __future__ import annotations
 from inspect import signature
 from math import ceil, log2
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.ts import DATE, ENTITY
@@ -31,31 +31,27 @@ from panelkit.functions.ts import DATE, ENTITY
 LIMB = 25
 
 
-def _rising():
-    return Window.partitionBy(ENTITY).orderBy(DATE)
+RISING, FALLING = f"PARTITION BY {ENTITY} ORDER BY {DATE}", f"PARTITION BY {ENTITY} ORDER BY {DATE} DESC"
+SO_FAR, ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
-def _falling():
-    return Window.partitionBy(ENTITY).orderBy(F.desc(DATE))
-
-
-def _running(w):
-    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _everything(w):
-    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _ratio(a: str, b: str) -> str:
+    return f"try_divide({a}, CAST({b} AS DOUBLE))"
 
 
 class Rolling:
-    """Asks for windows of columns by name; ``define`` names an expression first."""
+    """Asks for windows of columns by name; ``define`` names an expression first.
+
+    Inside, expressions are SQL text, which is parsed much faster than it is put together call by call.
+    """
 
     def __init__(self):
         self.defined: dict[str, Column] = {}
         self.limbs: dict[str, None] = {}
         #: Running sums by field, and the fields of which each lag is needed.
-        self.sums: dict[str, Column] = {}
+        self.sums: dict[str, str] = {}
         self.lags: dict[int, dict[str, None]] = {}
+        self.spreads: dict[str, str] = {}
         #: (column, sign, window length) of blocks, and the fields each shift needs.
         self.blocks: dict[tuple[str, int, int], None] = {}
         self.sides: dict[tuple[str, int], None] = {}
@@ -67,111 +63,113 @@ class Rolling:
 
     # -- sums -----------------------------------------------------------------------------
 
-    def _window(self, field: str, made: Column, n: int) -> Column:
-        """Sum of a whole-number column over the last n rows."""
+    def _window(self, field: str, made: str, n: int) -> str:
+        """Sum of a column of parts over the last n rows."""
         self.sums[field] = made
         self.lags.setdefault(n, {})[field] = None
-        return F.coalesce(F.col(f"__sums.{field}"), F.lit(0)) - F.coalesce(F.col(f"__lag{n}.{field}"), F.lit(0))
+        return f"__w{n}_{field}"
 
-    def _parts(self, x: str, given: str | None = None) -> tuple[Column, Column]:
+    def _parts(self, x: str, given: str | None = None) -> tuple[str, str]:
         """Both whole numbers of x; null where the other column has no value."""
         self.limbs[x] = None
-        high, low = F.col(f"__a_{x}"), F.col(f"__b_{x}")
         if given is None:
-            return high, low
+            return f"__a_{x}", f"__b_{x}"
         self.limbs[given] = None
-        known = F.col(f"__a_{given}").isNotNull()
-        return F.when(known, high), F.when(known, low)
+        return tuple(f"CASE WHEN __a_{given} IS NOT NULL THEN __{k}_{x} END" for k in "ab")
 
-    def count(self, x: str, n: int) -> Column:
-        high, _ = self._parts(x)
-        return self._window(f"n_{x}", high.isNotNull().cast("long"), n)
+    def _count(self, x: str, n: int) -> str:
+        self._parts(x)
+        return self._window(f"n_{x}", f"CAST(__a_{x} IS NOT NULL AS BIGINT)", n)
 
-    def _both(self, x: str, n: int, given: str | None = None) -> tuple[Column, Column]:
+    def _both(self, x: str, n: int, given: str | None = None) -> tuple[str, str]:
         tag = x if given is None else f"{x}_{given}"
         high, low = self._parts(x, given)
         return self._window(f"a_{tag}", high, n), self._window(f"b_{tag}", low, n)
 
-    def _rest(self, x: str, n: int) -> Column:
+    def _rest(self, x: str, n: int) -> str:
         """Sum of what the values have below their unit."""
-        return self._window(f"r_{x}", F.col(f"__r_{x}"), n)
+        return self._window(f"r_{x}", f"__r_{x}", n)
 
-    def _sum(self, x: str, n: int) -> Column:
+    def _sum(self, x: str, n: int) -> str:
         high, low = self._both(x, n)
-        return (high.cast("double") * F.col("__limb") + low.cast("double")) * F.col(f"__g_{x}") + self._rest(x, n)
+        return f"((CAST({high} AS DOUBLE) * __limb + {low}) * __g_{x} + {self._rest(x, n)})"
+
+    def count(self, x: str, n: int) -> Column:
+        return F.expr(self._count(x, n))
 
     def total(self, x: str, n: int) -> Column:
-        return F.when(self.count(x, n) > 0, self._sum(x, n))
+        return F.expr(f"CASE WHEN {self._count(x, n)} > 0 THEN {self._sum(x, n)} END")
 
     def mean(self, x: str, n: int) -> Column:
-        return F.try_divide(self._sum(x, n), self.count(x, n).cast("double"))
+        return F.expr(_ratio(self._sum(x, n), self._count(x, n)))
 
     @staticmethod
-    def _combined(high: Column, cross: Column, low: Column) -> Column:
-        limb = F.col("__limb")
-        return (high.cast("double") * limb + cross.cast("double")) * limb + low.cast("double")
+    def _combined(high: str, cross: str, low: str) -> str:
+        return f"((CAST({high} AS DOUBLE) * __limb + ({cross})) * __limb + ({low}))"
 
-    def _spread(self, x: str, n: int) -> tuple[Column, Column]:
+    def _spread(self, x: str, n: int) -> tuple[str, str]:
         """(n times the sum of squared deviations in squared units, exact but for the last rounding; n)."""
-        size, (a, b) = self.count(x, n), self._both(x, n)
+        size, (a, b) = self._count(x, n), self._both(x, n)
         high, low = self._parts(x)
-        aa, ab, bb = (self._window(f"{f}_{x}", made, n) for f, made in (("aa", high * high), ("ab", high * low), ("bb", low * low)))
-        return self._combined(size * aa - a * a, (size * ab - a * b) * 2, size * bb - b * b), size
+        aa, ab, bb = (self._window(f"{f}_{x}", made, n) for f, made in (("aa", f"{high} * {high}"), ("ab", f"{high} * {low}"), ("bb", f"{low} * {low}")))
+        self.spreads[f"__v{n}_{x}"] = self._combined(f"({size} * {aa} - {a} * {a})", f"({size} * {ab} - {a} * {b}) * 2", f"{size} * {bb} - {b} * {b}")
+        return f"__v{n}_{x}", size
 
     def std(self, x: str, n: int) -> Column:
         """Sample deviation; 0 where all values of a window have equal units."""
         spread, size = self._spread(x, n)
-        (high, low), (a, b) = self._parts(x), self._both(x, n)
-        unit, below, rest = F.col(f"__g_{x}"), F.col(f"__r_{x}"), self._rest(x, n)
-        along = lambda f, part, total: size.cast("double") * self._window(f"{f}_{x}", part.cast("double") * below, n) - total.cast("double") * rest
-        fine = spread + F.when(spread > 0, 2 * (F.col("__limb") * along("ar", high, a) + along("br", low, b)) / unit).otherwise(F.lit(0.0))
-        return F.sqrt(F.try_divide(F.greatest(fine, F.lit(0.0)), (size * (size - 1)).cast("double"))) * unit
+        (high, low), (a, b), rest = self._parts(x), self._both(x, n), self._rest(x, n)
+        along = lambda f, part, total: f"({size} * {self._window(f'{f}_{x}', f'{part} * __r_{x}', n)} - {total} * {rest})"
+        fine = f"CASE WHEN {spread} > 0 THEN greatest({spread} + 2 * (__limb * {along('ar', high, a)} + {along('br', low, b)}) / __g_{x}, 0D) ELSE 0D END"
+        return F.expr(f"sqrt({_ratio(fine, f'{size} * ({size} - 1)')}) * __g_{x}")
 
     def corr(self, x: str, y: str, n: int) -> Column:
         """Sample covariance of the rows that have both over the product of the deviations."""
         (xh, xl), (yh, yl) = self._parts(x, y), self._parts(y, x)
-        size = self._window(f"n_{x}_{y}", (xh * yh).isNotNull().cast("long"), n)
+        size = self._window(f"n_{x}_{y}", f"CAST(__a_{x} IS NOT NULL AND __a_{y} IS NOT NULL AS BIGINT)", n)
         (xa, xb), (ya, yb) = self._both(x, n, y), self._both(y, n, x)
-        hh, hl, lh, ll = (self._window(f"{f}_{x}_{y}", made, n) for f, made in (("hh", xh * yh), ("hl", xh * yl), ("lh", xl * yh), ("ll", xl * yl)))
-        shared = self._combined(size * hh - xa * ya, (size * hl - xa * yb) + (size * lh - xb * ya), size * ll - xb * yb)
-        covariance = F.try_divide(shared, (size * (size - 1)).cast("double")) * F.col(f"__g_{x}") * F.col(f"__g_{y}")
+        hh, hl, lh, ll = (self._window(f"{f}_{x}_{y}", made, n) for f, made in (("hh", f"{xh} * {yh}"), ("hl", f"{xh} * {yl}"), ("lh", f"{xl} * {yh}"), ("ll", f"{xl} * {yl}")))
+        shared = self._combined(f"({size} * {hh} - {xa} * {ya})", f"({size} * {hl} - {xa} * {yb}) + ({size} * {lh} - {xb} * {ya})", f"{size} * {ll} - {xb} * {yb}")
         deviations = []
         for z in (x, y):
             spread, rows = self._spread(z, n)
-            deviations.append(F.sqrt(F.try_divide(spread, (rows * (rows - 1)).cast("double"))) * F.col(f"__g_{z}"))
-        return F.try_divide(covariance, deviations[0] * deviations[1])
+            deviations.append(f"sqrt({_ratio(spread, f'{rows} * ({rows} - 1)')}) * __g_{z}")
+        covariance = f"{_ratio(shared, f'{size} * ({size} - 1)')} * __g_{x} * __g_{y}"
+        return F.expr(f"try_divide({covariance}, {deviations[0]} * {deviations[1]})")
 
     def slope(self, x: str, n: int) -> Column:
         """Least-squares slope against the row number."""
-        size, (a, b) = self.count(x, n), self._both(x, n)
+        size, (a, b) = self._count(x, n), self._both(x, n)
         high, low = self._parts(x)
-        number = F.when(high.isNotNull(), F.col("__rn"))
-        k, kk, ka, kb = (self._window(f"{f}_{x}", made, n) for f, made in (("k", number), ("kk", number * number), ("ka", number * high), ("kb", number * low)))
-        along = (size * ka - k * a).cast("double") * F.col("__limb") + (size * kb - k * b).cast("double")
-        return F.try_divide(along * F.col(f"__g_{x}"), (size * kk - k * k).cast("double"))
+        number = f"CASE WHEN {high} IS NOT NULL THEN __rn END"
+        k, kk, ka, kb = (self._window(f"{f}_{x}", made, n) for f, made in (("k", number), ("kk", f"({number}) * __rn"), ("ka", f"__rn * {high}"), ("kb", f"__rn * {low}")))
+        along = f"(CAST({size} * {ka} - {k} * {a} AS DOUBLE) * __limb + ({size} * {kb} - {k} * {b}))"
+        return F.expr(_ratio(f"{along} * __g_{x}", f"{size} * {kk} - {k} * {k}"))
 
     # -- extremes -------------------------------------------------------------------------
 
-    def _shifted(self, field: str, by: int) -> tuple[Column, Column]:
+    def _shifted(self, field: str, by: int) -> tuple[str, str]:
         """(the field ``by`` rows on, whether there is such a row)."""
         if by == 0:
-            return F.col(field), F.lit(True)
+            return field, "true"
         self.shifts.setdefault(by, {})[field] = None
-        found = F.col(f"__shift{by}".replace("-", "m"))
-        return found[field], found.isNotNull()
+        found = f"__shift{by}".replace("-", "m")
+        return f"{found}.{field}", f"{found} IS NOT NULL"
 
-    def extreme(self, x: str, first: int, last: int, sign: int) -> Column:
-        """Largest (sign 1) or least (sign -1) value of the rows from ``first`` to ``last``, relative to each row."""
-        n, side = last - first + 1, f"{x}_{'p' if sign > 0 else 'm'}"
+    def _extreme(self, x: str, first: int, last: int, sign: int) -> str:
+        n, side = last - first + 1, _side(x, sign)
         self.blocks[x, sign, n] = None
         self.sides[x, sign] = None
         rest, starts = self._shifted(f"__rest_{side}_{n}", first)
         start, ends = self._shifted(f"__start_{side}_{n}", last)
         up, _ = self._shifted(f"__up_{side}", last)
         down, _ = self._shifted(f"__down_{side}", first)
-        inside = F.greatest(rest["v"], start["v"])
-        found = F.when(starts & ends, inside).when(ends, up).when(starts, down).otherwise(F.col(f"__all_{side}"))
-        return found if sign > 0 else -found
+        found = f"CASE WHEN {starts} AND {ends} THEN greatest({rest}.v, {start}.v) WHEN {ends} THEN {up} WHEN {starts} THEN {down} ELSE __all_{side} END"
+        return f"({'' if sign > 0 else '-'}({found}))"
+
+    def extreme(self, x: str, first: int, last: int, sign: int) -> Column:
+        """Largest (sign 1) or least (sign -1) value of the rows from ``first`` to ``last``, relative to each row."""
+        return F.expr(self._extreme(x, first, last, sign))
 
     def high(self, x: str, n: int) -> Column:
         return self.extreme(x, 1 - n, 0, 1)
@@ -180,57 +178,61 @@ class Rolling:
         return self.extreme(x, 1 - n, 0, -1)
 
     def minmax(self, x: str, n: int) -> Column:
-        least = self.low(x, n)
-        return F.try_divide(F.col(x) - least, self.high(x, n) - least)
+        most, least = self._extreme(x, 1 - n, 0, 1), self._extreme(x, 1 - n, 0, -1)
+        return F.expr(f"try_divide({x} - {least}, {most} - {least})")
 
     # -- what all of it needs ---------------------------------------------------------------
 
-    def _signed(self, x: str, sign: int) -> Column:
-        return F.col(x).cast("double") * sign
-
-    def _blocked(self, x: str, sign: int, n: int, order: int) -> Column:
-        """Struct of a block's number, rising in reading order, and a value: its maximum restarts with each block."""
-        return F.struct((F.floor((F.col("__end") - 1) / n) * order).alias("b"), self._signed(x, sign).alias("v"))
-
     def prepare(self, panel: DataFrame) -> DataFrame:
         out = panel.select("*", *[c.alias(name) for name, c in self.defined.items()])
-        rising, falling = _rising(), _falling()
-        name = lambda x, sign: f"{x}_{'p' if sign > 0 else 'm'}"
+        signed = lambda x, sign: f"CAST({x} AS DOUBLE) * {sign}"
+        # a block's number, rising in reading order, and a value: its maximum restarts with each block
+        blocked = lambda x, sign, n, order: f"struct(floor((__end - 1) / {n}) * {order} AS b, {signed(x, sign)} AS v)"
         if self.blocks:
-            out = out.withColumn("__end", F.row_number().over(falling))
-            out = out.select(
-                "*", *[F.max(self._blocked(x, s, n, 1)).over(_running(falling)).alias(f"__rest_{name(x, s)}_{n}") for x, s, n in self.blocks],
-                *[F.max(self._signed(x, s)).over(_running(falling)).alias(f"__down_{name(x, s)}") for x, s in self.sides])
-        clean = lambda x: F.when(F.abs(F.col(x)) < float("inf"), F.col(x).cast("double"))
-        out = out.select(
-            "*", F.row_number().over(rising).cast("long").alias("__rn"), F.count(F.lit(1)).over(_everything(rising)).alias("__rows"),
-            *[F.max(F.abs(clean(x))).over(_everything(rising)).alias(f"__g_{x}") for x in self.limbs],
-            *[F.max(self._blocked(x, s, n, -1)).over(_running(rising)).alias(f"__start_{name(x, s)}_{n}") for x, s, n in self.blocks],
-            *[F.max(self._signed(x, s)).over(_running(rising)).alias(f"__up_{name(x, s)}") for x, s in self.sides],
-            *[F.max(self._signed(x, s)).over(_everything(rising)).alias(f"__all_{name(x, s)}") for x, s in self.sides])
+            out = out.selectExpr("*", f"row_number() OVER ({FALLING}) AS __end")
+            out = out.selectExpr(
+                "*", *[f"max({blocked(x, s, n, 1)}) OVER ({FALLING} {SO_FAR}) AS __rest_{_side(x, s)}_{n}" for x, s, n in self.blocks],
+                *[f"max({signed(x, s)}) OVER ({FALLING} {SO_FAR}) AS __down_{_side(x, s)}" for x, s in self.sides])
+        out = out.selectExpr(
+            "*", f"CAST(row_number() OVER ({RISING}) AS BIGINT) AS __rn", f"count(1) OVER ({RISING} {ALL}) AS __rows",
+            *[f"max(abs({_finite(x)})) OVER ({RISING} {ALL}) AS __m_{x}" for x in self.limbs],
+            *[f"max({blocked(x, s, n, -1)}) OVER ({RISING} {SO_FAR}) AS __start_{_side(x, s)}_{n}" for x, s, n in self.blocks],
+            *[f"max({signed(x, s)}) OVER ({RISING} {SO_FAR}) AS __up_{_side(x, s)}" for x, s in self.sides],
+            *[f"max({signed(x, s)}) OVER ({RISING} {ALL}) AS __all_{_side(x, s)}" for x, s in self.sides])
         if self.sums:
-            out = self._with_sums(out, clean, rising)
-        shifted = [F.lag("__sums_of_" + str(n), n).over(rising).alias(f"__lag{n}") for n in self.lags]
-        shifted += [(F.lag if by < 0 else F.lead)(F.struct(*fields), abs(by)).over(rising).alias(f"__shift{by}".replace("-", "m")) for by, fields in self.shifts.items()]
-        out = out.select("*", *[F.struct(*[F.col(f"__sums.{f}").alias(f) for f in fields]).alias(f"__sums_of_{n}") for n, fields in self.lags.items()])
-        return out.select("*", *shifted)
-
-    def _with_sums(self, out: DataFrame, clean, rising) -> DataFrame:
+            out = self._with_sums(out)
+        lags = [f"lag(struct({', '.join(f'__sums.{f} AS {f}' for f in fields)}), {n}) OVER ({RISING}) AS __lag{n}" for n, fields in self.lags.items()]
+        lags += [f"{'lag' if by < 0 else 'lead'}(struct({', '.join(fields)}), {abs(by)}) OVER ({RISING}) AS __shift{by}".replace("shift-", "shiftm") for by, fields in self.shifts.items()]
+        out = out.selectExpr("*", *lags)
+        # each window's sums are columns of their own before they are put to use
+        gone = {"__sums", *(f"__lag{n}" for n in self.lags)}
+        sums = [f"coalesce(__sums.{f}, 0) - coalesce(__lag{n}.{f}, 0) AS __w{n}_{f}" for n, fields in self.lags.items() for f in fields]
+        out = out.selectExpr(*[c for c in out.columns if c not in gone], *sums) if sums else out
+        return out.selectExpr("*", *[f"{made} AS {name}" for name, made in self.spreads.items()]) if self.spreads else out
+
+    def _with_sums(self, out: DataFrame) -> DataFrame:
         # bits of a part: sums over an entity's rows and over squares of window lengths must fit
-        longest = 2 * ceil(log2(max(self.lags)))
-        bits = F.floor((F.lit(62) - F.greatest(F.ceil(F.log2(F.col("__rows") + 1)), F.lit(longest).cast("long"))) / 2)
-        bits = F.least(F.lit(LIMB).cast("long"), bits).cast("double")
-        keep = [c for c in out.columns if c not in {f"__g_{x}" for x in self.limbs}]
-        unit = lambda x: F.when(F.col(f"__g_{x}") > 0, F.pow(F.lit(2.0), F.floor(F.log2(F.col(f"__g_{x}"))).cast("double") + 2 - bits * 2)).otherwise(F.lit(1.0))
-        out = out.select(*keep, F.pow(F.lit(2.0), bits).alias("__limb"), *[unit(x).alias(f"__g_{x}") for x in self.limbs])
-        out = out.select("*", *[F.rint(clean(x) / F.col(f"__g_{x}")).alias(f"__x_{x}") for x in self.limbs])
-        out = out.select("*", *[F.floor(F.col(f"__x_{x}") / F.col("__limb")).alias(f"__a_{x}") for x in self.limbs])
-        out = out.select("*", *[(F.col(f"__x_{x}") - F.col(f"__a_{x}") * F.col("__limb")).cast("long").alias(f"__b_{x}") for x in self.limbs])
-        out = out.select("*", *[(clean(x) - F.col(f"__x_{x}") * F.col(f"__g_{x}")).alias(f"__r_{x}") for x in self.limbs])
-        running = _running(rising)
-        out = out.select("*", *[F.sum(made).over(running).alias(f"__p_{f}") for f, made in self.sums.items()])
-        gone = {f"__{k}_{x}" for x in self.limbs for k in "xabr"}
-        return out.select(*[c for c in out.columns if c not in gone and not c.startswith("__p_")], F.struct(*[F.col(f"__p_{f}").alias(f) for f in self.sums]).alias("__sums"))
+        longest, first = 2 * ceil(log2(max(self.lags))), out.columns
+        bits = f"CAST(least({LIMB}, floor((62 - greatest(ceil(log2(__rows + 1)), {longest})) / 2)) AS DOUBLE)"
+        keep = [c for c in first if not c.startswith("__m_")]
+        out = out.selectExpr("*", f"{bits} AS __bits")
+        unit = lambda x: f"CASE WHEN __m_{x} > 0 THEN pow(2D, floor(log2(__m_{x})) + 2 - __bits * 2) ELSE 1D END AS __g_{x}"
+        out = out.selectExpr(*keep, "pow(2D, __bits) AS __limb", *[unit(x) for x in self.limbs])
+        keep = out.columns
+        out = out.selectExpr("*", *[f"rint({_finite(x)} / __g_{x}) AS __x_{x}" for x in self.limbs])
+        out = out.selectExpr("*", *[f"floor(__x_{x} / __limb) AS __a_{x}" for x in self.limbs])
+        out = out.selectExpr(*keep, *[f"__a_{x}" for x in self.limbs], *[f"CAST(__x_{x} - __a_{x} * __limb AS BIGINT) AS __b_{x}" for x in self.limbs],
+                             *[f"{_finite(x)} - __x_{x} * __g_{x} AS __r_{x}" for x in self.limbs])
+        out = out.selectExpr("*", *[f"sum({made}) OVER ({RISING} {SO_FAR}) AS __p_{f}" for f, made in self.sums.items()])
+        return out.selectExpr(*keep, f"struct({', '.join(f'__p_{f} AS {f}' for f in self.sums)}) AS __sums")
+
+
+def _side(x: str, sign: int) -> str:
+    return f"{x}_{'p' if sign > 0 else 'm'}"
+
+
+def _finite(x: str) -> str:
+    return f"CASE WHEN abs({x}) < double('infinity') THEN CAST({x} AS DOUBLE) END"
 
 
 def select_rolling(panel: DataFrame, keep: list[str], columns: dict) -> DataFrame:

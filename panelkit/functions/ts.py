@@ -132,6 +132,27 @@ def with_ewm(df: DataFrame, x: str, span: int, out: str) -> DataFrame:
     return t.select(*keep, F.when(F.col("__number") > 0, F.col("__y")).alias(out))
 
 
+def affine_scan(df: DataFrame, keys: list[str], order: list[str], fade, add, out: str) -> DataFrame:
+    """``df`` with y of the recursion y -> exp(-fade) y + add, from 0 before a key's first row; ``fade`` is 0 or more.
+
+    The maps of a block are composed by one running sum.  A block ends where they have faded by
+    e^345; beyond the block before the last one they can't be told in a double any more.
+    """
+    keep, most = df.columns, 345.0
+    rising = Window.partitionBy(*keys).orderBy(*order)
+    t = df.select("*", F.sum(fade).over(rising.rowsBetween(Window.unboundedPreceding, 0)).alias("__faded"), add.alias("__add"))
+    t = t.withColumn("__block", F.floor(F.col("__faded") / most))
+    block = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.col("__faded") - F.col("__block") * most
+    t = t.withColumn("__own", F.sum(F.col("__add") * F.exp(inside)).over(block) * F.exp(-inside)).withColumn("__y", F.col("__own"))
+    again = Window.partitionBy(*keys).orderBy("__block", *order)
+    for _ in range(2):
+        t = t.withColumn("__last", F.when(F.lag("__block").over(again) < F.col("__block"), F.struct(F.lag("__y").over(again).alias("y"), F.lag("__faded").over(again).alias("faded"))))
+        t = t.withColumn("__from", F.first("__last").over(block))
+        t = t.withColumn("__y", F.col("__own") + F.coalesce(F.col("__from.y") * F.exp(F.col("__from.faded") - F.col("__faded")), F.lit(0.0)))
+    return t.select(*keep, F.col("__y").alias(out))
+
+
 def reg_slope(x, n: int, number: Column) -> Column:
     return F.regr_slope(col(x), number).over(trailing(n))
 
