@@ -11,7 +11,7 @@ from panelkit.plans import registry
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["flagship", "feat_price_volume", "feat_combined", "xs_pct_rank", "ds_tabular", "panel_levels", "seq_normalize", "universe_quality", "agg_rank_ic", "reb_membership"]
+HEADLINE = ["flagship", "feat_price_volume", "feat_combined", "xs_pct_rank", "ds_tabular", "seq_rank_cache", "panel_levels", "seq_normalize", "universe_quality", "agg_rank_ic", "reb_membership"]
 
 
 def main() -> None:

@@ -98,6 +98,33 @@ def episodes(trades: DataFrame) -> DataFrame:
     )
 
 
+def average_cost(trades: DataFrame) -> DataFrame:
+    """``trades`` with filled, held, avg_cost, pnl and episode, where lots are sold in part and bought again.
+
+    A sale takes no more than is held, and what it earns is counted against the average cost,
+    less its fee; a buy moves the average cost; a sale doesn't.  ``avg_cost`` is what is in force
+    at the row, so a sale has that of the shares it sold, and is null where nothing is held or sold.
+
+    Holdings are a running sum reflected at zero.  An episode, from flat to flat, starts anew;
+    inside it the average cost is a chain of affine maps, composed by :func:`ts.affine_scan`.
+    """
+    w = Window.partitionBy("entity").orderBy("trade_date", "seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = trades.withColumn("__asked", F.when(F.col("action") == "buy", F.col("shares")).otherwise(-F.col("shares")))
+    out = out.withColumn("__sum", F.sum("__asked").over(so_far))
+    out = out.withColumn("held", F.col("__sum") - F.least(F.min("__sum").over(so_far), F.lit(0)))
+    out = out.withColumn("__was", F.coalesce(F.lag("held").over(w), F.lit(0)))
+    out = out.withColumn("filled", F.col("held") - F.col("__was"))
+    out = out.withColumn("episode", F.sum(F.when((F.col("__was") == 0) & (F.col("filled") > 0), 1).otherwise(0)).over(so_far))
+    bought = F.col("filled") > 0
+    share = F.try_divide(F.col("__was").cast("double"), F.col("held").cast("double"))
+    fade = F.when(bought & (F.col("__was") > 0), -F.ln(share)).otherwise(F.lit(0.0))
+    out = ts.affine_scan(out, ["entity", "episode"], ["trade_date", "seq"], fade, F.when(bought, (1 - share) * F.col("price")).otherwise(F.lit(0.0)), "__cost")
+    out = out.withColumn("avg_cost", F.when((F.col("held") > 0) | (F.col("filled") < 0), F.col("__cost")))
+    pnl = F.when(F.col("filled") < 0, (F.col("price") - F.col("__cost")) * -F.col("filled") - F.col("cost")).otherwise(F.lit(0.0))
+    return out.withColumn("pnl", pnl).drop("__asked", "__sum", "__was", "__cost")
+
+
 def nav(held: DataFrame, bars: DataFrame, cash: float) -> DataFrame:
     """(trade_date, market_value, total_value): shares times close, a missing price counts 0."""
     rows = held.join(bars.select("entity", "trade_date", "close"), ["entity", "trade_date"], "left")

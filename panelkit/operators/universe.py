@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions import xs
+from panelkit.operators.order_stats import numbered
 
 KEYS = ["entity", "trade_date"]
 
@@ -50,9 +51,9 @@ def absolute_quality(panel: DataFrame, listed: str, cap: float, days: int = 365)
 def cap_percentile(panel: DataFrame, p: float) -> DataFrame:
     """Entities whose largest circ_mv is at or above the value at sorted index int(n p)."""
     most = panel.groupBy("entity").agg(F.max("circ_mv").alias("cap"))
-    # one row for each entity
-    nth = most.where("cap is not null").withColumn("nth", F.row_number().over(Window.orderBy("cap", "entity")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    limit = nth.where(F.col("nth") == F.floor(F.col("n") * p)).select(F.col("cap").alias("limit"))
+    placed = numbered(most.where("cap is not null"), [F.col("cap").asc(), F.col("entity").asc()], out="__nth", size="__n")
+    limit = placed.where(F.col("__nth") - 1 == F.floor(F.col("__n") * p)).select(F.col("cap").alias("limit"))
+    # one row
     return panel.join(most.join(F.broadcast(limit)).where("cap >= limit").select("entity"), "entity", "left_semi")
 
 

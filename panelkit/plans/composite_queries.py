@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import ts, xs
-from panelkit.operators import catalog, dataset, levels, metrics, ml, portfolio, sequences, signals, universe
+from panelkit.operators import catalog, dataset, increments, levels, metrics, ml, portfolio, sequences, signals, universe
 from panelkit.plans.base import ORACLES, QUERIES, add, rounded, rounded_sql, with_views
-from panelkit.plans.relational_queries import A, B, B_FUND, KEYS, LAB, NAV, PATHS, PREDS, PROBS, PURGE, VALID, W, _probs, full, nav, on_bars, on_both, paths, preds
-from panelkit.plans.window_queries import EWM, REG, corr_sql, fw, q, tr
+from panelkit.plans.relational_queries import A, B, B_FUND, KEYS, LAB, NAV, PATHS, PREDS, PROBS, PURGE, VALID, W, _probs, _stored, full, nav, on_bars, on_both, paths, preds
+from panelkit.plans.window_queries import rounded_factors, EWM, REG, corr_sql, fw, q, tr
 from panelkit.sources import bars as source
 from panelkit.sources import io
 
@@ -43,45 +43,37 @@ add("panel_levels", on_bars(_levels), with_views(LEVELS_SQL, "bars", **LEVELS))
 
 def _scan_levels(b):
     spark = b.sparkSession
-    from panelkit.plans.relational_queries import _stored
-
     _, path = _stored(b, "levels")
-    io.write_partition(_levels(b), path)
-    return io.scan_dated(spark, path, date(1995, 1, 9), date(1995, 2, 20)).select(*KEYS, "keltner_pos", "resistance_mid")
+    io.write_named_files(_levels(b), path)
+    return io.scan_named_files(spark, path, date(1995, 1, 9), date(2000, 2, 20)).select(*KEYS, "keltner_pos", "resistance_mid")
 
 
-add("scan_levels", on_bars(_scan_levels), with_views(f"SELECT entity, trade_date, keltner_pos, resistance_mid FROM ({LEVELS_SQL}) WHERE trade_date BETWEEN DATE '1995-01-09' AND DATE '1995-02-20'", "bars", **LEVELS))
-add("panel_rank_flat", on_both(lambda b, s: universe.exclude_flagged(levels.panel_levels(b).select(*KEYS, "keltner_pos").join(b.select(*KEYS, ts.div("close", ts.mean("close", 5)).alias("m5")), KEYS).join(s.where("market <> 'AFRICA' and industry is not null").select("entity", "industry"), "entity"), source.flags(b)).select(*KEYS, "industry", rounded(F.col("keltner_pos"), 5).alias("keltner_pos"), rounded(F.col("m5")).alias("m5"))), with_views(f"SELECT entity, trade_date, industry, {rounded_sql('keltner_pos', 5)} AS keltner_pos, {rounded_sql('m5')} AS m5 FROM s4 JOIN (SELECT entity, trade_date, {q('close', f'avg(close) OVER {tr(5)}')} AS m5 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)) USING (entity, trade_date) JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA') USING (entity) ANTI JOIN flags USING (entity, trade_date)", "flags", "sec", **LEVELS))
+add("scan_levels", on_bars(_scan_levels), with_views(f"SELECT entity, trade_date, keltner_pos, resistance_mid FROM ({LEVELS_SQL}) WHERE trade_date BETWEEN DATE '1995-01-09' AND DATE '2000-02-20'", "bars", **LEVELS))
 
 
 def _flat_rows(spark, sf_dir):
     """All factors, level features and levels, in the universe."""
     b, s = source.bars(spark, sf_dir), source.securities(spark, sf_dir)
-    rows = QUERIES["feat_combined_rows"](spark, sf_dir).join(QUERIES["panel_levels"](spark, sf_dir), KEYS)
+    rows = QUERIES["feat_combined"](spark, sf_dir).join(QUERIES["panel_levels"](spark, sf_dir), KEYS)
     return universe.exclude_flagged(rows.join(s.where("market <> 'AFRICA' and industry is not null").select("entity", "industry"), "entity"), source.flags(b))
 
 
-add("panel_rank_flat_rows", _flat_rows, with_views(f"SELECT * FROM ({ORACLES['feat_combined_rows']}) JOIN ({ORACLES['panel_levels']}) USING (entity, trade_date) JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA') USING (entity) ANTI JOIN flags USING (entity, trade_date)", "flags", "sec"))
+add("panel_rank_flat", _flat_rows, with_views(f"SELECT * FROM ({ORACLES['feat_combined']}) JOIN ({ORACLES['panel_levels']}) USING (entity, trade_date) JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA') USING (entity) ANTI JOIN flags USING (entity, trade_date)", "flags", "sec"))
 add("ds_active_mask", on_bars(lambda b: levels.panel_levels(b).select(*KEYS, ((F.abs("keltner_pos") > 0.5) | (F.least(*[F.coalesce(f"{s}_{n}_dist", F.lit(999)) for s in ("resistance", "support") for n in ("mid", "long")]) <= 10)).alias("active"))), with_views("SELECT entity, trade_date, abs(keltner_pos) > 0.5 OR least(coalesce(rmid.n - rn, 999), coalesce(smid.n - rn, 999), coalesce(rlong.n - rn, 999), coalesce(slong.n - rn, 999)) <= 10 AS active FROM s4", "bars", **LEVELS))
 
 # features by date and increments
 
 
-def _incremental(b):
-    """Features of pending dates only, written beside those that are there, all read back."""
-    spark = b.sparkSession
-    from panelkit.plans.relational_queries import _stored
-
-    _, path = _stored(b, "increment")
-    make = lambda d: d.select(*KEYS, rounded(ts.div("close", ts.mean("close", 5))).alias("m5"))
-    io.write_partition(make(b).where(F.col("trade_date").between(F.lit(A), F.lit(date(1995, 3, 1)))), path)
-    done = io.scan_dated(spark, path).select("trade_date").distinct()
-    pending = io.pending_dates(source.calendar(b), done, A, date(1995, 4, 15))
-    io.write_partition(make(io.prune(b, A, date(1995, 4, 15), 60)).join(F.broadcast(pending), "trade_date", "left_semi"), path)
-    return io.scan_dated(spark, path).select(*KEYS, "m5")
+def _incremental(spark, sf_dir):
+    """Two runs over growing ranges of dates, all factors; the second adds what the registry lacks."""
+    b = source.bars(spark, sf_dir)
+    root = io.new_path(spark, "increment")
+    for today in (date(1999, 6, 30), date(2001, 6, 30)):
+        increments.update(full(b), source.calendar(b), catalog.combined(), root, date(1998, 1, 1), today)
+    return rounded_factors(io.scan_stored(spark, root, "features"), catalog.combined().names)
 
 
-add("feat_incremental", on_bars(_incremental), with_views(f"SELECT entity, trade_date, m5 FROM (SELECT entity, trade_date, {rounded_sql(q('close', f'avg(close) OVER {tr(5)}'))} AS m5 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)) WHERE trade_date BETWEEN DATE '{A}' AND DATE '1995-04-15'", "bars"))
+add("feat_incremental", _incremental, f"SELECT * FROM ({ORACLES['feat_combined']}) WHERE trade_date BETWEEN DATE '1998-01-01' AND DATE '2001-06-30'")
 
 # data sets
 TILES = f"SELECT *, ntile(10) OVER (PARTITION BY trade_date ORDER BY f5 NULLS LAST, entity) - 1 AS tile_5 FROM (SELECT entity, trade_date, volume, {rounded_sql('lead(close, 5) OVER w / NULLIF(close, 0) - 1')} AS f5 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)) WHERE f5 IS NOT NULL"
@@ -105,15 +97,12 @@ def _tabular(b, s):
     return out.select(*KEYS, "split", rounded(F.col("m5")).alias("m5"), rounded(F.col("v5")).alias("v5"), rounded(F.col("label_5")).alias("label_5"))
 
 
-add("ds_tabular", on_both(_tabular), with_views(f"SELECT entity, trade_date, CASE WHEN trade_date <= te THEN 'train' ELSE 'val' END AS split, m5, v5, label_5 FROM (SELECT entity, trade_date, label_5, {RANKS} FROM ind), (SELECT train_end AS te, val_start AS vs FROM ({PURGE})) WHERE trade_date <= te OR trade_date BETWEEN vs AND DATE '1997-01-01'", "bars", "nth", "flags", "sec", lab=LAB, tabf=TABF, ind=IND))
 # the training set over all factors, with industry features, tiles and risk-free rows
 TRAIN_END, VAL_START, VAL_END = date(1998, 12, 28), date(1999, 1, 4), date(2000, 12, 25)
 FACTORS, EVERY = dataset.training_columns(catalog.combined().names)
 
 
 def _store(df, name):
-    from panelkit.plans.relational_queries import _stored
-
     spark, path = _stored(df, name)
     io.write_snapshot(df, path)
     return spark.read.parquet(path)
@@ -122,7 +111,7 @@ def _store(df, name):
 def _training_rows(spark, sf_dir):
     b, s = source.bars(spark, sf_dir), source.securities(spark, sf_dir)
     # the factors and their ranks are stored: the ranks are read twice, and one plan of all would be slow to optimise
-    f, names = _store(QUERIES["feat_combined_rows"](spark, sf_dir), "factors"), catalog.combined().names
+    f, names = _store(QUERIES["feat_combined"](spark, sf_dir), "factors"), catalog.combined().names
     ranked = _store(dataset.ranked_rows(f, names, b, s, source.flags(b)), "training")
     out = dataset.training_rows(ranked, names, source.calendar(b), TRAIN_END, VAL_START, VAL_END)
     return out.select(*KEYS, "split", *[f"tile_{h}" for h in (5, 20, 60)], *[rounded(F.col(n)).alias(n) for n in EVERY])
@@ -135,10 +124,10 @@ def _pct_rank_sql(c):
 steady_sql = lambda e: rounded_sql(e, dataset.INDUSTRY_DIGITS)
 BY_INDUSTRY = "OVER (PARTITION BY trade_date, industry)"
 RISK_FREE_TILE = "least(CAST(trunc(avg(CASE WHEN l{h} <= 0.02 * {h} / 252 THEN 1.0 ELSE 0.0 END) * 10) AS INTEGER), 9) AS tile_{h}"
-add("ds_tabular_rows", _training_rows, with_views(
+add("ds_tabular", _training_rows, with_views(
     "SELECT CASE WHEN trade_date <= te THEN 'train' ELSE 'val' END AS split, r.* FROM (SELECT entity, trade_date, tile_5, tile_20, tile_60, " + ", ".join(EVERY) + " FROM ranked UNION ALL SELECT NULL, trade_date, " + ", ".join(RISK_FREE_TILE.format(h=h) for h in (5, 20, 60)) + ", " + ", ".join("0.5" for _ in EVERY)
     + f" FROM ranked GROUP BY trade_date) r, (SELECT train_end AS te, val_start AS vs FROM ({PURGE.replace(str(A), str(TRAIN_END)).replace(str(B), str(VAL_START))})) WHERE trade_date <= te OR trade_date BETWEEN vs AND DATE '{VAL_END}'",
-    "bars", "nth", "flags", "sec", lab=LAB, f=ORACLES["feat_combined_rows"],
+    "bars", "nth", "flags", "sec", lab=LAB, f=ORACLES["feat_combined"],
     lb0=f"SELECT *, close / NULLIF(lag(close, 5) OVER {W}, 0) - 1 AS b5, close / NULLIF(lag(close, 20) OVER {W}, 0) - 1 AS b20 FROM lab",
     lb=f"SELECT entity, trade_date, (c5 - lo5) / NULLIF(hi5 - lo5, 0) AS l5, (c20 - lo20) / NULLIF(hi20 - lo20, 0) AS l20, c60 / NULLIF(close, 0) - 1 AS l60, b5, b20 FROM lb0 WHERE {VALID}",
     base0="SELECT f.*, l5, l20, l60, b5, b20, coalesce(industry, 'Unknown') AS industry FROM f JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA') USING (entity) JOIN lb USING (entity, trade_date) ANTI JOIN flags USING (entity, trade_date) WHERE " + " AND ".join(f"{n} IS NOT NULL" for n in FACTORS),
@@ -150,8 +139,7 @@ add("ds_walkforward_windows", on_bars(windows), with_views(WF, "cal"))
 add("ds_expanding_folds", on_bars(lambda b: dataset.assign_folds(b.select(*KEYS), F.broadcast(b.sparkSession.createDataFrame([(k, date(1992, 1, 1), date(1995 + k, 12, 31), date(1996 + k, 1, 1), date(1996 + k, 6, 30)) for k in range(8)], "fold int, train_start date, train_end date, test_start date, test_end date"))).groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"))), with_views("SELECT CAST(k AS INTEGER) AS fold, CASE WHEN year(trade_date) <= 1995 + k THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM bars, range(8) r(k) WHERE (year(trade_date) <= 1995 + k AND trade_date >= DATE '1992-01-01') OR (year(trade_date) = 1996 + k AND trade_date <= make_date(1996 + k, 6, 30)) GROUP BY ALL", "bars"))
 add("ds_time_holdout", on_bars(lambda b: dataset.time_holdout(b.select(*KEYS))), with_views("SELECT entity, trade_date, nth > n - floor(n * 0.1) AS holdout FROM bars JOIN (SELECT trade_date, nth, count(*) OVER () AS n FROM nth) USING (trade_date)", "bars", "nth"))
 add("ds_balance_classes", on_bars(lambda b: dataset.balance_classes(b.select(*KEYS, (F.col("close") > F.col("open")).alias("up")), "up", 20)), with_views("SELECT entity, trade_date, up FROM (SELECT *, row_number() OVER (PARTITION BY entity, up ORDER BY md5(CAST(entity AS VARCHAR) || '|' || CAST(trade_date AS VARCHAR)), trade_date) AS k FROM (SELECT entity, trade_date, close > open AS up FROM bars)) WHERE k <= 20", "bars"))
-add("ds_reward", on_bars(lambda b: b.select(*KEYS, rounded(F.col("flag_share") * (0.5 * ts.forward_return("close", 5) + 0.5 * ts.forward_return("close", 20)) / 0.05 - F.abs(F.col("flag_share") - F.coalesce(ts.ref("flag_share", 1), F.lit(0.0))) * 0.0003).alias("reward"))), with_views(f"SELECT entity, trade_date, {rounded_sql('flag_share * (0.5 * (lead(close, 5) OVER w / NULLIF(close, 0) - 1) + 0.5 * (lead(close, 20) OVER w / NULLIF(close, 0) - 1)) / 0.05 - abs(flag_share - coalesce(lag(flag_share) OVER w, 0)) * 0.0003')} AS reward FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)", "bars"))
-add("ds_reward_scaled", on_bars(lambda b: dataset.scaled_reward(b, "flag_share").select(*KEYS, rounded(F.col("reward")).alias("reward"))), with_views(f"SELECT entity, trade_date, {rounded_sql('flag_share * (gain / vol) - change * 0.0003')} AS reward FROM (SELECT entity, trade_date, flag_share, (0 + (lead(close, 5) OVER w / NULLIF(close, 0) - 1) + (lead(close, 20) OVER w / NULLIF(close, 0) - 1)) / 2 AS gain, CASE WHEN close <> 0 THEN greatest((avg(trng) OVER (PARTITION BY entity ORDER BY trade_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) / close, 1e-6) END AS vol, abs(flag_share - coalesce(lag(flag_share) OVER w, 0)) AS change FROM (SELECT *, greatest(high - low, abs(high - lag(close) OVER v), abs(low - lag(close) OVER v)) AS trng FROM bars WINDOW v AS (PARTITION BY entity ORDER BY trade_date)) WINDOW w AS (PARTITION BY entity ORDER BY trade_date))", "bars"))
+add("ds_reward", on_bars(lambda b: dataset.scaled_reward(b, "flag_share").select(*KEYS, rounded(F.col("reward")).alias("reward"))), with_views(f"SELECT entity, trade_date, {rounded_sql('flag_share * (gain / vol) - change * 0.0003')} AS reward FROM (SELECT entity, trade_date, flag_share, (0 + (lead(close, 5) OVER w / NULLIF(close, 0) - 1) + (lead(close, 20) OVER w / NULLIF(close, 0) - 1)) / 2 AS gain, CASE WHEN close <> 0 THEN greatest((avg(trng) OVER (PARTITION BY entity ORDER BY trade_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) / close, 1e-6) END AS vol, abs(flag_share - coalesce(lag(flag_share) OVER w, 0)) AS change FROM (SELECT *, greatest(high - low, abs(high - lag(close) OVER v), abs(low - lag(close) OVER v)) AS trng FROM bars WINDOW v AS (PARTITION BY entity ORDER BY trade_date)) WINDOW w AS (PARTITION BY entity ORDER BY trade_date))", "bars"))
 
 # sequences, compared as sums and last elements
 SEQ = "SELECT entity, trade_date, row_number() OVER w AS rn, count(*) OVER (PARTITION BY entity) AS n, list(close) OVER {f} AS c, list(volume) OVER {f} AS v FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)"
@@ -188,7 +176,6 @@ def _rank_cache(b):
     return s.join(fwd, KEYS).select(*KEYS, F.size("seq").alias("n"), "fwd_5", "fwd_20", "fwd_60")
 
 
-add("seq_rank_cache", on_bars(_rank_cache), with_views("SELECT entity, trade_date, 60 AS n, " + ", ".join(f"{rounded_sql(f'f{h}')} AS fwd_{h}" for h in (5, 20, 60)) + " FROM (SELECT *, " + ", ".join(f"lead(close, {h}) OVER w / NULLIF(close, 0) - 1 AS f{h}" for h in (5, 20, 60)) + ", row_number() OVER w AS rn FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)) WHERE rn > 60 AND (rn - 61) % 10 = 0", "bars"))
 
 
 def _rank_cache_rows(b, s):
@@ -207,7 +194,7 @@ DAY, QUARTER = "dayofyear(trade_date) * 2 * pi() / ", "quarter(trade_date) * 2 *
 SEASON_SQL = {"year_sin": f"sin({DAY}365.0)", "year_cos": f"cos({DAY}365.0)", "er_sin": f"sin({DAY}90.0)", "er_cos": f"cos({DAY}90.0)", "quarter_sin": f"sin({QUARTER})", "quarter_cos": f"cos({QUARTER})"}
 STEP_SQL = {n: n for n in sequences.RAW + sequences.SEASON} | {n: f"list_transform({n}, lambda v: v / last - 1)" for n in sequences.PRICES} | {"volume": "list_transform(volume, lambda v: ln(1 + greatest(v, 0)))"}
 LAST_SQL = {n: n for n in sequences.LAST_ONLY} | {"vol_spike_3d": "list_avg(volume[58:60]) / greatest(list_avg(volume), 1e-8)"}
-add("seq_rank_cache_rows", on_both(_rank_cache_rows), with_views(
+add("seq_rank_cache", on_both(_rank_cache_rows), with_views(
     "SELECT entity, trade_date, " + ", ".join(f"{rounded_sql(f'list_sum({e})', 4)} AS {n}, {rounded_sql(f'list_sum(list_transform({e}, lambda v, k: v * k))', 2)} AS {n}_placed" for n, e in STEP_SQL.items())
     + ", " + ", ".join(f"{rounded_sql(e, 4)} AS {n}, {rounded_sql(f'60 * ({e})', 2)} AS {n}_placed" for n, e in LAST_SQL.items()) + ", "
     + ", ".join(f"{rounded_sql(f'f{h}')} AS fwd_{h}" for h in (5, 20, 60)) + " FROM (SELECT *, CASE WHEN close[60] > 0 THEN close[60] ELSE 1 END AS last FROM sq) WHERE rn > 60 AND whole AND pe_rel IS NOT NULL AND pb_rel IS NOT NULL AND ind_momentum IS NOT NULL AND "
@@ -282,8 +269,7 @@ add("order_lots", on_bars(lambda b: b.select(*KEYS, portfolio.order_shares(F.col
 add("order_cost", on_bars(lambda b: b.select(*KEYS, r4(portfolio.order_cost("amount")).alias("cost"))), on_w(R4("greatest(amount * 0.0003, 5.0)") + " AS cost"))
 sig = lambda b: b.select(*KEYS, F.when(F.col("close") > F.col("open"), "sell").otherwise("buy").alias("action"), (F.col("close") * 1.01).alias("target_price"))
 FILL = f"SELECT entity, trade_date, CASE WHEN close > open THEN 'sell' ELSE 'buy' END AS action, close * 1.01 AS t, lead(trade_date) OVER {W} AS fill_date, lead(low) OVER {W} AS lo, lead(high) OVER {W} AS hi FROM bars"
-add("fill_price_triggered", on_bars(lambda b: portfolio.fill_triggered(sig(b.where("entity % 2 = 0")), b).select(*KEYS, "action", "fill_date", r4("fill_price").alias("fill_price"))), with_views(f"SELECT entity, trade_date, action, fill_date, {R4('CASE WHEN action = ' + chr(39) + 'buy' + chr(39) + ' THEN CASE WHEN lo <= t THEN greatest(t, lo * 1.002) END ELSE CASE WHEN hi >= t THEN least(t, hi * 0.98) END END')} AS fill_price FROM f WHERE entity % 2 = 0", "bars", f=FILL))
-add("fill_price_triggered_all", on_bars(lambda b: portfolio.fill_triggered(sig(b), b).select(*KEYS, "action", "fill_date", r4("fill_price").alias("fill_price"))), with_views(f"SELECT entity, trade_date, action, fill_date, {R4('CASE WHEN action = ' + chr(39) + 'buy' + chr(39) + ' THEN CASE WHEN lo <= t THEN greatest(t, lo * 1.002) END ELSE CASE WHEN hi >= t THEN least(t, hi * 0.98) END END')} AS fill_price FROM f", "bars", f=FILL))
+add("fill_price_triggered", on_bars(lambda b: portfolio.fill_triggered(sig(b), b).select(*KEYS, "action", "fill_date", r4("fill_price").alias("fill_price"))), with_views(f"SELECT entity, trade_date, action, fill_date, {R4('CASE WHEN action = ' + chr(39) + 'buy' + chr(39) + ' THEN CASE WHEN lo <= t THEN greatest(t, lo * 1.002) END ELSE CASE WHEN hi >= t THEN least(t, hi * 0.98) END END')} AS fill_price FROM f", "bars", f=FILL))
 
 # ledgers: a buy every fourth row of an entity, and a sale of all of it two rows later
 trades = lambda b: b.withColumn("rn", ts.row_number()).where("(rn % 4) in (1, 3)").select(*KEYS, F.lit(0).alias("seq"), F.when(F.col("rn") % 4 == 1, "buy").otherwise("sell").alias("action"), F.lit(100).alias("shares"), "close", F.col("close").alias("price"), F.lit(5.0).alias("cost"))
@@ -291,6 +277,26 @@ TRADES = "SELECT entity, trade_date, rn, CASE WHEN rn % 4 = 1 THEN 100 ELSE -100
 RUN = f"SELECT *, sum(signed) OVER (PARTITION BY entity ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS position, sum(-signed * close - 5.0) OVER (PARTITION BY entity ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS cash FROM tr"
 add("ledger_positions", on_bars(lambda b: portfolio.positions(trades(b)).select(*KEYS, "position", rounded(F.col("cash_flow"), 2).alias("cash_flow"))), with_views(f"SELECT entity, trade_date, CAST(position AS BIGINT) AS position, {rounded_sql('cash', 2)} AS cash_flow FROM ({RUN})", "bars", tr=TRADES))
 add("ledger_episodes", on_bars(lambda b: portfolio.episodes(trades(b)).select("entity", "episode", "start", "end", "bought", r4("avg_cost").alias("avg_cost"), rounded(F.col("pnl"), 2).alias("pnl"))), with_views(f"SELECT entity, (rn - 1) // 4 + 1 AS episode, min(trade_date) AS start, max(trade_date) AS \"end\", CAST(100 AS BIGINT) AS bought, {R4('max(CASE WHEN signed > 0 THEN close END)')} AS avg_cost, {rounded_sql('sum(-signed * close - 5.0)', 2)} AS pnl FROM tr GROUP BY entity, (rn - 1) // 4", "bars", tr=TRADES))
+# lots bought, sold in part, sold beyond what is held, and bought again
+LOTS = "SELECT entity, trade_date, row_number() OVER w AS seq, CASE WHEN row_number() OVER w % 3 = 0 THEN 'sell' ELSE 'buy' END AS action, CAST(floor(volume) * CASE WHEN row_number() OVER w % 3 = 0 THEN CASE WHEN row_number() OVER w % 9 = 0 THEN 20 ELSE 1 END ELSE 1 END AS BIGINT) AS shares, close AS price, 5.0 AS cost FROM bars WINDOW w AS (PARTITION BY entity ORDER BY trade_date)"
+FOLD = """SELECT entity, trade_date, seq, shares, price, CASE WHEN action = 'buy' THEN shares ELSE 0 END AS filled, CASE WHEN action = 'buy' THEN shares ELSE 0 END AS held, CASE WHEN action = 'buy' THEN CAST(price AS DOUBLE) END AS avg_cost, CAST(0.0 AS DOUBLE) AS pnl FROM lots WHERE seq = 1
+  UNION ALL SELECT t.entity, t.trade_date, t.seq, t.shares, t.price, CASE WHEN action = 'buy' THEN t.shares ELSE -least(t.shares, f.held) END,
+    CASE WHEN action = 'buy' THEN f.held + t.shares ELSE f.held - least(t.shares, f.held) END,
+    CASE WHEN action = 'buy' THEN (CASE WHEN f.held > 0 THEN f.avg_cost * f.held ELSE 0.0 END + t.price * t.shares) / (f.held + t.shares) WHEN f.held > 0 THEN f.avg_cost END,
+    CASE WHEN action = 'sell' AND f.held > 0 THEN (t.price - f.avg_cost) * least(t.shares, f.held) - t.cost ELSE 0.0 END
+  FROM fold f JOIN lots t ON t.entity = f.entity AND t.seq = f.seq + 1"""
+
+
+def _average_cost(b):
+    w = ts.over()
+    nth = F.row_number().over(w)
+    t = b.select(*KEYS, nth.alias("seq"), F.floor("volume").cast("long").alias("v"), F.col("close").alias("price"), F.lit(5.0).alias("cost"))
+    sale = F.col("seq") % 3 == 0
+    t = t.withColumn("action", F.when(sale, "sell").otherwise("buy")).withColumn("shares", F.col("v") * F.when(F.col("seq") % 9 == 0, 20).otherwise(1)).drop("v")
+    return portfolio.average_cost(t).select(*KEYS, "filled", "held", r4("avg_cost").alias("avg_cost"), rounded(F.col("pnl"), 2).alias("pnl"))
+
+
+add("ledger_average_cost", on_bars(_average_cost), with_views(f"SELECT entity, trade_date, CAST(filled AS BIGINT) AS filled, CAST(held AS BIGINT) AS held, {R4('avg_cost')} AS avg_cost, {rounded_sql('pnl', 2)} AS pnl FROM fold", "bars", lots=LOTS, fold=FOLD).replace("WITH li", "WITH RECURSIVE li", 1))
 add("ledger_nav", on_bars(lambda b: portfolio.nav(b.select("entity", "trade_date", F.lit(100).alias("shares")), b.where("entity % 5 <> 0"), 1000.0).select("trade_date", rounded(F.col("total_value"), 2).alias("total_value"))), with_views(f"SELECT trade_date, {rounded_sql('sum(CASE WHEN entity % 5 <> 0 THEN 100 * close ELSE 0.0 END) + 1000.0', 2)} AS total_value FROM bars GROUP BY trade_date", "bars"))
 add("cash_contributions", on_bars(lambda b: portfolio.contributions(source.calendar(b), 500.0)), with_views("SELECT min(trade_date) AS trade_date, 500.0 AS added FROM cal GROUP BY date_trunc('month', trade_date) HAVING min(trade_date) > (SELECT min(trade_date) FROM cal)", "cal"))
 add("stop_trailing", on_bars(lambda b: portfolio.trailing_stop(b.withColumn("episode", F.year("trade_date")), 0.3).select(*KEYS, "stop")), with_views("SELECT entity, trade_date, coalesce(lag(close) OVER e < max(close) OVER (e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * (1 - 0.3), false) AS stop FROM bars WINDOW e AS (PARTITION BY entity, year(trade_date) ORDER BY trade_date)", "bars"))
@@ -304,8 +310,6 @@ HORIZON_LABELS = ["y5", "y20", "y60"]
 
 def _ranked(b):
     """Percentile ranks of all catalog features with forward returns, stored once as every fit and fold reads them."""
-    from panelkit.plans.relational_queries import _stored
-
     features = catalog.combined().compute(full(b)).select(*KEYS, *[F.col(n).cast("double").alias(n) for n in FEATURES])
     labels = b.select(*KEYS, *[ts.forward_return("close", int(y[1:])).alias(y) for y in HORIZON_LABELS])
     spark, path = _stored(b, "ranked")

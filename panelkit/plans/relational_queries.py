@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import ts, xs
-from panelkit.operators import dataset, metrics, universe
+from panelkit.operators import dataset, metrics, order_stats, universe
 from panelkit.plans.base import add, rounded, rounded_sql, with_views
 from panelkit.sources import bars as source
 from panelkit.sources import io
@@ -37,18 +37,27 @@ def keys(df, *more):
 
 
 K = "SELECT entity, trade_date FROM"
-# scans and sinks: the tables go through the sink and are read back
-add("scan_bars", on_bars(lambda b: b.select(*KEYS, *[rounded(F.col(c), 7).alias(c) for c in ("open", "high", "low", "close", "vwap")], "volume")), with_views("SELECT entity, trade_date, " + ", ".join(f"{rounded_sql(c, 7)} AS {c}" for c in ("open", "high", "low", "close", "vwap")) + ", volume FROM bars", "bars"))
-add("scan_window_prune", on_bars(lambda b: keys(io.prune(b, A, B, 20))), with_views(f"{K} bars WHERE trade_date BETWEEN DATE '{A}' - {io.margin_days(20)} AND DATE '{B}'", "bars"))
-add("scan_fundamentals", on_bars(lambda b: io.with_fundamentals(keys(b, "close"), source.fundamentals(b).where("pe_ttm < 30"), ["pe_ttm", "pb"]).select(*KEYS, rounded(F.col("pe_ttm")).alias("pe_ttm"), rounded(F.col("pb")).alias("pb"))), with_views(f"SELECT entity, trade_date, {rounded_sql('f.pe_ttm')} AS pe_ttm, {rounded_sql('f.pb')} AS pb FROM bars b LEFT JOIN (SELECT * FROM fund WHERE pe_ttm < 30) f USING (entity, trade_date)", "fund"))
 
 
 def _stored(df, name):
     spark = df.sparkSession
-    from uuid import uuid4
+    return spark, io.new_path(spark, name)
+
+# scans and sinks: the tables go through the sink and are read back
+
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return spark, f"{root}/{name}-{uuid4().hex}"
+def _scan_bars(b):
+    """Bars written as a tree by date under the source's own names, scanned back."""
+    spark, path = _stored(b, "bars")
+    raw = b.select(F.col("entity").cast("string").alias("ts_code"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), "open", "high", "low", "close", F.col("volume").cast("double").alias("vol"), F.col("amount").cast("double").alias("amount"))
+    io.write_partition(raw, path)
+    found = io.scan_bars(spark, path, A, date(2001, 12, 31))
+    return found.select(F.col("entity").cast("long").alias("entity"), "trade_date", *[rounded(F.col(c), 7).alias(c) for c in ("open", "high", "low", "close", "vwap")], F.col("volume").cast("double").alias("volume"))
+
+
+add("scan_bars", on_bars(_scan_bars), with_views("SELECT entity, trade_date, " + ", ".join(f"{rounded_sql(c, 7)} AS {c}" for c in ("open", "high", "low", "close", "vwap")) + ", volume FROM bars", "bars"))
+add("scan_window_prune", on_bars(lambda b: keys(io.prune(b, A, B, 20))), with_views(f"{K} bars WHERE trade_date BETWEEN DATE '{A}' - {io.margin_days(20)} AND DATE '{B}'", "bars"))
+add("scan_fundamentals", on_bars(lambda b: io.with_fundamentals(keys(b, "close"), source.fundamentals(b).where("pe_ttm < 30"), ["pe_ttm", "pb"]).select(*KEYS, rounded(F.col("pe_ttm")).alias("pe_ttm"), rounded(F.col("pb")).alias("pb"))), with_views(f"SELECT entity, trade_date, {rounded_sql('f.pe_ttm')} AS pe_ttm, {rounded_sql('f.pb')} AS pb FROM bars b LEFT JOIN (SELECT * FROM fund WHERE pe_ttm < 30) f USING (entity, trade_date)", "fund"))
 
 
 def _features(b):
@@ -61,11 +70,6 @@ def _features(b):
 FEAT = "SELECT entity, trade_date, floor(close * 1e6 + 0.50001) / 1e6 AS close FROM bars WHERE trade_date < DATE '1995-07-01'"
 
 
-def _write_partition(b):
-    spark, path = _features(b)
-    return io.scan_dated(spark, path).where(F.col("trade_date") < F.lit(date(1995, 7, 1))).select(*KEYS, "close")
-
-
 def _write_all(b):
     spark, path = _features(b)
     return io.scan_dated(spark, path).select(*KEYS, "close")
@@ -82,28 +86,29 @@ def _snapshot(b):
     return spark.read.parquet(path)
 
 
-def _export(b):
-    spark, path = _stored(b, "export")
-    io.export(b.where("flag_share > 0.9").select(*KEYS, "volume"), path)
-    return spark.read.parquet(path)
-
-
 def _export_all(b):
     spark, path = _stored(b, "export")
     io.export(b.select(*KEYS, "volume"), path)
     return spark.read.parquet(path)
 
 
-add("write_partition", on_bars(_write_partition), with_views(f"SELECT * FROM ({FEAT})", "bars"))
-add("write_partition_all", on_bars(_write_all), with_views(f"SELECT entity, trade_date, {rounded_sql('close')} AS close FROM bars", "bars"))
-add("export_dataset_all", on_bars(_export_all), with_views("SELECT entity, trade_date, volume FROM bars", "bars"))
+add("write_partition", on_bars(_write_all), with_views(f"SELECT entity, trade_date, {rounded_sql('close')} AS close FROM bars", "bars"))
+add("export_dataset", on_bars(_export_all), with_views("SELECT entity, trade_date, volume FROM bars", "bars"))
 add("scan_features", on_bars(_scan_features), with_views(f"SELECT * FROM ({FEAT}) WHERE trade_date BETWEEN DATE '1995-02-01' AND DATE '1995-05-01'", "bars"))
 add("write_snapshot", on_bars(_snapshot), with_views("SELECT entity, count(*) AS n FROM bars GROUP BY entity", "bars"))
-add("export_dataset", on_bars(_export), with_views("SELECT entity, trade_date, volume FROM bars WHERE flag_share > 0.9", "bars"))
 add("scan_recent_n_dates", on_bars(lambda b: keys(io.recent_dates(b, B, 5))), with_views(f"{K} bars WHERE trade_date IN (SELECT trade_date FROM d) AND entity IN (SELECT entity FROM bars WHERE trade_date IN (SELECT trade_date FROM d) GROUP BY entity HAVING count(*) = 5)", "bars", "cal", d=f"SELECT trade_date FROM cal WHERE trade_date <= DATE '{B}' ORDER BY trade_date DESC LIMIT 5"))
 add("latest_partition", on_bars(lambda b: keys(io.latest_partition(b))), with_views(f"{K} bars WHERE trade_date = (SELECT max(trade_date) FROM bars)", "bars"))
-merged = lambda how: on_bars(lambda b: io.merge_columns(b.where("volume > 20").select(*KEYS, "volume"), b.where("volume < 60").select(*KEYS, (F.col("volume") * 2).alias("volume"), "flag_share"), KEYS, how).withColumn("flag_share", rounded(F.col("flag_share"))))
-add("write_merge_columns", merged("full"), with_views(f"SELECT entity, trade_date, coalesce(n.volume, s.volume) AS volume, {rounded_sql('flag_share')} AS flag_share FROM (SELECT entity, trade_date, volume FROM bars WHERE volume > 20) s FULL JOIN (SELECT entity, trade_date, volume * 2 AS volume, flag_share FROM bars WHERE volume < 60) n USING (entity, trade_date)", "bars"))
+
+
+def _merge_stored(b):
+    """Columns merged into the stored table's dates, then read back."""
+    spark, root = _stored(b, "merge")
+    io.merge_into(b.where("volume > 20").select(*KEYS, "volume"), root, "panel", KEYS)
+    io.merge_into(b.where("volume < 60").select(*KEYS, (F.col("volume") * 2).alias("volume"), "flag_share"), root, "panel", KEYS)
+    return io.scan_stored(spark, root, "panel").select(*KEYS, "volume", rounded(F.col("flag_share")).alias("flag_share"))
+
+
+add("write_merge_columns", on_bars(_merge_stored), with_views(f"SELECT entity, trade_date, coalesce(n.volume, s.volume) AS volume, {rounded_sql('flag_share')} AS flag_share FROM (SELECT entity, trade_date, volume FROM bars WHERE volume > 20) s FULL JOIN (SELECT entity, trade_date, volume * 2 AS volume, flag_share FROM bars WHERE volume < 60) n USING (entity, trade_date)", "bars"))
 add("join_full_outer", on_bars(lambda b: b.where("volume > 30").select(*KEYS, F.col("volume").alias("v1")).join(b.where("volume < 40").select(*KEYS, F.col("volume").alias("v2")), KEYS, "full")), with_views("SELECT entity, trade_date, v1, v2 FROM (SELECT entity, trade_date, volume AS v1 FROM bars WHERE volume > 30) a FULL JOIN (SELECT entity, trade_date, volume AS v2 FROM bars WHERE volume < 40) c USING (entity, trade_date)", "bars"))
 
 
@@ -118,8 +123,9 @@ add("registry_upsert", lambda s, d: io.registry_current(_log(s, d)).select("api_
 add("registry_last_date", lambda s, d: io.registry_last_date(_log(s, d)), f"SELECT api_name, max(trade_date) AS last_date FROM ({REG}) GROUP BY api_name")
 add("registry_delete_since", lambda s, d: io.registry_current(io.registry_delete_since(_log(s, d), "1-URGENT", date(1995, 1, 1), "2030-01-01 00:00:00")).select("api_name", "trade_date", "row_count"), f"SELECT * FROM ({REG}) WHERE NOT (api_name = '1-URGENT' AND trade_date >= DATE '1995-01-01')")
 add("registry_summary", lambda s, d: io.registry_summary(_log(s, d)), f"SELECT api_name, count(*) AS n, max(trade_date) AS last_date FROM ({REG}) GROUP BY api_name")
-add("pending_dates", on_bars(lambda b: io.pending_dates(source.calendar(b), b.where("entity % 7 = 0 and flag_share > 0.8").select("trade_date").distinct(), date(1992, 1, 1), date(1996, 1, 1), 20)), with_views("SELECT trade_date FROM nth WHERE nth > 20 AND trade_date BETWEEN DATE '1992-01-01' AND DATE '1996-01-01' AND trade_date NOT IN (SELECT trade_date FROM bars WHERE entity % 7 = 0 AND flag_share > 0.8)", "bars", "nth"))
-add("pending_dates_all", on_bars(lambda b: io.pending_dates(source.calendar(b), b.where("flag_share > 0.95").select("trade_date").distinct(), date(1992, 1, 1), date(2001, 12, 31), 20)), with_views("SELECT trade_date FROM nth WHERE nth > 20 AND trade_date BETWEEN DATE '1992-01-01' AND DATE '2001-12-31' AND trade_date NOT IN (SELECT trade_date FROM bars WHERE flag_share > 0.95)", "bars", "nth"))
+# done is every session of the first four weeks of a quarter
+DONE = "month(trade_date) % 3 = 1 and day(trade_date) <= 28"
+add("pending_dates", on_bars(lambda b: io.pending_dates(source.calendar(b), b.where(DONE).select("trade_date").distinct(), date(1992, 1, 1), date(2001, 12, 31), 20)), with_views(f"SELECT trade_date FROM nth WHERE nth > 20 AND trade_date BETWEEN DATE '1992-01-01' AND DATE '2001-12-31' AND trade_date NOT IN (SELECT trade_date FROM bars WHERE {DONE})", "bars", "nth"))
 add("dedupe_keep_last", lambda s, d: io.dedupe_last(source.table(s, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderkey"), ["o_custkey", "day"], [F.desc("o_orderkey")]), "SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL")
 
 # filters and universes
@@ -144,7 +150,8 @@ GOOD = "circ_mv >= 10000 AND turnover_rate >= 0.1 AND pe_ttm > 0 AND pe_ttm < mp
 qual = lambda b, s: full(b).join(s, "entity")
 add("universe_quality", on_both(lambda b, s: keys(universe.quality(qual(b, s), 10_000))), with_views(f"{K} m WHERE {GOOD} AND pb >= mpb * 0.1", "fund", "sec", b_fund=B_FUND, m=MEDS))
 add("universe_quality_lite", on_both(lambda b, s: keys(universe.quality_lite(qual(b, s), source.flags(b), 10_000))), with_views(f"{K} m ANTI JOIN flags USING (entity, trade_date) WHERE {GOOD}", "fund", "sec", "flags", b_fund=B_FUND, m=MEDS))
-add("universe_absolute_quality", on_bars(lambda b: keys(universe.absolute_quality(full(b).withColumn("listed", F.min("trade_date").over(Window.partitionBy("entity"))), "listed", 1000.0))), with_views(f"{K} (SELECT *, min(trade_date) OVER (PARTITION BY entity) AS listed FROM b_fund) WHERE trade_date - listed >= 365 AND circ_mv >= 1000 AND pe_ttm > 5 AND pe_ttm < 40 AND pb > 0 AND pb < 10 AND turnover_rate > 0.1", "fund", b_fund=B_FUND))
+# the test tables' pb lies above 12, so a fifth of it is asked for
+add("universe_absolute_quality", on_bars(lambda b: keys(universe.absolute_quality(full(b).withColumn("pb", F.col("pb") / 5).withColumn("listed", F.min("trade_date").over(Window.partitionBy("entity"))), "listed", 1000.0))), with_views(f"{K} (SELECT *, min(trade_date) OVER (PARTITION BY entity) AS listed FROM b_fund) WHERE trade_date - listed >= 365 AND circ_mv >= 1000 AND pe_ttm > 5 AND pe_ttm < 40 AND pb / 5 > 0 AND pb / 5 < 10 AND turnover_rate > 0.1", "fund", b_fund=B_FUND))
 add("universe_cap_percentile", on_bars(lambda b: universe.cap_percentile(b, 0.7).select("entity").distinct()), with_views("SELECT entity FROM c WHERE cap >= (SELECT cap FROM (SELECT cap, row_number() OVER (ORDER BY cap, entity) - 1 AS i, count(*) OVER () AS n FROM c) WHERE i = floor(n * 0.7))", "bars", c="SELECT entity, max(circ_mv) AS cap FROM bars GROUP BY entity"))
 add("filter_min_history", on_bars(lambda b: universe.min_history(b, 285, 40).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))), with_views("SELECT entity, n FROM (SELECT entity, count(*) AS n FROM bars GROUP BY entity HAVING count(*) >= 285) ORDER BY md5(CAST(entity AS VARCHAR)), entity LIMIT 40", "bars"))
 
@@ -180,12 +187,11 @@ def _worst(b, k):
 
 
 def _ranking(b):
-    """Scores of the latest session in order; one row for each entity."""
-    return _scores(b).select("entity", "score", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "entity")).alias("nth"))
+    """Scores of the latest session with their places, numbered range by range."""
+    return order_stats.numbered(_scores(b), [F.col("score").desc_nulls_last(), F.col("entity").asc()], out="nth")
 
 
-add("join_holdings_rank", on_both(lambda b, s: s.where("entity % 3 = 0").select("entity", "name").join(_ranking(b), "entity", "left").select("entity", "name", F.coalesce(F.col("nth").cast("string"), F.lit("not in scope")).alias("place"))), with_views(f"SELECT entity, name, coalesce(CAST(nth AS VARCHAR), 'not in scope') AS place FROM sec LEFT JOIN ({TOP}) t USING (entity) WHERE entity % 3 = 0", "pred", "sec"))
-add("join_holdings_rank_all", on_both(lambda b, s: s.select("entity", "name").join(_ranking(b), "entity", "left").select("entity", "name", F.coalesce(F.col("nth").cast("string"), F.lit("not in scope")).alias("place"))), with_views(f"SELECT entity, name, coalesce(CAST(nth AS VARCHAR), 'not in scope') AS place FROM sec LEFT JOIN ({TOP}) t USING (entity)", "pred", "sec"))
+add("join_holdings_rank", on_both(lambda b, s: s.select("entity", "name").join(_ranking(b), "entity", "left").select("entity", "name", F.coalesce(F.col("nth").cast("string"), F.lit("not in scope")).alias("place"))), with_views(f"SELECT entity, name, coalesce(CAST(nth AS VARCHAR), 'not in scope') AS place FROM sec LEFT JOIN ({TOP}) t USING (entity)", "pred", "sec"))
 prev = f"SELECT *, lag(above) OVER {W} AS was, lag(nth) OVER {W} AS before FROM (SELECT entity, trade_date, coalesce(s > l, false) AS above, nth FROM (SELECT *, avg(close) OVER (PARTITION BY entity ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s, avg(close) OVER (PARTITION BY entity ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM bars) JOIN nth USING (trade_date))"
 
 
@@ -208,8 +214,7 @@ SPEAR = "SELECT trade_date, count(*) AS n, covar_samp(a, b) / NULLIF(stddev_samp
 IC = f"SELECT count(ic) AS n_dates, {rounded_sql('avg(ic)')} AS ic_mean, {rounded_sql('stddev_samp(ic)')} AS ic_std, {rounded_sql('avg(ic) / stddev_samp(ic)')} AS icir FROM ({SPEAR})"
 rank_ic = on_bars(lambda b: metrics.rank_ic(preds(b)).select("n_dates", *[rounded(F.col(c)).alias(c) for c in ("ic_mean", "ic_std", "icir")]))
 add("agg_rank_ic", rank_ic, with_views(IC, "pred", p=PREDS))
-add("agg_rank_corr_argsort", on_bars(lambda b: metrics.rank_ic(preds(b).where("entity % 2 = 0")).select("n_dates", rounded(F.col("ic_mean")).alias("ic_mean"))), with_views(f"SELECT count(ic) AS n_dates, {rounded_sql('avg(ic)')} AS ic_mean FROM ({SPEAR})", "pred", p=PREDS + " WHERE entity % 2 = 0"))
-add("agg_rank_corr_argsort_all", on_bars(lambda b: metrics.rank_ic(preds(b)).select("n_dates", rounded(F.col("ic_mean")).alias("ic_mean"))), with_views(f"SELECT count(ic) AS n_dates, {rounded_sql('avg(ic)')} AS ic_mean FROM ({SPEAR})", "pred", p=PREDS))
+add("agg_rank_corr_argsort", on_bars(lambda b: metrics.rank_ic(preds(b)).select("n_dates", rounded(F.col("ic_mean")).alias("ic_mean"))), with_views(f"SELECT count(ic) AS n_dates, {rounded_sql('avg(ic)')} AS ic_mean FROM ({SPEAR})", "pred", p=PREDS))
 add("agg_mse_mae", on_bars(lambda b: preds(b).dropna().agg(rounded(F.avg(F.pow(F.col("actual") - F.col("pred"), 2.0))).alias("mse"), rounded(F.avg(F.abs(F.col("actual") - F.col("pred")))).alias("mae"))), with_views(f"SELECT {rounded_sql('avg(pow(actual - pred, 2.0))')} AS mse, {rounded_sql('avg(abs(actual - pred))')} AS mae FROM p WHERE actual IS NOT NULL AND pred IS NOT NULL", "pred", p=PREDS))
 add("agg_pinball", on_bars(lambda b: preds(b).dropna().agg(*[rounded(metrics.pinball("actual", "pred", a)).alias(f"loss_{int(a * 100)}") for a in (0.1, 0.5, 0.9)])), with_views("SELECT " + ", ".join(f"{rounded_sql(f'avg(greatest({a} * (actual - pred), ({a} - 1) * (actual - pred)))')} AS loss_{int(a * 100)}" for a in (0.1, 0.5, 0.9)) + " FROM p WHERE actual IS NOT NULL AND pred IS NOT NULL", "pred", p=PREDS))
 bins = lambda b: preds(b).dropna().select(*KEYS, *[F.when(F.col(c) < -0.2, 0).when(F.col(c) < -0.05, 1).when(F.col(c) < 0.05, 2).when(F.col(c) < 0.2, 3).otherwise(4).alias(n) for c, n in (("actual", "t"), ("pred", "p"))])

@@ -229,13 +229,9 @@ def feature_sql(staged: dict[str, str], ranked: dict[str, str]) -> str:
 
 PV = {n: factor_sql(n) for n in catalog.price_volume().names}
 PV_STAGED, PV_RANKED = ({n: e for n, e in PV.items() if (n.split("_")[0] in ("RANK", "QUANTILE")) == r} for r in (False, True))
-#: Ranks of computed doubles depend on their last bit, so their means are left to the exact columns.
-PV_EXACT = {n: e for n, e in PV_RANKED.items() if n.endswith("REF_close_1")}
-add("feat_price_volume", _feature_query(catalog.price_volume, [*PV_STAGED, *PV_EXACT]), feature_sql(PV_STAGED, PV_EXACT))
 add("feat_extended", _feature_query(catalog.extended), feature_sql(EXT_SQL, {}))
 FUND_STAGED = {n: e for n, e in FUND_SQL.items() if n != "TURN_RANK"}
 add("feat_fundamental", _feature_query(catalog.fundamental), feature_sql(FUND_STAGED, {"TURN_RANK": FUND_SQL["TURN_RANK"]}))
-add("feat_combined", _feature_query(catalog.combined, [*PV_STAGED, *PV_EXACT, *EXT_SQL, *FUND_SQL]), feature_sql(PV_STAGED | EXT_SQL | FUND_STAGED, PV_EXACT | {"TURN_RANK": FUND_SQL["TURN_RANK"]}))
 
 
 # the same factors as rows, with all ranks
@@ -250,11 +246,15 @@ def _digits(name):
 def _row_query(make):
     def query(spark, sf_dir):
         cat = make()
-        return cat.compute(_panel(spark, sf_dir)).select("entity", "trade_date", *[rounded(F.col(n).cast("double"), _digits(n)).alias(n) for n in cat.names])
+        return rounded_factors(cat.compute(_panel(spark, sf_dir)), cat.names)
 
     return query
 
 
+def rounded_factors(df, names):
+    return df.select("entity", "trade_date", *[rounded(F.col(n).cast("double"), _digits(n)).alias(n) for n in names])
+
+
 def row_sql(staged: dict[str, str], ranked: dict[str, str], names: list[str]) -> str:
     """One row for each bar with a column for each name; means, deviations and correlations are rounded before they are ranked."""
     noisy = sorted({n.partition("_")[2] for n in ranked if n in PV_RANKED and not n.endswith("REF_close_1")})
@@ -270,5 +270,5 @@ def row_sql(staged: dict[str, str], ranked: dict[str, str], names: list[str]) ->
     )
 
 
-add("feat_price_volume_rows", _row_query(catalog.price_volume), row_sql(PV_STAGED, PV_RANKED, catalog.price_volume().names))
-add("feat_combined_rows", _row_query(catalog.combined), row_sql(PV_STAGED | EXT_SQL | FUND_STAGED, PV_RANKED | {"TURN_RANK": FUND_SQL["TURN_RANK"]}, catalog.combined().names))
+add("feat_price_volume", _row_query(catalog.price_volume), row_sql(PV_STAGED, PV_RANKED, catalog.price_volume().names))
+add("feat_combined", _row_query(catalog.combined), row_sql(PV_STAGED | EXT_SQL | FUND_STAGED, PV_RANKED | {"TURN_RANK": FUND_SQL["TURN_RANK"]}, catalog.combined().names))

@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelkit.sources.atomic import Change, Files, recover
+
 BAR_SCHEMA = "ts_code string, trade_date string, open double, high double, low double, close double, vol double, amount double"
 
 
-def scan_bars(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet tree of bars: ``vol`` becomes ``volume``, vwap is derived, dates become dates."""
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder where driver and executors both write: below ``spark.checkpoint.dir``, or the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, which cuts its lineage."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scan_bars(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """A Parquet tree of bars by trade_date=YYYYMMDD: ``vol`` becomes ``volume``, vwap is derived, dates become dates.
+
+    A range of dates is compared with the folders' names, so other folders aren't read.
+    """
     d = spark.read.schema(BAR_SCHEMA).parquet(path)
+    if first is not None:
+        d = d.where(F.col("trade_date") >= f"{first:%Y%m%d}")
+    if last is not None:
+        d = d.where(F.col("trade_date") <= f"{last:%Y%m%d}")
     return d.select(F.col("ts_code").alias("entity"), F.to_date(F.col("trade_date").cast("string"), "yyyyMMdd").alias("trade_date"), "open", "high", "low", "close", F.col("vol").alias("volume"), "amount", F.try_divide("amount", "vol").alias("vwap"))
 
 
@@ -40,10 +64,48 @@ def scan_dated(spark: SparkSession, path: str, first=None, last=None) -> DataFra
     return d.where(F.col("trade_date").between(first, last)) if first is not None else d
 
 
-def scan_named_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files named YYYY_MM_DD.parquet; the date comes from the name."""
+NAMED = re.compile(r"(\d{4})_(\d{2})_(\d{2})\.parquet")
+
+
+def named_files(spark: SparkSession, path: str, first: date | None = None, last: date | None = None) -> dict[date, str]:
+    """Files YYYY_MM_DD.parquet of a folder by date, in a range of dates; no file is opened."""
+    found = {}
+    for name in Files(spark, path).names(path):
+        m = NAMED.fullmatch(name)
+        day = date(*map(int, m.groups())) if m else None
+        if day and (first is None or day >= first) and (last is None or day <= last):
+            found[day] = f"{path}/{name}"
+    return found
+
+
+def scan_named_files(spark: SparkSession, path: str, first: date | None = None, last: date | None = None, schema: str | None = None) -> DataFrame:
+    """Files named YYYY_MM_DD.parquet; the date comes from the name, and files outside the range aren't opened.
+
+    Drifting schemas are merged by name.  ``schema`` is what an empty range gives.
+    """
+    files = named_files(spark, path, first, last)
+    if not files:
+        return spark.createDataFrame([], f"{schema + ', ' if schema else ''}trade_date date")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}_\d{2}_\d{2})\.parquet", 1)
-    return spark.read.parquet(path).withColumn("trade_date", F.to_date(name, "yyyy_MM_dd"))
+    d = spark.read.option("mergeSchema", "true").parquet(*files.values())
+    return d.drop("trade_date").withColumn("trade_date", F.to_date(name, "yyyy_MM_dd"))
+
+
+def write_named_files(df: DataFrame, path: str) -> None:
+    """One file YYYY_MM_DD.parquet for each date; a date that is written again replaces its file."""
+    spark, staged = df.sparkSession, f"{path}/_staged-{uuid.uuid4().hex}"
+    named = df.withColumn("__name", F.date_format("trade_date", "yyyy_MM_dd"))
+    named.repartition("__name").sortWithinPartitions("__name").write.partitionBy("__name").parquet(staged)
+    files = Files(spark, path)
+    for folder in files.names(staged):
+        parts = [n for n in files.names(staged, folder) if n.startswith("part-")] if folder.startswith("__name=") else []
+        if len(parts) > 1:
+            raise ValueError(f"{folder} has more than one file; lift spark.sql.files.maxRecordsPerFile")
+        for part in parts:
+            name = folder.removeprefix("__name=") + ".parquet"
+            files.delete(path, name)
+            files.move(files.path(staged, folder, part), files.path(path, name))
+    files.delete(staged)
 
 
 def recent_dates(panel: DataFrame, at, n: int) -> DataFrame:
@@ -78,6 +140,30 @@ def merge_columns(stored: DataFrame, new: DataFrame, keys: list[str], how: str =
     return out.select(*keys, *merged, *[c for c in new.columns if c not in stored.columns])
 
 
+def merge_into(new: DataFrame, root: str, table: str, keys: list[str], how: str = "full") -> None:
+    """:func:`merge_columns` into the stored table ``root/table`` by date; only dates of ``new`` are written again.
+
+    ``new`` may be read from the table itself.  The merged dates are staged and swapped as one
+    change, so a run that dies leaves the old state or one that the next run finishes, and a
+    second run gives the same table.  Columns that are new to the table are null on the other
+    dates, if it is read with its schemas merged.
+    """
+    spark = new.sparkSession
+    change = Change(spark, root)
+    if Files(spark, root).exists(root, table):
+        stored = scan_dated(spark, f"{root}/{table}")
+        dates = new.select("trade_date").distinct()
+        new = merge_columns(stored.join(F.broadcast(dates), "trade_date", "left_semi"), new, keys, how)
+    change.replace(new, table)
+    change.commit()
+
+
+def scan_stored(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A table below ``root`` by date, after changes that were left half done are finished."""
+    recover(spark, root)
+    return scan_dated(spark, f"{root}/{table}")
+
+
 def export(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

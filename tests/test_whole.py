@@ -8,7 +8,7 @@ from panelkit.plans import registry
 
 def test_feature_rows_have_every_factor_and_bar(spark, small):
     bars = registry.queries()["scan_bars"](spark, small).count()
-    for name, names in (("feat_price_volume_rows", catalog.price_volume().names), ("feat_combined_rows", catalog.combined().names)):
+    for name, names in (("feat_price_volume", catalog.price_volume().names), ("feat_combined", catalog.combined().names)):
         df = registry.queries()[name](spark, small)
         assert df.columns == ["entity", "trade_date", *names]
         assert df.count() == bars
@@ -86,10 +86,10 @@ def test_no_entity_or_session_is_left_out(spark, small):
     run = lambda name: registry.queries()[name](spark, small)
     bars = run("scan_bars")
     rows, entities = bars.count(), bars.select("entity").distinct().count()
-    assert run("write_partition_all").count() == run("export_dataset_all").count() == run("fill_price_triggered_all").count() == rows
-    assert run("join_holdings_rank_all").count() == entities
-    assert run("agg_rank_corr_argsort_all").first()["n_dates"] > run("agg_rank_corr_argsort").first()["n_dates"]
-    assert run("pending_dates_all").agg(F.max("trade_date")).first()[0].year > 1996
+    assert run("write_partition").count() == run("export_dataset").count() == run("fill_price_triggered").count() == rows
+    assert run("join_holdings_rank").count() == entities
+    assert run("agg_rank_corr_argsort").count() == 1
+    assert run("pending_dates").agg(F.max("trade_date")).first()[0].year > 1996
 
 
 def test_sinks_write_all_sessions(spark, small, monkeypatch):
@@ -106,6 +106,6 @@ def test_sinks_write_all_sessions(spark, small, monkeypatch):
 def test_flat_panel_has_all_factors_and_levels(spark, small):
     from panelkit.operators import levels
 
-    got = registry.queries()["panel_rank_flat_rows"](spark, small).columns
+    got = registry.queries()["panel_rank_flat"](spark, small).columns
     sides = [f"{s}_{h}{d}" for s in ("resistance", "support") for h in levels.HORIZONS for d in ("", "_dist")]
     assert sorted(got) == sorted(["entity", "trade_date", "industry", *catalog.combined().names, *levels.FEATURES, *sides])
