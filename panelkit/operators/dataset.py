@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import ts, xs
+from panelkit.operators import order_stats
 
 RISK_FREE = 0.02
 HORIZONS = (5, 20, 60)
@@ -83,7 +84,10 @@ def tabular(features: DataFrame, names: list[str], bars: DataFrame, securities:
 
 
 #: Factors without gain, left out of training sets; those with a ratio to the industry's median.
-ZERO_GAIN = "O2C DRP HLC pe_ttm pb ROE_RAW ROE MV VOLRATIO EMA12C EMA26C MACD RSI14 SLOPE5 SLOPE20".split()
+ZERO_GAIN = [
+    "SUM_close_5", "SUM_close_10", "SUM_close_20", "SUM_close_30", "SUM_close_60", "O2C", "DRP", "HLC", "pe_ttm", "pb",
+    "ROE_RAW", "ROE", "MV", "VOLRATIO", "EMA12C", "EMA26C", "MACD", "RSI14", "SLOPE5", "SLOPE20",
+]
 INDUSTRY_FACTORS = ["PE_TTM_MINMAX_750", "PB_MINMAX_750", "MV", "TURN", "ROE"]
 #: Digits of industry features before they are ranked.
 INDUSTRY_DIGITS = 9
@@ -190,6 +194,35 @@ def time_holdout(rows: DataFrame, share: float = 0.1) -> DataFrame:
     return rows.join(F.broadcast(cut), "trade_date")
 
 
+def time_splits(rows: DataFrame, n: int = 5) -> DataFrame:
+    """(split, side, ...): rows of n time-ordered splits; the test dates follow the train dates.
+
+    Of the sorted dates, split k of n is tested on the k-th of the last n parts of
+    ``dates // (n + 1)`` dates each and trained on all before it.  One row for each date is ordered.
+    """
+    dates = rows.select("trade_date").distinct()
+    nth = dates.select("trade_date", (F.row_number().over(Window.orderBy("trade_date")) - 1).alias("__nth"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__n"))
+    each = F.floor(F.col("__n") / (n + 1))
+    start = lambda k: F.col("__n") - (n - k) * each
+    side = lambda k: F.when(F.col("__nth") < start(k), "train").when(F.col("__nth") < start(k) + each, "test")
+    told = nth.select("trade_date", F.explode(F.array(*[F.struct(F.lit(k).alias("split"), side(k).alias("side")) for k in range(n)])).alias("x")).select("trade_date", "x.*").where("side is not null")
+    return rows.join(F.broadcast(told), "trade_date")
+
+
+def downsample_majority(rows: DataFrame, label: str, ratio: float = 1.0) -> DataFrame:
+    """Rows with each class cut to ``ratio`` times the smallest one's size, exactly.
+
+    A class keeps its rows with the least hashes of (entity, date), numbered range by range, so
+    no class meets in one task and another run keeps the same rows.  Rows without a class go.
+    """
+    known = rows.where(F.col(label).isNotNull())
+    # a row for each class
+    quota = known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
+    key = F.md5(F.concat_ws("|", F.col("entity").cast("string"), F.col("trade_date").cast("string")))
+    placed = order_stats.numbered(known.withColumn("__key", key), [F.col("__key").asc(), F.col("entity").asc(), F.col("trade_date").asc()], [label], "__place")
+    return placed.where(F.col("__place") <= int(quota * ratio)).select(rows.columns)
+
+
 def balance_classes(rows: DataFrame, label: str, most: int) -> DataFrame:
     """At most ``most`` rows of each entity and class, in hash order."""
     order = F.md5(F.concat_ws("|", F.col("entity").cast("string"), F.col("trade_date").cast("string")))

@@ -49,6 +49,20 @@ def in_top(probs: Column, true: Column, k: int = 3) -> Column:
     return F.array_contains(F.slice(ranked, 1, k), true)
 
 
+def peak_hits(rows: DataFrame, probs: str, true: str, last: str, k: int = 3) -> DataFrame:
+    """One row: n, peaks, hit (true bin among the k most probable), peak_found and hit_given_peak.
+
+    The last bin stands for no peak.  A peak is found right if the most probable bin and the
+    true one agree on whether there is one; hits given a peak count only rows that have one.
+    """
+    p, t, none = F.col(probs), F.col(true), F.col(last)
+    top = F.array_position(p, F.array_max(p)) - 1
+    hit = in_top(p, t, k).cast("double")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.sum((t != none).cast("long")).alias("peaks"), F.avg(hit).alias("hit"),
+        F.avg(((top != none) == (t != none)).cast("double")).alias("peak_found"), F.avg(F.when(t != none, hit)).alias("hit_given_peak"))
+
+
 def entropy(probs: Column) -> Column:
     return F.aggregate(probs, F.lit(0.0), lambda a, p: a - p * F.ln(p + 1e-8))
 

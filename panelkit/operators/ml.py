@@ -8,7 +8,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators import metrics
+from panelkit.operators import dataset, metrics
 
 
 def fit_regression(train: DataFrame, features: list[str], label: str, depth: int = 3, rounds: int = 10, seed: int = 42) -> PipelineModel:
@@ -17,6 +17,14 @@ def fit_regression(train: DataFrame, features: list[str], label: str, depth: int
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(rows)
 
 
+def fit_early_stop(rows: DataFrame, features: list[str], label: str, share: float = 0.1, depth: int = 3, rounds: int = 50, tolerance: float = 0.01, seed: int = 42) -> tuple[PipelineModel, int]:
+    """(model, rounds used): boosting that is checked on the last ``share`` of dates and stops when it gains nothing there."""
+    held = dataset.time_holdout(rows.where(F.col(label).isNotNull()), share).na.fill(0.0, features)
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol=f"pred_{label}", maxDepth=depth, maxIter=rounds, seed=seed, validationIndicatorCol="holdout", validationTol=tolerance)
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(held)
+    return model, model.stages[-1].getNumTrees
+
+
 def score_panel(panel: DataFrame, features: list[str], models: list[PipelineModel]) -> DataFrame:
     out = panel.na.fill(0.0, features)
     for m in models:

@@ -48,6 +48,13 @@ def _standard(mean: Column, std: Column):
     return lambda v: (v - mean) / std
 
 
+def fit_volume(panel: DataFrame, volume: str = "volume") -> tuple[float, float]:
+    """(mean, population deviation + 1e-8) of log(1 + volume) over a training split, for ``volume_stats``."""
+    log = F.log1p(F.greatest(F.col(volume).cast("double"), F.lit(0.0)))
+    mean, std = panel.agg(F.avg(log), F.stddev_pop(log)).first()
+    return (mean or 0.0), (std or 0.0) + 1e-8
+
+
 def normalize(seqs: DataFrame, names: list[str], ratios: list[str], volume: str | None, volume_stats: tuple[float, float] | None = None, others: bool = True, limit: float = 5.0) -> DataFrame:
     """Columns of ``seq`` as arrays: ratios to the last close less 1, log volume, z-scores of the rest.
 

@@ -52,13 +52,15 @@ add("scan_levels", on_bars(_scan_levels), with_views(f"SELECT entity, trade_date
 
 
 def _flat_rows(spark, sf_dir):
-    """All factors, level features and levels, in the universe."""
+    """All factors, level features and levels, of rows with a listed industry in the quality set."""
     b, s = source.bars(spark, sf_dir), source.securities(spark, sf_dir)
+    inside = s.where("market <> 'AFRICA' and industry is not null")
+    good = universe.quality_lite(full(b).join(s, "entity"), source.flags(b), 10_000).select(*KEYS)
     rows = QUERIES["feat_combined"](spark, sf_dir).join(QUERIES["panel_levels"](spark, sf_dir), KEYS)
-    return universe.exclude_flagged(rows.join(s.where("market <> 'AFRICA' and industry is not null").select("entity", "industry"), "entity"), source.flags(b))
+    return rows.join(inside.select("entity", "industry"), "entity").join(good, KEYS, "left_semi")
 
 
-add("panel_rank_flat", _flat_rows, with_views(f"SELECT * FROM ({ORACLES['feat_combined']}) JOIN ({ORACLES['panel_levels']}) USING (entity, trade_date) JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA') USING (entity) ANTI JOIN flags USING (entity, trade_date)", "flags", "sec"))
+add("panel_rank_flat", _flat_rows, with_views(f"SELECT * FROM ({ORACLES['feat_combined']}) JOIN ({ORACLES['panel_levels']}) USING (entity, trade_date) JOIN (SELECT entity, industry FROM sec WHERE market <> 'AFRICA') USING (entity) SEMI JOIN ({ORACLES['universe_quality_lite']}) USING (entity, trade_date)", "sec"))
 add("ds_active_mask", on_bars(lambda b: levels.panel_levels(b).select(*KEYS, ((F.abs("keltner_pos") > 0.5) | (F.least(*[F.coalesce(f"{s}_{n}_dist", F.lit(999)) for s in ("resistance", "support") for n in ("mid", "long")]) <= 10)).alias("active"))), with_views("SELECT entity, trade_date, abs(keltner_pos) > 0.5 OR least(coalesce(rmid.n - rn, 999), coalesce(smid.n - rn, 999), coalesce(rlong.n - rn, 999), coalesce(slong.n - rn, 999)) <= 10 AS active FROM s4", "bars", **LEVELS))
 
 # features by date and increments
@@ -138,6 +140,8 @@ windows = lambda b: dataset.walkforward_windows(source.calendar(b), date(1995, 1
 add("ds_walkforward_windows", on_bars(windows), with_views(WF, "cal"))
 add("ds_expanding_folds", on_bars(lambda b: dataset.assign_folds(b.select(*KEYS), F.broadcast(b.sparkSession.createDataFrame([(k, date(1992, 1, 1), date(1995 + k, 12, 31), date(1996 + k, 1, 1), date(1996 + k, 6, 30)) for k in range(8)], "fold int, train_start date, train_end date, test_start date, test_end date"))).groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"))), with_views("SELECT CAST(k AS INTEGER) AS fold, CASE WHEN year(trade_date) <= 1995 + k THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM bars, range(8) r(k) WHERE (year(trade_date) <= 1995 + k AND trade_date >= DATE '1992-01-01') OR (year(trade_date) = 1996 + k AND trade_date <= make_date(1996 + k, 6, 30)) GROUP BY ALL", "bars"))
 add("ds_time_holdout", on_bars(lambda b: dataset.time_holdout(b.select(*KEYS))), with_views("SELECT entity, trade_date, nth > n - floor(n * 0.1) AS holdout FROM bars JOIN (SELECT trade_date, nth, count(*) OVER () AS n FROM nth) USING (trade_date)", "bars", "nth"))
+add("ds_time_splits", on_bars(lambda b: dataset.time_splits(b.select(*KEYS)).groupBy("split", "side").agg(F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))), with_views("SELECT CAST(k AS INTEGER) AS split, side, count(*) AS n, min(trade_date) AS first, max(trade_date) AS last FROM (SELECT k, trade_date, CASE WHEN nth - 1 < n - (5 - k) * (n // 6) THEN 'train' WHEN nth - 1 < n - (5 - k) * (n // 6) + n // 6 THEN 'test' END AS side FROM bars JOIN (SELECT trade_date, nth, count(*) OVER () AS n FROM nth) USING (trade_date), range(5) r(k)) WHERE side IS NOT NULL GROUP BY k, side", "bars", "nth"))
+add("ds_downsample_majority", on_bars(lambda b: dataset.downsample_majority(b.select(*KEYS, (F.col("close") > F.col("open") * 1.1).alias("up")), "up")), with_views("SELECT entity, trade_date, up FROM (SELECT *, row_number() OVER (PARTITION BY up ORDER BY md5(CAST(entity AS VARCHAR) || '|' || CAST(trade_date AS VARCHAR)), entity, trade_date) AS k FROM u) WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM u GROUP BY up))", "bars", u="SELECT entity, trade_date, close > open * 1.1 AS up FROM bars WHERE close > open * 1.1 IS NOT NULL"))
 add("ds_balance_classes", on_bars(lambda b: dataset.balance_classes(b.select(*KEYS, (F.col("close") > F.col("open")).alias("up")), "up", 20)), with_views("SELECT entity, trade_date, up FROM (SELECT *, row_number() OVER (PARTITION BY entity, up ORDER BY md5(CAST(entity AS VARCHAR) || '|' || CAST(trade_date AS VARCHAR)), trade_date) AS k FROM (SELECT entity, trade_date, close > open AS up FROM bars)) WHERE k <= 20", "bars"))
 add("ds_reward", on_bars(lambda b: dataset.scaled_reward(b, "flag_share").select(*KEYS, rounded(F.col("reward")).alias("reward"))), with_views(f"SELECT entity, trade_date, {rounded_sql('flag_share * (gain / vol) - change * 0.0003')} AS reward FROM (SELECT entity, trade_date, flag_share, (0 + (lead(close, 5) OVER w / NULLIF(close, 0) - 1) + (lead(close, 20) OVER w / NULLIF(close, 0) - 1)) / 2 AS gain, CASE WHEN close <> 0 THEN greatest((avg(trng) OVER (PARTITION BY entity ORDER BY trade_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) / close, 1e-6) END AS vol, abs(flag_share - coalesce(lag(flag_share) OVER w, 0)) AS change FROM (SELECT *, greatest(high - low, abs(high - lag(close) OVER v), abs(low - lag(close) OVER v)) AS trng FROM bars WINDOW v AS (PARTITION BY entity ORDER BY trade_date)) WINDOW w AS (PARTITION BY entity ORDER BY trade_date))", "bars"))
 
@@ -159,6 +163,18 @@ def _normalized(b):
 
 Z = "list_transform(v, lambda x: greatest(least((x - list_avg(v)) / NULLIF(list_stddev_pop(v), 0), 5.0), -5.0))"
 add("seq_normalize", on_bars(_normalized), with_views(f"SELECT entity, trade_date, {rounded_sql('list_sum(list_transform(c, lambda x: abs(x / c[60] - 1)))', 5)} AS close_sum, {rounded_sql(f'list_sum(list_transform({Z}, lambda x: abs(x)))', 5)} AS volume_sum FROM s WHERE {GOODSEQ}", "bars", s=SEQ.format(f=tr(60))))
+FIT_UNTIL = date(1998, 12, 31)
+
+
+def _fitted(b):
+    """Sequences of a later split with volumes in units of the training split."""
+    stats = sequences.fit_volume(b.where(F.col("trade_date") <= F.lit(FIT_UNTIL)))
+    later = sequences.normalize(seqs(b).where(F.col("trade_date") > F.lit(FIT_UNTIL)), ["close", "volume"], ["close"], "volume", stats)
+    return later.select(*KEYS, rounded(F.aggregate("volume", F.lit(0.0), lambda a, v: a + v), 5).alias("volume_sum"), rounded(F.aggregate("volume", F.lit(0.0), lambda a, v: a + F.abs(v)), 5).alias("volume_abs"))
+
+
+SCALED = "list_transform(v, lambda x: (ln(1 + greatest(x, 0)) - m) / (sd + 1e-8))"
+add("seq_normalize_fitted", on_bars(_fitted), with_views(f"SELECT entity, trade_date, {rounded_sql(f'list_sum({SCALED})', 5)} AS volume_sum, {rounded_sql(f'list_sum(list_transform({SCALED}, lambda x: abs(x)))', 5)} AS volume_abs FROM s, (SELECT avg(ln(1 + volume)) AS m, stddev_pop(ln(1 + volume)) AS sd FROM bars WHERE trade_date <= DATE '{FIT_UNTIL}') WHERE {GOODSEQ} AND trade_date > DATE '{FIT_UNTIL}'", "bars", s=SEQ.format(f=tr(60))))
 add("seq_normalize_ratio_only", on_bars(lambda b: sequences.normalize(seqs(b), ["close", "volume"], ["close"], "volume", others=False).select(*KEYS, rounded(F.aggregate("volume", F.lit(0.0), lambda a, v: a + v), 5).alias("volume_sum"))), with_views(f"SELECT entity, trade_date, {rounded_sql('list_sum(list_transform(v, lambda x: ln(1 + greatest(x, 0))))', 5)} AS volume_sum FROM s WHERE {GOODSEQ}", "bars", s=SEQ.format(f=tr(60))))
 add("seq_agent_state", on_bars(lambda b: sequences.with_agent_state(seqs(b), F.lit(1), F.lit(12)).select(*KEYS, F.get(F.get("seq", F.lit(59)), F.lit(2)).alias("position"), F.get(F.get("seq", F.lit(59)), F.lit(3)).alias("days"))), with_views(f"SELECT entity, trade_date, 1.0 AS position, 0.4 AS days FROM s WHERE {GOODSEQ}", "bars", s=SEQ.format(f=tr(60))))
 BIN = "CASE WHEN {l} IS NULL THEN 40 ELSE greatest(least(CAST(trunc((({l} - close) / close / 0.2 + 1) * 40 / 2) AS INTEGER), 39), 0) END"
@@ -236,6 +252,24 @@ DEC = dict(pb=PROBS, d0="SELECT vec_id AS entity, label + 10.0 AS close, probs A
 add("sig_sr_decode", lambda s, d: _decoded(s, d).select("entity", *[rounded(F.col(c), 5).alias(c) for c in ("expected_up", "expected_down", "support_confidence", "resistance_confidence")]), with_views(f"SELECT entity, {rounded_sql('eu', 5)} AS expected_up, {rounded_sql('-ed', 5)} AS expected_down, {rounded_sql('sc', 5)} AS support_confidence, {rounded_sql('rc', 5)} AS resistance_confidence FROM d2", **DEC))
 orders = lambda s, d: signals.sr_orders(_decoded(s, d).withColumn("entry", (F.col("expected_up") > 0) & (F.col("support_confidence") > 0.1)).withColumn("exit", F.col("resistance_confidence") > 0.12)).select("entity", "action", r4("score").alias("score"), r4("target_price").alias("target_price"), r4("stop_price").alias("stop_price"))
 add("sig_sr_orders", orders, with_views(f"SELECT entity, 'buy' AS action, {R4('least(rr * sc, 1.0)')} AS score, {R4('close * (1 - ed)')} AS target_price, {R4('close * (1 - ed) * 0.93')} AS stop_price FROM d2 WHERE eu > 0 AND sc > 0.1 UNION ALL SELECT entity, 'sell', {R4('rc')}, {R4('close * (1 + eu)')}, 0.0 FROM d2 WHERE rc > 0.12", **DEC))
+# the rules for entry and exit untouched, on distributions peaked by the eighth power
+PEAKED = PROBS.replace("abs(CAST(v AS DOUBLE))", "pow(abs(CAST(v AS DOUBLE)), 8)")
+
+
+def _peaked(s, d):
+    e = source.table(s, d, "embeddings").select(F.col("vec_id").alias("entity"), (F.col("label") + 10.0).alias("close"), F.transform("embedding", lambda v: F.pow(F.abs(v.cast("double")), F.lit(8.0))).alias("a"))
+    e = e.withColumn("m", F.aggregate("a", F.lit(0.0), lambda x, v: x + v)).withColumn("up", F.transform("a", lambda v: v / F.col("m")))
+    return signals.sr_decode(e.withColumn("down", F.reverse("up")).withColumn("trade_date", F.lit(A)), "up", "down", 0.2, 64)
+
+
+def _sr_signals(s, d):
+    decoded = _peaked(s, d)
+    told = signals.sr_orders(decoded).groupBy("entity").agg(F.sort_array(F.collect_list("action")).alias("told"), F.max(F.when(F.col("action") == "buy", F.col("score"))).alias("buy_score"), F.max(F.when(F.col("action") == "sell", F.col("target_price"))).alias("sell_at"))
+    return decoded.join(told, "entity", "left").select("entity", "entry", "exit", F.array_join("told", ",").alias("actions"), r4("buy_score").alias("buy_score"), r4("sell_at").alias("sell_at"))
+
+
+ENTRY, EXIT = "(rr > 2 AND sc > 0.1)", "(rc > 0.3)"
+add("sig_sr_signals", _sr_signals, with_views(f"SELECT entity, {ENTRY} AS entry, {EXIT} AS exit, CASE WHEN {ENTRY} AND {EXIT} THEN 'buy,sell' WHEN {ENTRY} THEN 'buy' WHEN {EXIT} THEN 'sell' END AS actions, CASE WHEN {ENTRY} THEN {R4('least(rr * sc, 1.0)')} END AS buy_score, CASE WHEN {EXIT} THEN {R4('close * (1 + eu)')} END AS sell_at FROM d2", **{**DEC, "pb": PEAKED}))
 
 
 def _regimes(spark, sf_dir):

@@ -248,6 +248,10 @@ def _probs(spark, sf_dir):
 
 PROBS = "SELECT vec_id, label, list_transform(a, lambda v: v / s) AS probs, len(a) - 1 AS last FROM (SELECT *, list_sum(a) AS s FROM (SELECT vec_id, label, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE))) AS a FROM embeddings))"
 add("agg_topn_hit", lambda s, d: _probs(s, d).agg(F.sum(metrics.in_top(F.col("probs"), F.col("label")).cast("int")).alias("hits"), F.sum((F.array_position("probs", F.array_max("probs")) - 1 == F.col("last")).cast("int")).alias("no_peak")), f"SELECT CAST(sum(CASE WHEN list_contains(list_transform(list_sort(list_transform(probs, lambda p, i: {{'p': -p, 'i': i - 1}}))[1:3], lambda x: x.i), label) THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN list_position(probs, list_max(probs)) - 1 = last THEN 1 ELSE 0 END) AS BIGINT) AS no_peak FROM ({PROBS})")
+# labels from 8 on stand for no peak
+TRUTH = "CASE WHEN label >= 8 THEN last ELSE label END"
+HIT = "list_contains(list_transform(list_sort(list_transform(probs, lambda p, i: {'p': -p, 'i': i - 1}))[1:3], lambda x: x.i), t)"
+add("agg_peak_hits", lambda s, d: metrics.peak_hits(_probs(s, d).withColumn("t", F.expr(TRUTH)), "probs", "t", "last").select("n", "peaks", *[rounded(F.col(c)).alias(c) for c in ("hit", "peak_found", "hit_given_peak")]), f"SELECT count(*) AS n, CAST(sum(CASE WHEN t <> last THEN 1 ELSE 0 END) AS BIGINT) AS peaks, {rounded_sql(f'avg(CASE WHEN {HIT} THEN 1.0 ELSE 0.0 END)')} AS hit, {rounded_sql('avg(CASE WHEN (list_position(probs, list_max(probs)) - 1 <> last) = (t <> last) THEN 1.0 ELSE 0.0 END)')} AS peak_found, {rounded_sql(f'avg(CASE WHEN t <> last THEN CASE WHEN {HIT} THEN 1.0 ELSE 0.0 END END)')} AS hit_given_peak FROM (SELECT *, {TRUTH} AS t FROM ({PROBS}))")
 add("agg_entropy_xent", lambda s, d: _probs(s, d).agg(rounded(F.avg(metrics.entropy(F.col("probs")))).alias("entropy"), rounded(F.avg(metrics.cross_entropy(F.col("probs"), F.col("label")))).alias("xent")), f"SELECT {rounded_sql('avg(list_sum(list_transform(probs, lambda p: -p * ln(p + 1e-8))))')} AS entropy, {rounded_sql('avg(-ln(probs[label + 1] + 1e-8))')} AS xent FROM ({PROBS})")
 
 # sorts, top-k, sets
