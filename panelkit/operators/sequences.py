@@ -50,7 +50,8 @@ def _standard(mean: Column, std: Column):
 
 def fit_volume(panel: DataFrame, volume: str = "volume") -> tuple[float, float]:
     """(mean, population deviation + 1e-8) of log(1 + volume) over a training split, for ``volume_stats``."""
-    log = F.log1p(F.greatest(F.col(volume).cast("double"), F.lit(0.0)))
+    v = F.col(volume).cast("double")
+    log = F.when(v.isNotNull(), F.log1p(F.greatest(v, F.lit(0.0))))  # greatest would take a missing volume for 0
     mean, std = panel.agg(F.avg(log), F.stddev_pop(log)).first()
     return (mean or 0.0), (std or 0.0) + 1e-8
 
