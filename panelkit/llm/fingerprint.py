@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import IdRanges
+from panelkit.llm.common import IdRanges, materialize
 
 CHAIN = 2
 #: Words without a listed anchor after which content words are anchors, in the query.
@@ -139,26 +139,35 @@ def edited_fingerprints(docs: DataFrame, far: int | None = None) -> DataFrame:
     )
 
 
-def similar_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness): pairs of ids, a < b, whose signature sets have ``least`` likeness or more.
+def similar_pairs(docs: DataFrame, least: float = 0.8, far: int | None = None) -> DataFrame:
+    """(a, b, likeness): pairs of ids whose signature sets have ``least`` likeness or more.
 
-    Equal sets are first reduced to their least id, so copies give no pairs.  Sets go to
-    partitions by length: a partition is as wide as ``least`` allows, so partners are in the
-    same or the next one.  A pair is compared only where the rarest signatures of both, as
-    many as ``least`` allows to differ plus one, have one in common.
+    Equal sets are first reduced to their least id (null only if all are), so copies give no
+    pairs.  Ids needn't be unique: sets, not ids, are compared, so ``a`` and ``b`` may be equal
+    or null.  ``a`` is the lesser id, null last.  With ``far`` texts without listed words have
+    sets too; texts whose set is empty have no pairs.
+
+    Sets go to partitions by length: a partition is as wide as ``least`` allows, so partners
+    are in the same or the next one.  A pair is compared only where the rarest signatures of
+    both, as many as ``least`` allows to differ plus one, have one in common.
     """
-    sets = with_signatures(docs.select("doc_id", "text"), "text", "spots").where("size(spots) > 0")
+    sets = with_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "spots", far=far).where("size(spots) > 0")
     sets = sets.groupBy("spots").agg(F.min("doc_id").alias("doc_id")).withColumn("n", F.size("spots"))
-    spots = sets.select("doc_id", "n", F.explode("spots").alias("spot"))
+    # null fields of a key would not be equal to one another in joins
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("spots").alias("hash"))
+    sets = materialize(sets.withColumn("key", key), "signature-sets")
+    spots = sets.select("key", "n", F.explode("spots").alias("spot"))
     count = spots.groupBy("spot").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("doc_id").orderBy("df", "spot")
-    prefix = spots.join(count.where("df > 1"), "spot").withColumn("nth", F.row_number().over(rarest))
-    prefix = prefix.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    rarest = Window.partitionBy("key").orderBy("df", "spot")
+    # signatures that no other set has are the rarest, so they come first and are numbered too
+    prefix = spots.join(count, "spot").withColumn("nth", F.row_number().over(rarest))
+    prefix = prefix.where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1) & (F.col("df") > 1))
     cell = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(least)))
-    left = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("m"), "spot", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = prefix.select(F.col("doc_id").alias("b"), F.col("n"), "spot", cell.alias("cell"))
-    close = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.greatest("m", "n") * F.lit(least))
-    pairs = left.join(right, ["spot", "cell"]).where(close).select("a", "b").distinct()
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("spots").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("spots").alias("y"))
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("x"), F.col("y"), least).alias("likeness"))
+    prefix = materialize(prefix.select("key", "n", "spot", cell.alias("cell")), "rarest-signatures")
+    left = prefix.select(F.col("key").alias("x_key"), F.col("n").alias("m"), "spot", F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("cell"))
+    right = prefix.select(F.col("key").alias("y_key"), "n", "spot", "cell")
+    close = (F.col("x_key") < F.col("y_key")) & (F.least("m", "n") >= F.greatest("m", "n") * F.lit(least) - 1e-9)
+    pairs = left.join(right, ["spot", "cell"]).where(close).select("x_key", "y_key").distinct()
+    x, y = (sets.select(F.col("key").alias(f"{k}_key"), F.col("doc_id").alias(name), F.col("spots").alias(k)) for k, name in (("x", "a"), ("y", "b")))
+    found = pairs.join(x, "x_key").join(y, "y_key").select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness"))
     return found.where(F.col("likeness") >= least)

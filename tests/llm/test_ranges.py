@@ -65,3 +65,27 @@ def test_fingerprints_with_content_anchors(spark, small):
             assert r["near_next"] == pytest.approx(brute_likeness(a, c))
             prints.setdefault(r["fingerprint"], set()).add(frozenset(a))
         assert all(len(x) == 1 for x in prints.values())
+
+
+def test_similar_pairs_of_any_language_and_id(spark, small):
+    """Texts without listed words, null ids, an id with unlike texts, copies, and empty texts."""
+    far = fingerprint.FAR
+    base = [" ".join(f"слово{(7 * k + j * j) % 90}" for j in range(80)) for k in range(3)]
+    rows = [(1, base[0]), (2, base[0] + " конец"), (None, base[0] + " другой конец"), (3, base[1]), (3, base[1] + " ещё"), (3, base[2]), (None, base[2]), (4, base[2]), (5, ""), (6, None), (None, base[1] + " и так далее")]
+    made = frame(spark, [(i, t, "ru", "s1") for i, t in rows])
+    for docs in (made, documents(spark, small).where("n_chars < 3000")):
+        least_id = {}
+        for r in docs.select("doc_id", "text").collect():
+            found, i = frozenset(brute(r["text"], far)), (r["doc_id"] is None, r["doc_id"] or 0)
+            if found:
+                least_id[found] = min(i, least_id.get(found, i))
+        known = sorted((i, sorted(s)) for s, i in least_id.items())
+        want = Counter()
+        for k, (i, a) in enumerate(known):
+            for j, b in known[k + 1 :]:
+                x = brute_likeness(set(a), set(b))
+                if x >= 0.8:
+                    want[None if i[0] else i[1], None if j[0] else j[1], round(x, 9)] += 1
+        got = Counter((r["a"], r["b"], round(r["likeness"], 9)) for r in fingerprint.similar_pairs(docs, far=far).collect())
+        assert got == want and want
+    assert fingerprint.similar_pairs(made.limit(0), far=far).collect() == []
