@@ -63,7 +63,7 @@ def ranks_long(df: DataFrame, bases: dict[str, Column], ranks: dict[str, tuple[s
     order = F.col("value").asc_nulls_last()
     # the tile's order starts with the rank's, so the rank needs no sort of its own
     long = long.withColumn("tile", F.ntile(tiles).over(by_name.orderBy(order, ENTITY))).withColumn("rank", F.rank().over(by_name.orderBy(order)))
-    picked = [F.max(F.when(F.col("name") == base, F.col(kind))).alias(n) for n, (kind, base) in ranks.items()]
+    picked = [F.expr(f"max({kind}) FILTER (WHERE name = '{base}') AS `{n}`") for n, (kind, base) in ranks.items()]
     out = long.groupBy(ENTITY, DATE).agg(F.first("kept", ignorenulls=True).alias("kept"), *picked)
     return out.select(ENTITY, DATE, "kept.*", *ranks)
 
