@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import materialize
+from panelkit.llm.common import by_size, materialize
 
 HEAVY = 1 << 16
 SMOOTH = 0.1
@@ -59,7 +59,7 @@ def _count_words(batches):
     def flush():
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    for batch in batches:
+    for batch in by_size(batches, "text"):
         for text in batch["text"].to_pylist():
             found.update(_tokens(text))
             if len(found) > FLUSH_WORDS:
@@ -169,7 +169,7 @@ def _score(shared, heavy_shared, n_tokens: int, n_words: int, end_count: int):
         row, ln10, floor, kinds = TaskContext.get().partitionId() << 33, math.log(10), math.log10(n_tokens + n_words + 1), max(n_words, 1)
         whole = math.log10(n_tokens + kinds)
         end = math.log10(end_count + kinds * math.exp(model.end)) - whole
-        for batch in batches:
+        for batch in by_size(batches, "text"):
             bags = [Counter(_tokens(t)) for t in batch["text"].to_pylist()]
             if len(memo) > MEMO_WORDS:
                 memo.clear()
