@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.llm.common import by_size, give_back
+
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 ROUNDS = 25
@@ -42,7 +44,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def _count(batches):
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in by_size(batches, "text"):
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
             if lang not in total:
                 total[lang] = np.zeros(BUCKETS, np.int64)
@@ -121,6 +123,7 @@ def with_prediction(docs: DataFrame, model: LanguageModel, out: str) -> DataFram
         for some in texts:
             found = [shared.value.predict(t.as_py()) for t in some]
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+        give_back()
 
     # taken for not deterministic, so that a filter on it doesn't run it a second time
     told = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import discard, materialize
+from panelkit.llm.common import by_size, discard, materialize
 
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -122,7 +122,7 @@ def _neighbours(hashes: np.ndarray) -> np.ndarray:
 def _sketches(width: int, percent: int):
     def run(batches):
         shingle, probes, small = Shingler(width), _probes(), _small(percent)
-        for batch in batches:
+        for batch in by_size(batches, "text"):
             ids, sizes, keys, bands = [], [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 h = shingle(text)
@@ -148,7 +148,7 @@ def _sketches(width: int, percent: int):
 def _sets(width: int):
     def run(batches):
         shingle = Shingler(width)
-        for batch in batches:
+        for batch in by_size(batches, "text"):
             sets = [shingle(t).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], names=["node", "hashes"])
 

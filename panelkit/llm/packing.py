@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import materialize
+from panelkit.llm.common import by_size, materialize
 from panelkit.llm.encoders import encoder, text_groups
 
 CAPACITY = 1024
@@ -43,14 +43,16 @@ LARGE_SHARE = 8
 SALTS, ITEMS_PER_SALT, MOST_SALTS = 256, 1_000_000, 65_536
 #: A plan of more rows, which the number of lengths should not allow, is joined without a broadcast.
 BROADCAST_PLAN = 200_000
+#: Bytes of text that are encoded at a time.
+GROUP_BYTES = 1 << 21
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
         enc, end = encoder(path), np.uint32(end_id).tobytes()
-        for batch in batches:
-            for doc_ids, texts in text_groups(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+        for batch in by_size(batches, "text", GROUP_BYTES):
+            for doc_ids, texts in text_groups(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), GROUP_BYTES):
                 out = [[], [], [], [], []]
                 for doc_id, ids in zip(doc_ids, enc.encode(texts)):
                     ids += end

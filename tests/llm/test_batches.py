@@ -2,9 +2,10 @@
 
 from collections import Counter
 
+import public_tokenizers
 import pyarrow as pa
 
-from panelkit.llm import common, lm_score
+from panelkit.llm import common, lm_score, packing
 
 
 def batch(texts):
@@ -29,3 +30,14 @@ def test_counting_holds_a_part_at_a_time(monkeypatch):
     for made in lm_score._count_words(iter([batch(["one Two two"] * 500)])):
         found.update(dict(zip(made["word"].to_pylist(), made["n"].to_pylist())))
     assert found == {b"one": 500, b"two": 1000} and max(held) < 100 and sum(held) == 500
+
+
+def test_packing_holds_a_part_at_a_time(monkeypatch):
+    texts = [f"some words of text {k}" for k in range(300)]
+    cut = packing._cut(public_tokenizers.path("byte_bpe_50k.json"), 2, 1024)
+    whole = [row for b in cut(iter([batch(texts)])) for row in b.to_pylist()]
+    seen, parted = [], packing.by_size
+    monkeypatch.setattr(packing, "GROUP_BYTES", 500)
+    monkeypatch.setattr(packing, "by_size", lambda b, c, n: (seen.append(p.num_rows) or p for p in parted(b, c, n)))
+    assert [row for b in cut(iter([batch(texts)])) for row in b.to_pylist()] == whole
+    assert sum(seen) == 300 and max(seen) < 40
