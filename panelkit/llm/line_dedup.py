@@ -21,7 +21,7 @@ bounds, so no counts of the many tokens that only one line has are needed:
 
 A pair of classes meets at the first prefix token they share, and only there, so it comes
 out of the join once.  The join also tests the parity bits of the sets: each token flips
-one of 512 bits, so two sets differ in at least as many tokens as their bits differ in.
+one of 256 bits, so two sets differ in at least as many tokens as their bits differ in.
 Full sets move only for the pairs that pass.
 
 Edge cases: null text has no lines and stays null; blank lines stay; null ids come last;
@@ -43,8 +43,10 @@ LEAST = 0.8
 EXTRA = 0.05
 #: Tokens that make up one in HEAVY of the rows of one in SAMPLE sets, and HEAVY_LEAST rows, are spread over SPREAD groups.
 SAMPLE, HEAVY, HEAVY_LEAST, SPREAD, HOT = 64, 1 << 16, 8, 1024, 1 << 40
+#: Shingles of a line that are written out in the query.
+UNROLLED = 32
 #: Words of 64 parity bits.
-PARITY = 8
+PARITY = 4
 #: Small tables are broadcast if their numbers, array elements included, are no more than this.
 BROADCAST_NUMBERS = 1_000_000
 
@@ -54,28 +56,40 @@ def _key(line: str = "line") -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", F.col(line).alias("line"))
 
 
-def _plain_lines() -> Column:
-    """The lines of ``text`` in lower case, with plain spaces for the other white space.
+def _plain_lines(low: str) -> Column:
+    """The lines of a text in lower case, with plain spaces for the other white space.
 
-    Both are done for a text at once, which is cheaper than for each line.
+    Both are done for a text at once, which is cheaper than for each line.  ``low`` is a column
+    of its own, or the text would be put in lower case for each use of it.
     """
-    low = F.lower("text")
-    return F.split(F.when(low.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(low, r"[\x09\x0B-\x0D]", " ")).otherwise(low), "\n")
+    odd = F.col(low).contains("\t") | F.col(low).contains("\x0b") | F.col(low).contains("\x0c") | F.col(low).contains("\r")
+    return F.split(F.when(odd, F.regexp_replace(low, r"[\x09\x0B-\x0D]", " ")).otherwise(F.col(low)), "\n")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line, t): every line of every text, as ``_plain_lines`` gives it."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(_plain_lines()).alias("line", "t"))
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lower("text").alias("low"))
+    return low.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_plain_lines("low")).alias("line", "t"))
+
+
+def _shingles(width: int) -> Column:
+    """Hashes of ``width`` word hashes in a row, of array ``h``; of all of them if they are fewer.
+
+    The first UNROLLED are written out, as Spark generates code for them; a lambda function,
+    which the rest have, is interpreted for each shingle.
+    """
+    count, n = F.greatest(F.size("h") - (width - 1), F.lit(1)), UNROLLED
+    first = F.slice(F.array(*[F.xxhash64(*[F.get("h", F.lit(i + k)) for k in range(width)]) for i in range(n)]), 1, F.least(count, F.lit(n)))
+    rest = F.transform(F.slice("h", n + 1, F.greatest(count - n, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get("h", i + (n + k)) for k in range(1, width)]))
+    return F.when(count <= n, first).otherwise(F.concat(first, rest))
 
 
 def _with_tokens(lines: DataFrame, width: int, *keep: str) -> DataFrame:
     """Columns ``keep`` with n and tokens: sorted distinct token hashes of each line with a word."""
     # a test of the line itself, as one of its words would split it a second time
-    d = lines.where(F.col("t").rlike("[^ ]")).withColumn("w", F.array_remove(F.split("t", " "), "")).drop("t")
+    d = lines.where(F.trim("t") != "").withColumn("w", F.array_remove(F.split("t", " "), "")).drop("t")
     d = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).drop("w")
-    starts = F.slice(F.col("h"), 1, F.greatest(F.size("h") - (width - 1), F.lit(1)))
-    shingles = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, width)]))
-    d = d.withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("h")
+    d = d.withColumn("tokens", F.sort_array(F.array_distinct(_shingles(width)))).drop("h")
     return d.select(*keep, F.size("tokens").alias("n"), "tokens")
 
 
@@ -113,7 +127,8 @@ def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     keys = materialize(at.groupBy("k_id", "k_hash").agg(F.collect_set("place").alias("places")), "wanted-lines")
     keys = _broadcast_if_small(keys, F.size("places") + 4)
     hit = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
-    found = docs.select("doc_id", "text").join(keys, hit).select("k_id", "k_hash", _plain_lines().alias("all"), "places")
+    found = docs.select("doc_id", "text").join(keys, hit).select("k_id", "k_hash", F.lower("text").alias("low"), "places")
+    found = found.select("k_id", "k_hash", _plain_lines("low").alias("all"), "places")
     lines = found.select(F.col("k_id").alias("doc_id"), F.col("k_hash").alias("text_hash"), F.explode(F.transform("places", lambda k: F.struct(k.alias("line"), F.get("all", k).alias("t")))).alias("x"))
     lines = lines.select(_key("x.line").alias("first"), "x.t")
     return _with_tokens(lines, width, "first").select(*_names(), "n", "tokens", "first").dropDuplicates(["a", "b"])
@@ -233,4 +248,4 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, least: float = LEAST, count
     if not counts:
         return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
     columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "removed_lines", "n_links")]
-    return joined.select(*columns, F.coalesce(F.when(n_lines > 0, n_lines), F.lit(0)).cast("long").alias("n_lines"), removed.alias("removed_lines"), F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))
+    return joined.select(*columns, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), removed.alias("removed_lines"), F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))

@@ -4,8 +4,9 @@ from collections import Counter
 
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from panelkit.llm import common, lm_score, packing
+from panelkit.llm import common, line_dedup, lm_score, packing
 
 
 def batch(texts):
@@ -41,3 +42,14 @@ def test_packing_holds_a_part_at_a_time(monkeypatch):
     monkeypatch.setattr(packing, "by_size", lambda b, c, n: (seen.append(p.num_rows) or p for p in parted(b, c, n)))
     assert [row for b in cut(iter([batch(texts)])) for row in b.to_pylist()] == whole
     assert sum(seen) == 300 and max(seen) < 40
+
+
+def test_shingles_written_out(spark):
+    """Those written out and those of the lambda function have the same hashes."""
+    n = line_dedup.UNROLLED
+    sizes = [1, 4, 5, 6, n + 3, n + 4, n + 5, 3 * n]
+    df = spark.createDataFrame([(k, [k * 1000 + x for x in range(k)]) for k in sizes], "k int, h array<long>")
+    starts = F.slice("h", 1, F.greatest(F.size("h") - 4, F.lit(1)))
+    want = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, 5)]))
+    rows = df.select("k", line_dedup._shingles(5).alias("got"), want.alias("want")).collect()
+    assert all(r["got"] == r["want"] and len(r["got"]) == max(r["k"] - 4, 1) for r in rows) and len(rows) == len(sizes)
