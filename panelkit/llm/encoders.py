@@ -4,7 +4,7 @@ Texts are cut only where the tokenizer's own pre-tokenizer always cuts.  Arrow f
 distinct cuts of a group of texts and parts those of plain letters and punctuation in two;
 each part goes through the tokenizer's model as the pre-tokenizer would hand it over.  Any
 other cut goes through the whole tokenizer.  What short parts gave is remembered in two
-generations of ``MEMO_WORDS``, so common ones stay and the memory is bounded.  Texts that
+generations of bounded size, so common ones stay and the memory is bounded.  Texts that
 can't be cut safely go to the library whole.
 """
 
@@ -23,6 +23,8 @@ from panelkit.llm.token_count import byte_letters, splits_at_spaces
 
 #: Bounds of the memo: entries of a generation, and characters of what is remembered.
 MEMO_WORDS, MEMO_CHARS = 150_000, 48
+#: Entries for what isn't a plain run of letters: most of it is seen once.
+MEMO_OTHERS = 20_000
 #: Letters that are stable under normalisation and lower-cased one by one; ASCII punctuation.
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+", "[!-/:-@\\[-`{-~]*"
 PLAIN = re.compile(f"({LETTERS})({MARKS})")
@@ -33,15 +35,15 @@ LINE_ENDS = re.compile("(\n+)")
 class Memo(dict):
     """Remembers what ``make(key)`` gave; half of it is dropped from time to time, the common keys stay."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, entries: int = MEMO_WORDS):
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[key] = found
@@ -57,9 +59,9 @@ class WordEncoder:
         self.byte_level = self.tokenizer.normalizer is None
         self.before = " " if self.byte_level else ""
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.piece = Memo(self._piece)
+        self.piece = Memo(self._piece, MEMO_OTHERS)
         self.run = Memo(lambda run: self._piece(" " + run if self.byte_level else run.lower()))
-        self.other = Memo(lambda cut: self._word(cut, self.before))
+        self.other = Memo(lambda cut: self._word(cut, self.before), MEMO_OTHERS)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -48,6 +48,8 @@ ROWS = 6
 BANDS = BINS // ROWS
 GROWTH = 8
 MEMO_WORDS = 500_000
+#: Bytes of text that go to Python at a time.
+TEXT_BYTES = 1 << 22
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -199,7 +201,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     Rows are linked if ``100 * |intersection| >= percent * |union|`` of their shingle sets.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialize(rows.mapInArrow(_sketches(width, percent), "doc_id long, n_shingles long, set_key binary, bands array<bigint>"), "sketches", "lz4")
+    sketches = materialize(rows.mapInArrow(_sketches(width, percent), "doc_id long, n_shingles long, set_key binary, bands array<bigint>"), "sketches", "lz4", TEXT_BYTES)
     classes = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     # a document whose id is not unique may stand for several classes; the id then joins them
     every = materialize(classes.select("node", F.explode("bands").alias("bucket")), "members")
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     discard(every)
     wanted = members.select("node").distinct()
     first_text = rows.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = materialize(first_text.mapInArrow(_sets(width), "node long, hashes binary"), "sets", "none")
+    sets = materialize(first_text.mapInArrow(_sets(width), "node long, hashes binary"), "sets", "none", TEXT_BYTES)
     order = F.struct((-F.col("central")).alias("central"), F.col("node").alias("node"))
     centres = members.groupBy("bucket").agg(F.min(order)["node"].alias("centre"))
     # from here on a bucket is named by its centre, so buckets of one centre are one and a pair meets there once

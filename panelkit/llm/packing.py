@@ -240,6 +240,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUP
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """Cut and pack ``docs``; one row for each piece."""
-    pieces = materialize(cut_documents(docs, tokenizer, end_id, capacity), "pieces")
+    pieces = materialize(cut_documents(docs, tokenizer, end_id, capacity), "pieces", batch_bytes=GROUP_BYTES)
     packed = pack_pieces(pieces, capacity)
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

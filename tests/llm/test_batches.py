@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from panelkit.llm import common, line_dedup, lm_score, packing
+from panelkit.llm import common, encoders, line_dedup, lm_score, near_dup, packing
 
 
 def batch(texts):
@@ -53,3 +53,38 @@ def test_shingles_written_out(spark):
     want = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, 5)]))
     rows = df.select("k", line_dedup._shingles(5).alias("got"), want.alias("want")).collect()
     assert all(r["got"] == r["want"] and len(r["got"]) == max(r["k"] - 4, 1) for r in rows) and len(rows) == len(sizes)
+
+
+def _sizes(names, types):
+    """A stand-in for an operator's task: the rows and bytes of each Arrow batch that Spark sent."""
+
+    def run(batches):
+        for b in batches:
+            values = {"doc_id": b.num_rows, "start": b.nbytes, "length": 1, "n_shingles": b.nbytes}
+            yield pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(names, types)], names=names)
+
+    return run
+
+
+def test_spark_sends_batches_by_size(spark, monkeypatch):
+    """Before, a batch held 10,000 rows or 64 MB."""
+    docs = spark.range(4000).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), 500).alias("text"))
+    was, limit = spark.conf.get(common.BATCH_BYTES), 200_000
+    names, types = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    monkeypatch.setattr(packing, "_cut", lambda *a: _sizes(names, types))
+    monkeypatch.setattr(packing, "GROUP_BYTES", limit)
+    found = packing.pack_documents(docs, "", 2).select("doc_id", "start").collect()
+    assert sum(r["doc_id"] for r in found) == 4000 and len(found) > 20 and max(r["start"] for r in found) < 2 * limit
+    names, types = ["doc_id", "n_shingles", "set_key", "bands"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    monkeypatch.setattr(near_dup, "_sketches", lambda *a: _sizes(names, types))
+    monkeypatch.setattr(near_dup, "TEXT_BYTES", limit)
+    found = near_dup.near_duplicates(docs, 3, 85).select("n_shingles").collect()
+    assert len(found) > 20 and max(r["n_shingles"] for r in found) < 2 * limit
+    assert spark.conf.get(common.BATCH_BYTES) == was
+
+
+def test_odd_words_are_remembered_for_a_while(monkeypatch):
+    enc = encoders.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"{k}x{k * 7}" for k in range(n, n + 5000)) for n in range(0, 60_000, 5000)]
+    assert [e for t in texts for e in enc.encode([t])] == [enc.whole(t) for t in texts]
+    assert len(enc.other) + len(enc.other.old) <= 2 * encoders.MEMO_OTHERS
