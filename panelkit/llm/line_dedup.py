@@ -43,8 +43,8 @@ LEAST = 0.8
 EXTRA = 0.05
 #: Tokens that make up one in HEAVY of the rows of one in SAMPLE sets, and HEAVY_LEAST rows, are spread over SPREAD groups.
 SAMPLE, HEAVY, HEAVY_LEAST, SPREAD, HOT = 64, 1 << 16, 8, 1024, 1 << 40
-#: Shingles of a line that are written out in the query.
-UNROLLED = 32
+#: Shingles of a line that are written out in the query, and how many of them are made at a time.
+UNROLLED, BLOCK = 96, 32
 #: Words of 64 parity bits.
 PARITY = 4
 #: Small tables are broadcast if their numbers, array elements included, are no more than this.
@@ -75,13 +75,19 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _shingles(width: int) -> Column:
     """Hashes of ``width`` word hashes in a row, of array ``h``; of all of them if they are fewer.
 
-    The first UNROLLED are written out, as Spark generates code for them; a lambda function,
-    which the rest have, is interpreted for each shingle.
+    The first UNROLLED are written out, as Spark generates code for them, in blocks that are
+    made only where a line has so many; a lambda function, which the rest have, is interpreted
+    for each shingle.  Each block is in the query once, as code that is too long stays slow.
     """
     count, n = F.greatest(F.size("h") - (width - 1), F.lit(1)), UNROLLED
-    first = F.slice(F.array(*[F.xxhash64(*[F.get("h", F.lit(i + k)) for k in range(width)]) for i in range(n)]), 1, F.least(count, F.lit(n)))
+
+    def block(at: int) -> Column:
+        made = F.array(*[F.xxhash64(*[F.get("h", F.lit(i + k)) for k in range(width)]) for i in range(at, at + BLOCK)])
+        made = F.slice(made, 1, F.least(count - at, F.lit(BLOCK)))
+        return made if at == 0 else F.when(count > at, made).otherwise(F.array().cast("array<bigint>"))
+
     rest = F.transform(F.slice("h", n + 1, F.greatest(count - n, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get("h", i + (n + k)) for k in range(1, width)]))
-    return F.when(count <= n, first).otherwise(F.concat(first, rest))
+    return F.concat(*[block(at) for at in range(0, n, BLOCK)], rest)
 
 
 def _with_tokens(lines: DataFrame, width: int, *keep: str) -> DataFrame:
@@ -153,9 +159,13 @@ def _holders(sets: DataFrame, key: str, tokens: str) -> DataFrame:
     # each has a HEAVY-th of the sampled rows or more, so there are HEAVY of them at most
     heavy = F.broadcast(some.where(F.col("rows") >= max(HEAVY_LEAST, -(-total // HEAVY))).select("token", F.lit(1).alias("heavy")))
     rows = sets.select(key, F.explode(tokens).alias("token")).join(heavy, "token", "left")
-    rows = rows.select(key, "token", F.when(F.col("heavy") == 1, 1 + F.pmod(F.xxhash64(key), F.lit(SPREAD))).otherwise(0).cast("int").alias("spread"))
-    number = F.count(F.lit(1)).over(Window.partitionBy("token", "spread"))
-    return rows.select(key, "token", F.when(F.col("spread") > 0, F.lit(HOT)).otherwise(number).alias("holders"))
+    part = F.xxhash64("token", F.pmod(F.xxhash64(key), F.lit(SPREAD)))
+    # never the token itself; should it be another one, that one's number is too high, which costs no results
+    part = F.when(part == F.col("token"), F.bitwise_not(part)).otherwise(part)
+    # one column names a group, as Spark sorts by one whole number without comparing rows
+    rows = rows.select(key, "token", F.when(F.col("heavy") == 1, part).otherwise(F.col("token")).alias("group"))
+    number = F.count(F.lit(1)).over(Window.partitionBy("group"))
+    return rows.select(key, "token", F.when(F.col("token") != F.col("group"), F.lit(HOT)).otherwise(number).alias("holders"))
 
 
 def _may_have_links(classes: DataFrame, least: float) -> DataFrame:

@@ -88,3 +88,20 @@ def test_odd_words_are_remembered_for_a_while(monkeypatch):
     texts = [" ".join(f"{k}x{k * 7}" for k in range(n, n + 5000)) for n in range(0, 60_000, 5000)]
     assert [e for t in texts for e in enc.encode([t])] == [enc.whole(t) for t in texts]
     assert len(enc.other) + len(enc.other.old) <= 2 * encoders.MEMO_OTHERS
+
+
+def test_each_shingle_is_in_the_query_once(spark):
+    """Before, the shingles written out stood there twice."""
+    assert str(line_dedup._shingles(5)).lower().count("xxhash64(") == line_dedup.UNROLLED + 1
+
+
+def test_groups_of_tokens_have_one_key(spark):
+    """Spark sorts by one whole number without comparing rows; before, there were two keys.  Numbers stay exact."""
+    sets = spark.createDataFrame([(k, [-1, k, k // 2 + 10_000]) for k in range(3000)], "id long, tokens array<long>")
+    held = line_dedup._holders(sets, "id", "tokens")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(group" in plan and "spread" not in plan
+    rows = held.collect()
+    assert len(rows) == 9000
+    for r in rows:
+        assert r["holders"] == (line_dedup.HOT if r["token"] == -1 else 1 if r["token"] < 10_000 else 2)
