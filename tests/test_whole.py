@@ -109,3 +109,9 @@ def test_flat_panel_has_all_factors_and_levels(spark, small):
     got = registry.queries()["panel_rank_flat"](spark, small).columns
     sides = [f"{s}_{h}{d}" for s in ("resistance", "support") for h in levels.HORIZONS for d in ("", "_dist")]
     assert sorted(got) == sorted(["entity", "trade_date", "industry", *catalog.combined().names, *levels.FEATURES, *sides])
+
+
+def test_extended_factors_come_as_rows(spark, small):
+    df = registry.queries()["feat_extended"](spark, small)
+    assert df.columns == ["entity", "trade_date", *catalog.extended().names]
+    assert df.count() == registry.queries()["scan_bars"](spark, small).count()
